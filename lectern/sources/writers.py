@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,6 @@ def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 NODE_TABLE = "id string, props map<string,string>, label string"
 EDGE_TABLE = "source string, target string, props map<string,string>, type string"
 
@@ -47,13 +43,16 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if _exists(spark, path):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T._parse_datatype_string(schema))
 
 
 def _touched(existing: DataFrame, incoming: DataFrame, column: str) -> DataFrame:
-    return existing.join(F.broadcast(incoming.select(column).distinct()), column, "left_semi")
+    return existing.join(incoming.select(column).distinct(), column, "left_semi")
 
 
 def _versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -69,8 +68,7 @@ VERSION = ("gen", "doc_id", "seq")
 def upsert_nodes(nodes: DataFrame, path: str) -> None:
     """Merge ``nodes(label, id, text, props, doc_id, seq)`` into the table at ``path``.
 
-    The labels of a node table are a short list (the graph vocabulary), so the
-    list of touched labels may be broadcast. Only their folders are rewritten.
+    Only the folders of the labels that occur in ``nodes`` are rewritten.
     """
     spark = nodes.sparkSession
     incoming = gr.unify_nodes(nodes)
