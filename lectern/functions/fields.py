@@ -38,36 +38,41 @@ REFERENCE_KIND = r"(?iu)^(Quyết định|Thông tư|Nghị định|Luật|Hiế
 AGENCY_AND_TITLE = (
     r"(?iuUd)của\s+(.+?)\s+((?:về|ban hành|phê duyệt|quy định|thông qua)[\s\S]*)"
 )
-DATE_IN_WORDS = r"(?iuU)ngày\s+(\d+)\s+tháng\s+(\d+)\s+năm\s+(\d+)"
+DATE_IN_WORDS = rf"(?iuU)ngày[{tx.S}]+([0-9]+)[{tx.S}]+tháng[{tx.S}]+([0-9]+)[{tx.S}]+năm[{tx.S}]+([0-9]+)"
 DATE_IN_DIGITS = r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})"
 EDUCATION_LEVEL = r"(?iuU)TRÌNH\s+ĐỘ\s+([A-ZÀ-Ỹ\s]+?)(?=\s*\(|\s*\z)"
 LEGAL_WORDS = "thông tư|quyết định|luật|nghị định|nghị quyết"
 
 
+def _dmy(found: Column, pattern: str) -> Column:
+    """``d/m/y`` from a text that matches, null from an empty one."""
+    day, month, year = (F.regexp_extract(found, pattern, g) for g in (1, 2, 3))
+    return F.when(found != "", F.concat_ws("/", tx.let(day, _pad2), tx.let(month, _pad2), year))
+
+
 def date_in_words(c: Column) -> Column:
     """``d/m/y`` of the first date written in words, null if there is none."""
-    parts = [F.regexp_extract(c, DATE_IN_WORDS, g) for g in (1, 2, 3)]
-    return F.when(parts[0] != "", F.concat_ws("/", _pad2(parts[0]), _pad2(parts[1]), parts[2]))
+    # Search the whole text once; the parts are read from the short match.
+    return tx.let(F.regexp_extract(c, DATE_IN_WORDS, 0), lambda found: _dmy(found, DATE_IN_WORDS))
 
 
 def decision_date(words_date: Column, text: Column) -> Column:
     """Date in words from the whole document, else in digits from the decision."""
-    parts = [F.regexp_extract(text, DATE_IN_DIGITS, g) for g in (1, 2, 3)]
-    digits = F.when(parts[0] != "", F.concat_ws("/", _pad2(parts[0]), _pad2(parts[1]), parts[2]))
+    digits = tx.let(F.regexp_extract(text, DATE_IN_DIGITS, 0), lambda found: _dmy(found, DATE_IN_DIGITS))
     return F.coalesce(words_date, digits, F.lit("01/01/1900"))
 
 
 def decision(section_text: Column, words_date: Column) -> dict[str, Column]:
-    """Fields of the issuing decision in the first section of a document."""
-    text = tx.drop_heading_marks(section_text)
-    number = tx.strip(F.regexp_extract(text, r"(?U)[sS]ố\s*[:.\-]?\s*([\w\d\-/.]+)", 1))
+    """Fields of the issuing decision: the first section without its heading marks."""
+    text = section_text
+    number = F.regexp_extract(text, r"(?U)[sS]ố\s*[:.\-]?\s*([\w\d\-/.]+)", 1)
     title = tx.strip(F.regexp_extract(text, AGENCY_AND_TITLE, 2))
     agency = F.regexp_extract(text, AGENCY_AND_TITLE, 1)
     other_agency = F.regexp_extract(text, r"(?iuU)của\s+([^)_]+)", 1)
     return {
-        "id": F.when(number != "", tx.slug_id(number)).otherwise(F.lit("UNKNOWN")),
+        "id": tx.let(number, lambda n: F.when(n != "", tx.slug_id(n)).otherwise(F.lit("UNKNOWN"))),
         "so": number,
-        "ten": _capital_first(title),
+        "ten": tx.let(title, _capital_first),
         "loai": F.regexp_extract(text, DECISION_KIND, 1),
         "ngay_ban_hanh": decision_date(words_date, text),
         "co_quan_ban_hanh": tx.strip(F.coalesce(tx.nullify(agency), other_agency)),
@@ -87,12 +92,14 @@ def legal_reference(ref: Column) -> dict[str, Column]:
     agency = tx.strip(F.regexp_extract(ref, AGENCY_AND_TITLE, 1))
     other_agency = tx.strip(F.regexp_extract(ref, r"(?iuUd)của\s+(.+)", 1))
     # Day and month have at most two digits here, the year has four.
-    dated = tx.first_match(ref, r"(?iuU)(ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4})")
-    date = F.regexp_replace(F.coalesce(date_in_words(dated), F.lit("")), r"^(\d+/\d+/\d{4}).*$", "$1")
+    date = tx.let(
+        F.regexp_extract(ref, rf"(?iuU)ngày[{tx.S}]+[0-9]{{1,2}}[{tx.S}]+tháng[{tx.S}]+[0-9]{{1,2}}[{tx.S}]+năm[{tx.S}]+[0-9]{{4}}", 0),
+        lambda found: F.coalesce(_dmy(found, DATE_IN_WORDS), F.lit("")),
+    )
     return {
         "id": tx.slug_id(number),
         "so": number,
-        "ten": F.when(title != "", _capital_first(title)).otherwise(ref),
+        "ten": tx.let(title, lambda t: F.when(t != "", _capital_first(t)).otherwise(ref)),
         "loai": _or(F.initcap(F.regexp_extract(ref, REFERENCE_KIND, 1)), "Văn bản"),
         "ngay_ban_hanh": date,
         "co_quan_ban_hanh": F.coalesce(
@@ -102,26 +109,36 @@ def legal_reference(ref: Column) -> dict[str, Column]:
     }
 
 
-def plain_reference(ref: Column) -> dict[str, Column]:
-    """Text and link of a cited work that is not a legal document."""
-    in_parens = r"(?U)\(\s*(https?://[^)]+)\s*\)"
-    bare = r"(?Us)(https?://\S.*)"
-    paren_part = F.regexp_extract(ref, in_parens, 0)
-    paren_url = F.regexp_replace(F.regexp_extract(ref, in_parens, 1), tx.WHITE_RUN, "")
-    bare_part = F.regexp_extract(ref, bare, 1)
-    bare_url = F.regexp_replace(bare_part, tx.WHITE_RUN, "")
-    cut = F.coalesce(tx.nullify(paren_part), bare_part)
-    url = F.when(paren_part != "", paren_url).otherwise(bare_url)
-    rest = F.when(cut != "", F.replace(ref, cut, F.lit(""))).otherwise(ref)
-    whole = F.when(cut != "", F.replace(ref, cut, url)).otherwise(ref)
-    link = F.when(paren_part != "", tx.strip_chars(paren_url, ".,;?")).otherwise(
-        tx.strip_chars(bare_url, ").,;?")
+def plain_reference(ref: Column) -> Column:
+    """``struct<noi_dung,link,noi_dung_goc>`` of a cited work that is no legal document."""
+    in_parens = rf"(?U)\([{tx.S}]*(https?://[^)]+)[{tx.S}]*\)"
+    bare = rf"(?Us)https?://[^{tx.S}].*"
+
+    def parts(cut: Column, url: Column, marks: str) -> Column:
+        return F.struct(
+            tx.strip_chars(tx.collapse(F.replace(ref, cut, F.lit(""))), " :.,;").alias("noi_dung"),
+            tx.strip_chars(url, marks).alias("link"),
+            F.replace(ref, cut, url).alias("noi_dung_goc"),
+        )
+
+    def compact(url: Column) -> Column:
+        return F.regexp_replace(url, tx.WHITE_RUN, "")
+
+    without = F.struct(
+        tx.strip_chars(tx.collapse(ref), " :.,;").alias("noi_dung"), F.lit("").alias("link"),
+        ref.alias("noi_dung_goc"),
     )
-    return {
-        "noi_dung": tx.strip_chars(tx.collapse(rest), " :.,;"),
-        "link": link,
-        "noi_dung_goc": whole,
-    }
+    in_brackets = tx.let(
+        F.regexp_extract(ref, in_parens, 0),
+        lambda cut: tx.let(compact(F.regexp_extract(cut, in_parens, 1)), lambda url: parts(cut, url, ".,;?")),
+    )
+    at_end = tx.let(
+        F.regexp_extract(ref, bare, 0), lambda cut: tx.let(compact(cut), lambda url: parts(cut, url, ").,;?"))
+    )
+    # Most works have no link; a plain search decides that without any pattern.
+    return F.when(~F.contains(ref, F.lit("http")), without).when(ref.rlike(in_parens), in_brackets).when(
+        ref.rlike(bare), at_end
+    ).otherwise(without)
 
 
 # --- general information ----------------------------------------------------
@@ -129,7 +146,7 @@ def plain_reference(ref: Column) -> dict[str, Column]:
 
 def cohort_year(full_text: Column) -> Column:
     """The first year named in the document, as text; empty if there is none."""
-    return F.regexp_extract(full_text, r"(?iuU)năm\s+(\d{4})", 1)
+    return F.regexp_extract(full_text, rf"(?iuU)năm[{tx.S}]+([0-9]{{4}})", 1)
 
 
 def is_high_quality(full_text: Column) -> Column:
@@ -139,41 +156,56 @@ def is_high_quality(full_text: Column) -> Column:
 FIRST_COHORT_YEAR = 1974
 
 
-def programme(content: Column, year: Column, high_quality: Column) -> dict[str, Column]:
-    """Major, unit and programme fields of the general-information section."""
-    plain = tx.remove_emphasis(content)
-    major = _labelled(plain, r"(?iuU)Mã ngành:\s*(\d+)", 1)
-    named = _labelled(plain, r"(?iuU)(?:Ngành|Ngành học):\s*([^(]+?\s*\([^)]+\))", 1)
-    pair = r"(?Ud)^(.+?)\s*\((.+)\)"
-    paired = named.rlike(pair)
-    name_vi = F.when(paired, tx.strip(F.regexp_extract(named, pair, 1))).otherwise(named)
-    name_en = F.when(paired, tx.strip(F.regexp_extract(named, pair, 2))).otherwise(F.lit(UNKNOWN))
+def programme(content: Column, year: Column, high_quality: Column) -> Column:
+    """Struct of major, unit and programme fields of the general-information section."""
+    pair = r"(?Ud)^(.+?)" + rf"[{tx.S}]*" + r"\((.+)\)"
+    ws = rf"[{tx.S}]"
 
-    unit = _labelled(content, r"(?iuUd)Đơn vị quản lý:\s*(.+)", 1)
-    department = tx.strip(F.regexp_extract(unit, r"(?iuU)Bộ môn\s+([^-\n]+)", 1))
-    faculty = tx.strip(F.regexp_extract(unit, r"(?iuU)Khoa\s+([^,\n-]+)", 1))
+    def read(plain: Column) -> Column:
+        return F.struct(
+            _labelled(plain, rf"(?iuU)Mã ngành:{ws}*([0-9]+)", 1).alias("major"),
+            _labelled(plain, rf"(?iuU)(?:Ngành|Ngành học):{ws}*([^(]+?{ws}*\([^)]+\))", 1).alias("named"),
+            _labelled(content, rf"(?iuUd)Đơn vị quản lý:{ws}*(.+)", 1).alias("unit"),
+            (tx.safe_int(year, FIRST_COHORT_YEAR) - FIRST_COHORT_YEAR).alias("cohort"),
+        )
 
-    cohort = tx.safe_int(year, FIRST_COHORT_YEAR) - FIRST_COHORT_YEAR
-    kind = F.when(high_quality, F.lit("CLC")).otherwise(F.lit("STD"))
-    return {
-        "ma_nganh": major,
-        "ten_nganh_vi": name_vi,
-        "ten_nganh_en": name_en,
-        "ten_nganh": F.concat(name_vi, F.lit(" ("), name_en, F.lit(")")),
-        "don_vi_nhan": F.when(department != "", F.lit("BoMon")).otherwise(F.lit("Khoa")),
-        "don_vi": F.when(department != "", department).otherwise(_or(faculty, UNKNOWN)),
-        "khoa": cohort,
-        "loai_hinh": F.when(high_quality, F.lit("Chất lượng cao")).otherwise(F.lit("Đại trà")),
-        "ngon_ngu": F.when(high_quality, F.lit("Tiếng Anh")).otherwise(F.lit("Tiếng Việt")),
-        "program_id": F.concat_ws("_", major, cohort.cast("string"), kind),
-        "tin_chi": _labelled(content, r"(?iuU)(?:Số lượng tín chỉ|Tổng cộng)[:-]\s*(\d+)", 1, "0"),
-        "thoi_gian": F.replace(
-            _labelled(content, r"(?iuU)Thời gian đào tạo:\s*([\d.,]+)", 1, "0"), F.lit(","), F.lit(".")
-        ),
-        "van_bang": _labelled(content, r"(?iuUd)(?:Loại văn bằng|Danh hiệu):\s*(.+)", 1),
-        "hinh_thuc": _labelled(content, r"(?iuUd)Hình thức đào tạo:\s*(.+)", 1),
-        "phuong_thuc": _labelled(content, r"(?iuUd)Phương thức tổ chức đào tạo:\s*(.+)", 1),
-    }
+    def split(r: Column) -> Column:
+        paired = r["named"].rlike(pair)
+        vi = F.when(paired, tx.strip(F.regexp_extract(r["named"], pair, 1))).otherwise(r["named"])
+        en = F.when(paired, tx.strip(F.regexp_extract(r["named"], pair, 2))).otherwise(F.lit(UNKNOWN))
+        department = tx.strip(F.regexp_extract(r["unit"], rf"(?iuU)Bộ môn{ws}+([^-\n]+)", 1))
+        faculty = tx.strip(F.regexp_extract(r["unit"], rf"(?iuU)Khoa{ws}+([^,\n-]+)", 1))
+        return F.struct(
+            r["major"].alias("major"), r["cohort"].alias("cohort"), vi.alias("vi"), en.alias("en"),
+            department.alias("department"), faculty.alias("faculty"),
+        )
+
+    def fields(x: Column) -> Column:
+        kind = F.when(high_quality, F.lit("CLC")).otherwise(F.lit("STD"))
+        has_department = x["department"] != ""
+        values = {
+            "ma_nganh": x["major"],
+            "ten_nganh_vi": x["vi"],
+            "ten_nganh_en": x["en"],
+            "ten_nganh": F.concat(x["vi"], F.lit(" ("), x["en"], F.lit(")")),
+            "don_vi_nhan": F.when(has_department, F.lit("BoMon")).otherwise(F.lit("Khoa")),
+            "don_vi": F.when(has_department, x["department"]).otherwise(_or(x["faculty"], UNKNOWN)),
+            "khoa": x["cohort"],
+            "loai_hinh": F.when(high_quality, F.lit("Chất lượng cao")).otherwise(F.lit("Đại trà")),
+            "ngon_ngu": F.when(high_quality, F.lit("Tiếng Anh")).otherwise(F.lit("Tiếng Việt")),
+            "program_id": F.concat_ws("_", x["major"], x["cohort"].cast("string"), kind),
+            "tin_chi": _labelled(content, rf"(?iuU)(?:Số lượng tín chỉ|Tổng cộng)[:-]{ws}*([0-9]+)", 1, "0"),
+            "thoi_gian": F.replace(
+                _labelled(content, rf"(?iuU)Thời gian đào tạo:{ws}*([0-9.,]+)", 1, "0"), F.lit(","), F.lit(".")
+            ),
+            "van_bang": _labelled(content, rf"(?iuUd)(?:Loại văn bằng|Danh hiệu):{ws}*(.+)", 1),
+            "hinh_thuc": _labelled(content, rf"(?iuUd)Hình thức đào tạo:{ws}*(.+)", 1),
+            "phuong_thuc": _labelled(content, rf"(?iuUd)Phương thức tổ chức đào tạo:{ws}*(.+)", 1),
+        }
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    plain = F.array_join(F.transform(F.split(content, "\n"), tx.plain_line), "\n")
+    return tx.let(tx.let(tx.let(plain, read), split), fields)
 
 
 # Degree words, in order of preference, and their ids.
@@ -181,11 +213,13 @@ DEGREES = (("cử nhân", "BACHELOR"), ("kỹ sư", "ENGINEER"), ("thạc sĩ",
 
 
 def degree_id(degree: Column) -> Column:
-    lowered = F.lower(degree)
-    chain = F
-    for word, name in DEGREES:
-        chain = chain.when(lowered.contains(word), F.lit(name))
-    return chain.otherwise(F.lit("OTHER"))
+    def choose(lowered: Column) -> Column:
+        chain = F
+        for word, name in DEGREES:
+            chain = chain.when(lowered.contains(word), F.lit(name))
+        return chain.otherwise(F.lit("OTHER"))
+
+    return tx.let(F.lower(degree), choose)
 
 
 def split_list(c: Column) -> Column:
@@ -219,11 +253,12 @@ def bullets(content: Column) -> Column:
     """Items opened by a dash or plus at a line start; a blank text is one item."""
     return F.transform(
         F.split(content, r"\n-|\n\+"),
-        lambda x: tx.collapse(tx.one_line(tx.strip(F.regexp_replace(x, r"(?U)\A[+-]\s*", "")))),
+        lambda x: tx.collapse(tx.one_line(tx.strip(F.regexp_replace(x, rf"(?U)\A[+-][{tx.S}]*", "")))),
     )
 
 
-PEO = r"(?U)(?:\s|^)[a-z0-9]{1,2}[.)]?\s+(.*?)\((PEO\s*\d+)\)"
+# White space is collapsed before, so it is one plain space here.
+PEO = r"(?: |^)[a-z0-9]{1,2}[.)]? (.*?)\((PEO ?[0-9]+)\)"
 
 
 def _first_line(c: Column) -> Column:
@@ -249,17 +284,18 @@ def objectives(content: Column) -> Column:
         )
 
     def specific(body: Column) -> Column:
-        line = tx.collapse(body)
-        found = F.arrays_zip(
-            tx.all_matches(line, PEO, 1).alias("title"), tx.all_matches(line, PEO, 2).alias("code")
-        )
+        # One search over the text; title and code are read from each short match.
+        found = tx.all_matches(tx.collapse(body), PEO, 0)
+        whole_match = PEO.replace("(?: |^)", "^ ?") + r"\z"
         return F.transform(
             found,
             lambda m: F.struct(
-                F.replace(m["code"], F.lit(" "), F.lit("")).alias("key"),
+                F.replace(F.regexp_extract(m, whole_match, 2), F.lit(" "), F.lit("")).alias("key"),
                 F.lit("CuThe").alias("loai"),
                 F.lit("Mục tiêu đào tạo cụ thể").alias("heading"),
-                tx.strip(F.regexp_replace(tx.strip(m["title"]), r"[,;.]+\z", "")).alias("noi_dung"),
+                tx.strip(F.regexp_replace(
+                    tx.strip(F.regexp_extract(m, whole_match, 1)), r"[,;.]+\z", ""
+                )).alias("noi_dung"),
             ),
         )
 
@@ -270,14 +306,18 @@ def objectives(content: Column) -> Column:
             F.array(general(tx.strip(tx.collapse(body)), "Mục tiêu đào tạo chung")),
         ).otherwise(specific(body))
 
-    whole = F.array(general(tx.one_line(tx.strip(content)), "Mục tiêu đào tạo"))
-    undivided = (F.size(blocks) == 0) | ((F.size(blocks) == 1) & ~F.contains(content, F.lit("\n")))
-    return F.when(undivided, whole).otherwise(F.flatten(F.transform(blocks, of_block)))
+    def of_blocks(found: Column) -> Column:
+        whole = F.array(general(tx.one_line(tx.strip(content)), "Mục tiêu đào tạo"))
+        undivided = (F.size(found) == 0) | ((F.size(found) == 1) & ~F.contains(content, F.lit("\n")))
+        return F.when(undivided, whole).otherwise(F.flatten(F.transform(found, of_block)))
 
+    return tx.let(blocks, of_blocks)
 
-OUTCOME_L2 = r"(?U)^(?:####\s+)?\d+\.\d+\.\d+\.?\s+(.*)"
-OUTCOME_L1 = r"(?U)^(?:###\s+)?\d+\.\d+\s+(.*)"
-OUTCOME_ITEM = r"(?U)^(?:\s*[a-z]\.|-|\+|\*)\s+(.*)"
+
+OUTCOME_L2 = rf"(?U)^(?:####[{tx.S}]+)?[0-9]+\.[0-9]+\.[0-9]+\.?[{tx.S}]+(.*)"
+OUTCOME_L1 = rf"(?U)^(?:###[{tx.S}]+)?[0-9]+\.[0-9]+[{tx.S}]+(.*)"
+OUTCOME_ITEM = rf"(?U)^(?:[a-z]\.|-|\+|\*)[{tx.S}]+(.*)"
+OUTCOME_LINE = "|".join((OUTCOME_ITEM, OUTCOME_L2, OUTCOME_L1))
 OUTCOME_CODE = r"(?i)\(((?:PLO|CDR|PO)[0-9]+)\)"
 DEFAULT_GROUP = "Chung"
 
@@ -293,43 +333,45 @@ def outcomes(content: Column, join_continuations: bool = False) -> Column:
     if join_continuations:
         joined = F.regexp_replace(
             F.array_join(lines, "\n"),
-            r"(?U)\n(?!(?:#+\s|\d+\.\d+[.\s]|[a-z]\.\s|[-+*]\s))",
+            rf"(?U)\n(?!(?:#+[{tx.S}]|[0-9]+\.[0-9]+[.{tx.S}]|[a-z]\.[{tx.S}]|[-+*][{tx.S}]))",
             " ",
         )
         lines = F.split(joined, "\n")
-    kept = F.filter(lines, lambda x: x.rlike(OUTCOME_L2) | x.rlike(OUTCOME_L1) | x.rlike(OUTCOME_ITEM))
-    l1_start = r"(?Um)^(?=(?:###[^\S\n]+)?\d+\.\d+[^\S\n]+)"
-    l2_start = r"(?Um)^(?=(?:####[^\S\n]+)?\d+\.\d+\.\d+\.?[^\S\n]+)"
+    kept = F.filter(lines, lambda x: x.rlike(OUTCOME_LINE))
+    l1_start = r"(?Umd)^(?=(?:###[^\S\n]+)?[0-9]+\.[0-9]+[^\S\n])"
+    l2_start = r"(?Umd)^(?=(?:####[^\S\n]+)?[0-9]+\.[0-9]+\.[0-9]+\.?[^\S\n])"
 
     def heading(block: Column, pattern: str) -> Column:
-        line = _first_line(block)
-        return F.when(line.rlike(pattern), tx.strip_chars(F.regexp_extract(line, pattern, 1), "#* ")).otherwise(
-            F.lit(DEFAULT_GROUP)
-        )
+        return tx.let(_first_line(block), lambda line: F.when(
+            line.rlike(pattern), tx.strip_chars(F.regexp_extract(line, pattern, 1), "#* ")
+        ).otherwise(F.lit(DEFAULT_GROUP)))
 
     def items(category: Column, block: Column) -> Column:
-        group = heading(block, OUTCOME_L2)
-        return F.transform(
+        return tx.let(heading(block, OUTCOME_L2), lambda group: F.transform(
             F.filter(F.split(block, "\n"), lambda x: x.rlike(OUTCOME_ITEM)),
             lambda x: F.struct(
                 tx.strip(F.regexp_extract(x, OUTCOME_ITEM, 1)).alias("body"),
                 group.alias("nhom"),
                 category.alias("loai"),
             ),
-        )
+        ))
 
     def of_category(block: Column) -> Column:
-        category = heading(block, OUTCOME_L1)
-        return F.flatten(F.transform(F.split(block, l2_start), lambda b: items(category, b)))
+        return tx.let(heading(block, OUTCOME_L1), lambda category: F.flatten(
+            F.transform(F.split(block, l2_start), lambda b: items(category, b))
+        ))
 
     found = F.flatten(F.transform(F.split(F.array_join(kept, "\n"), l1_start), of_category))
-    placed = F.transform(found, lambda x, i: x.withField("ord", i))
+    placed = F.transform(found, lambda x, i: F.struct(
+        x["body"].alias("body"), x["nhom"].alias("nhom"), x["loai"].alias("loai"), i.alias("ord"),
+        F.regexp_extract(x["body"], OUTCOME_CODE, 0).alias("mark"),
+    ))
 
     def coded(x: Column) -> Column:
-        mark = F.regexp_extract(x["body"], OUTCOME_CODE, 0)
+        code = F.regexp_replace(F.upper(x["mark"]), r"[()]", "")
         return F.struct(
-            F.upper(F.regexp_extract(x["body"], OUTCOME_CODE, 1)).alias("code"),
-            tx.strip_chars(F.replace(x["body"], mark, F.lit("")), " ;.,").alias("noi_dung"),
+            code.alias("code"),
+            tx.strip_chars(F.replace(x["body"], x["mark"], F.lit("")), " ;.,").alias("noi_dung"),
             x["nhom"].alias("nhom"), x["loai"].alias("loai"), x["ord"].alias("ord"),
         )
 
@@ -341,11 +383,10 @@ def outcomes(content: Column, join_continuations: bool = False) -> Column:
             x["nhom"].alias("nhom"), x["loai"].alias("loai"), x["ord"].alias("ord"),
         )
 
-    has_code = lambda x: x["body"].rlike(OUTCOME_CODE)
-    return F.concat(
-        F.transform(F.filter(placed, has_code), coded),
-        F.transform(F.filter(placed, lambda x: ~has_code(x)), numbered),
-    )
+    return tx.let(placed, lambda all_items: F.concat(
+        F.transform(F.filter(all_items, lambda x: x["mark"] != ""), coded),
+        F.transform(F.filter(all_items, lambda x: x["mark"] == ""), numbered),
+    ))
 
 
 # --- course table cells --------------------------------------------------------

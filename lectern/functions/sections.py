@@ -40,11 +40,13 @@ def concept_of(header: Column, concepts=CONCEPTS) -> Column:
         )
         return " ".join(marks_off.replace("đ", "d").split())
 
-    folded = tx.match_key(header)
-    chain = F
-    for concept, words in concepts:
-        chain = chain.when(folded.rlike("|".join(key(w) for w in words)), F.lit(concept))
-    return chain.otherwise(F.lit(UNCLASSIFIED))
+    def classify(folded: Column) -> Column:
+        chain = F
+        for concept, words in concepts:
+            chain = chain.when(folded.rlike("|".join(key(w) for w in words)), F.lit(concept))
+        return chain.otherwise(F.lit(UNCLASSIFIED))
+
+    return tx.let(tx.match_key(header), classify)
 
 
 def parts(text: Column, start: str = PART_START) -> Column:
@@ -55,13 +57,14 @@ def parts(text: Column, start: str = PART_START) -> Column:
 def sections(text: Column, part_start: str = PART_START, section_start: str = SECTION_START) -> Column:
     """``array<string>``: a numbered second-level heading opens a section and takes
     in the pieces that follow; pieces before the first one stay separate."""
-    folded = F.array_join(parts(text, part_start), "\n\n")
-    blocks = F.split(folded, section_start)
-    opening = F.element_at(blocks, 1)
-    opens = opening.rlike(section_start.replace("(?md)", r"(?d)"))
-    lead = F.when(opens, F.array(tx.strip(opening))).otherwise(parts(opening, part_start))
-    rest = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), tx.strip)
-    return F.concat(lead, rest)
+    def of_blocks(blocks: Column) -> Column:
+        opening = blocks[0]
+        opens = opening.rlike(section_start.replace("(?md)", r"(?d)"))
+        lead = F.when(opens, F.array(tx.strip(opening))).otherwise(parts(opening, part_start))
+        rest = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
+        return F.concat(lead, F.transform(rest, tx.strip))
+
+    return tx.let(F.split(F.array_join(parts(text, part_start), "\n\n"), section_start), of_blocks)
 
 
 def header_of(section: Column) -> Column:

@@ -13,7 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-WHITE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# The same characters inside a pattern class, under the flag (?U).
+S = r"\s\x1c-\x1f"
+WHITE_RUN = rf"(?U)[{S}]+"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A column expression is a tree: naming one twice in Python computes it twice.
+    Binding it to the variable of a one-element transform avoids that, inside
+    lambdas too, where Spark finds no common subexpressions.
+    """
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def _accent_table() -> tuple[str, str]:
@@ -33,7 +45,13 @@ ACCENTED, PLAIN = _accent_table()
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.btrim(c, F.lit(WHITE))
+    # Most texts have none there; looking at two characters is cheaper than trimming.
+    def trimmed(x: Column) -> Column:
+        white = F.lit(WHITE)
+        ends = F.contains(white, F.left(x, F.lit(1))) | F.contains(white, F.right(x, F.lit(1)))
+        return F.when(ends, F.btrim(x, white)).otherwise(x)
+
+    return let(c, trimmed)
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -81,9 +99,8 @@ def slug_id(c: Column) -> Column:
 
 
 def safe_int(c: Column, default: int = 0) -> Column:
-    text = strip(c.cast("string"))
-    whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
-    return F.coalesce(whole, F.lit(default))
+    whole = lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
+    return F.coalesce(let(strip(c.cast("string")), whole), F.lit(default))
 
 
 def safe_float(c: Column, default: float = 0.0) -> Column:
@@ -100,7 +117,7 @@ def remove_emphasis(c: Column) -> Column:
 
 # A numbered heading line, Roman or decimal.
 HEADING_LINE = (
-    r"(?Ud)^\s*[*_]*(?:Phần|Chương|Mục)?\s*([IVX]+|\d+(?:\.\d+)*)[.:)]*[*_]*\s+(.*)"
+    rf"(?Ud)^[{S}]*[*_]*(?:Phần|Chương|Mục)?[{S}]*([IVX]+|[0-9]+(?:\.[0-9]+)*)[.:)]*[*_]*[{S}]+(.*)"
 )
 HEADING_MAX_CHARS = 100
 SENTENCE_MIN_CHARS = 30
@@ -111,47 +128,65 @@ def _heading_title(line: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_extract(line, HEADING_LINE, 2), r"^[*_]+|[*_]+$", ""))
 
 
+def _reads_like_title(title: Column) -> Column:
+    sentence = (F.length(title) > SENTENCE_MIN_CHARS) & F.right(title, F.lit(1)).isin(*SENTENCE_ENDS)
+    return (title != "") & (F.length(title) <= HEADING_MAX_CHARS) & ~sentence
+
+
 def is_heading(line: Column) -> Column:
     """Does a stripped line carry a section number and read like a title?"""
-    title = _heading_title(line)
-    sentence = (F.length(title) > SENTENCE_MIN_CHARS) & F.right(title, F.lit(1)).isin(*SENTENCE_ENDS)
-    return (
-        line.rlike(HEADING_LINE)
-        & (title != "")
-        & (F.length(title) <= HEADING_MAX_CHARS)
-        & ~sentence
-    )
+    return line.rlike(HEADING_LINE) & let(_heading_title(line), _reads_like_title)
 
 
-def _markdown_heading(line: Column) -> Column:
-    number = F.regexp_extract(line, HEADING_LINE, 1)
-    depth = F.when(
-        number.rlike("^[IVX]+$") | line.contains("Phần"), F.lit(2)
-    ).otherwise(F.least(F.size(F.split(number, "[.]")) + 1, F.lit(6)))
-    return F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), number, F.lit(" "), _heading_title(line))
+def _markdown_heading(line: Column, title: Column) -> Column:
+    def with_number(number: Column) -> Column:
+        depth = F.when(
+            number.rlike("^[IVX]+$") | line.contains("Phần"), F.lit(2)
+        ).otherwise(F.least(F.size(F.split(number, "[.]")) + 1, F.lit(6)))
+        return F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), number, F.lit(" "), title)
 
+    return let(F.regexp_extract(line, HEADING_LINE, 1), with_number)
 
-def upgrade_headings(text: Column) -> Column:
-    """Rewrite numbered title lines as Markdown headings, strip every line."""
+
+def upgrade_line(line: Column) -> Column:
+    """A numbered title line as a Markdown heading, any other line stripped."""
     # Only lines opening with a mark, a number or one of the words can match;
     # the cheap test spares all other lines the full pattern.
-    maybe = r"^[*_\sPCMIVX\d]"
-    lines = F.transform(F.split(text, "\n"), strip)
-    upgraded = F.transform(
-        lines,
-        lambda line: F.when(
-            line.rlike(maybe) & is_heading(line), _markdown_heading(line)
-        ).otherwise(line),
+    maybe = r"^[*_PCMIVX0-9]"
+
+    def upgraded(x: Column) -> Column:
+        return F.when(
+            x.rlike(maybe) & x.rlike(HEADING_LINE),
+            let(_heading_title(x), lambda t: F.when(_reads_like_title(t), _markdown_heading(x, t)).otherwise(x)),
+        ).otherwise(x)
+
+    return let(strip(line), upgraded)
+
+
+def upgrade_headings(text: Column) -> Column:
+    """Rewrite numbered title lines as Markdown headings, strip every line."""
+    return F.array_join(F.transform(F.split(text, "\n"), upgrade_line), "\n")
+
+
+def plain_line(line: Column) -> Column:
+    """Emphasis removed; marks pair within a line, so lines without any are left alone."""
+    marked = F.contains(line, F.lit("*")) | F.contains(line, F.lit("_"))
+    return F.when(marked, remove_emphasis(line)).otherwise(line)
+
+
+def refine(text: Column) -> Column:
+    """``upgrade_headings`` then ``remove_emphasis``, in one pass over the lines."""
+    return F.array_join(
+        F.transform(F.split(text, "\n"), lambda line: let(upgrade_line(line), plain_line)), "\n"
     )
-    return F.array_join(upgraded, "\n")
 
 
 def has_markdown_table(text: Column) -> Column:
-    return text.rlike(r"(?md)^\s*\|.+\|\s*$")
+    return text.rlike(rf"(?Umd)^[{S}]*\|.+\|[{S}]*$")
 
 
 def drop_heading_marks(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)^#+\s+", ""))
+    return strip(F.regexp_replace(c, rf"(?U)^#+[{S}]+", ""))
 
 
 def fix_lookalikes(c: Column) -> Column:

@@ -29,8 +29,7 @@ RECORD_TYPE = (
 
 def refine(docs: DataFrame) -> DataFrame:
     """Markdown with headings upgraded and emphasis removed."""
-    upgraded = docs.withColumn("text", tx.upgrade_headings(F.col("text")))
-    return upgraded.withColumn("text", tx.remove_emphasis(F.col("text")))
+    return docs.withColumn("text", tx.refine(F.col("text")))
 
 
 def pick_text(candidates: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -56,15 +55,15 @@ def sections_with_context(refined: DataFrame) -> DataFrame:
     )
     typed = docs.withColumn(
         "parts",
-        F.transform("parts", lambda p, i: F.struct(
-            i.alias("no"), sc.header_of(p).alias("header"), sc.content_of(p).alias("content"),
-            sc.concept_of(sc.header_of(p)).alias("type"), p.alias("whole"),
-        )),
+        F.transform("parts", lambda p, i: tx.let(sc.header_of(p), lambda header: F.struct(
+            i.alias("no"), header.alias("header"), sc.content_of(p).alias("content"),
+            sc.concept_of(header).alias("type"), p.alias("whole"),
+        ))),
     )
 
     def general(p: Column) -> Column:
         parsed = fd.programme(p["content"], F.col("year"), F.col("high_quality"))
-        return F.struct(p["no"].alias("no"), *[v.alias(k) for k, v in parsed.items()])
+        return F.struct(p["no"].alias("no"), parsed.alias("is"))
 
     known = typed.withColumn(
         "known", F.transform(F.filter("parts", lambda p: p["type"] == "THONG_TIN_CHUNG"), general)
@@ -87,10 +86,10 @@ def sections_with_context(refined: DataFrame) -> DataFrame:
         ),
     )
     rows = known.select("doc_id", "words_date", F.explode(placed).alias("x"))
-    context = [F.coalesce(F.col("x.before")[f], F.lit(NOT_SEEN)).alias(f) for f in CONTEXT_FIELDS]
+    context = [F.coalesce(F.col("x.before.is")[f], F.lit(NOT_SEEN)).alias(f) for f in CONTEXT_FIELDS]
     return rows.select(
         "doc_id", "words_date", F.col("x.s.no").alias("section_no"), "x.s.type", "x.s.header",
-        "x.s.content", "x.s.whole", "x.own", *context,
+        "x.s.content", "x.s.whole", F.col("x.own.is").alias("own"), *context,
     )
 
 
@@ -192,71 +191,89 @@ def _reference_records() -> Column:
 
     def legal(ref: Column) -> Column:
         f = fd.legal_reference(ref)
-        node_id = f.pop("id")
-        return _record(
+        return tx.let(f.pop("id"), lambda node_id: _record(
             "VanBanPhapLy", node_id, _say(*_titled("Căn cứ văn bản pháp lý"), ref), _props(**f),
             _edge(program, "TUAN_THU", node_id),
-        )
+        ))
 
     def plain(ref: Column, i: Column) -> Column:
-        f = fd.plain_reference(ref)
         node_id = F.concat(program, F.lit("_ctk_"), (i + 1).cast("string"))
-        return _record(
-            "ChuanThamKhao", node_id, _say(*_titled("Chuẩn tham khảo"), f["noi_dung"]), _props(**f),
+        return tx.let(fd.plain_reference(ref), lambda f: _record(
+            "ChuanThamKhao", node_id, _say(*_titled("Chuẩn tham khảo"), f["noi_dung"]),
+            _props(noi_dung=f["noi_dung"], link=f["link"], noi_dung_goc=f["noi_dung_goc"]),
             _edge(program, "THAM_CHIEU", node_id),
-        )
+        ))
 
-    return F.concat(
-        F.transform(F.filter(refs, fd.is_legal), legal),
-        F.transform(F.filter(refs, lambda r: ~fd.is_legal(r)), plain),
-    )
+    marked = F.transform(refs, lambda r: F.struct(r.alias("ref"), fd.is_legal(r).alias("legal")))
+    return tx.let(marked, lambda all_refs: F.concat(
+        F.transform(F.filter(all_refs, lambda r: r["legal"]), lambda r: legal(r["ref"])),
+        F.transform(F.filter(all_refs, lambda r: ~r["legal"]), lambda r, i: plain(r["ref"], i)),
+    ))
 
 
 def _outcome_records(join_continuations: bool) -> Column:
     program = F.col("program_id")
 
     def record(o: Column) -> Column:
-        node_id = tx.slug_id(F.concat_ws("_", program, o["code"]))
-        return _record(
+        return tx.let(tx.slug_id(F.concat_ws("_", program, o["code"])), lambda node_id: _record(
             "ChuanDauRa", node_id, _say(*_titled("Chuẩn đầu ra"), o["noi_dung"]),
             _props(noi_dung=o["noi_dung"], nhom=o["nhom"], loai=o["loai"]),
             _edge(program, "DAT_CHUAN_DAU_RA", node_id),
-        )
+        ))
 
     return F.transform(fd.outcomes(F.col("content"), join_continuations), record)
 
 
 def _decision_records() -> Column:
     program, name = F.col("program_id"), F.col("ten_nganh")
-    f = fd.decision(F.col("whole"), F.col("words_date"))
-    node_id, level = f.pop("id"), f.pop("trinh_do")
-    return F.array(
-        _record("VanBanPhapLy", node_id,
-                _say("Chương trình đào tạo ngành ", name, " được ban hành theo ", f["noi_dung_goc"]),
-                _props(**f), _edge(program, "DUOC_BAN_HANH_THEO", node_id)),
-        _record("TrinhDo", tx.slug_id(level), _say("Trình độ đào tạo - Ngành ", name, ": ", level),
-                _props(ten_trinh_do=level), _edge(program, "DAO_TAO_TRINH_DO", tx.slug_id(level))),
-    )
 
+    def records(f: Column) -> Column:
+        kept = ("so", "ten", "loai", "ngay_ban_hanh", "co_quan_ban_hanh", "noi_dung_goc")
+        level_id = tx.slug_id(f["trinh_do"])
+        return F.array(
+            _record("VanBanPhapLy", f["id"],
+                    _say("Chương trình đào tạo ngành ", name, " được ban hành theo ", f["noi_dung_goc"]),
+                    _props(**{k: f[k] for k in kept}), _edge(program, "DUOC_BAN_HANH_THEO", f["id"])),
+            _record("TrinhDo", level_id, _say("Trình độ đào tạo - Ngành ", name, ": ", f["trinh_do"]),
+                    _props(ten_trinh_do=f["trinh_do"]), _edge(program, "DAO_TAO_TRINH_DO", level_id)),
+        )
+
+    def fields(text: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in fd.decision(text, F.col("words_date")).items()])
+
+    return tx.let(tx.let(tx.drop_heading_marks(F.col("whole")), fields), records)
 
-def section_records(sections: DataFrame, join_continuations: bool = False) -> DataFrame:
-    """``(doc_id, seq, label, id, text, props, edges)`` of all sections but course tables."""
-    jobs = _bullet_records("ViTriViecLam", "vtvl", "Vị trí việc làm", "CO_CO_HOI_VIEC_LAM", {"loai": "CuThe"})
-    study = _bullet_records("KhaNangHocTap", "knht", "Khả năng học tập", "TAO_NEN_TANG", {})
-    by_type = {
-        "THONG_TIN_CHUNG": _general_records(),
-        "MUC_TIEU": _objective_records(),
-        "VI_TRI_VIEC_LAM": jobs,
-        "KHA_NANG_HOC_TAP": study,
-        "THAM_KHAO": _reference_records(),
-        "CHUAN_DAU_RA": _outcome_records(join_continuations),
-        DECISION: _decision_records(),
-    }
+
+RECORDS = {
+    "THONG_TIN_CHUNG": _general_records,
+    "MUC_TIEU": _objective_records,
+    "VI_TRI_VIEC_LAM": lambda: _bullet_records(
+        "ViTriViecLam", "vtvl", "Vị trí việc làm", "CO_CO_HOI_VIEC_LAM", {"loai": "CuThe"}
+    ),
+    "KHA_NANG_HOC_TAP": lambda: _bullet_records("KhaNangHocTap", "knht", "Khả năng học tập", "TAO_NEN_TANG", {}),
+    "THAM_KHAO": _reference_records,
+    "CHUAN_DAU_RA": lambda: _outcome_records(False),
+    DECISION: _decision_records,
+}
+
+
+def section_records(sections: DataFrame, join_continuations: bool = False,
+                    types: tuple[str, ...] = tuple(RECORDS)) -> DataFrame:
+    """``(doc_id, seq, label, id, text, props, edges)`` of the sections of some types.
+
+    Course tables come from their own rows. ``join_continuations`` joins wrapped
+    lines of learning outcomes before reading them.
+    """
+    by_type = {t: RECORDS[t] for t in types}
+    if join_continuations and "CHUAN_DAU_RA" in by_type:
+        by_type["CHUAN_DAU_RA"] = lambda: _outcome_records(True)
     chain = F
     for name, records in by_type.items():
-        chain = chain.when(F.col("type") == name, records.cast(RECORD_TYPE))
-    rows = sections.where(F.col("type").isin(*by_type)).select("doc_id", "section_no", chain.alias("records"))
-    return rows.select("doc_id", "section_no", F.posexplode("records").alias("place", "r")).select(
+        chain = chain.when(F.col("type") == name, records().cast(RECORD_TYPE))
+    # The array goes straight into the generator. As a column of its own it would
+    # be computed again by the size filter that the optimizer puts under explode.
+    rows = sections.where(F.col("type").isin(*by_type))
+    return rows.select("doc_id", "section_no", F.posexplode(chain).alias("place", "r")).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         (F.col("section_no").cast("bigint") * PLACES_PER_SECTION + F.col("place")).alias("seq"),
         "r.*",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +27,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(
         F.split(letters, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "lang", "source", "n_chars", F.filter(lines, lambda x: x != "").alias("ls")
     )
 

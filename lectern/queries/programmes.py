@@ -17,8 +17,7 @@ def _sections(spark, d):
 
 def _records(spark, d, *types, join_continuations=False):
     """Nodes made by the sections of some types."""
-    sections = _sections(spark, d).where(F.col("type").isin(*types))
-    return cu.section_records(sections, join_continuations)
+    return cu.section_records(_sections(spark, d), join_continuations, types)
 
 
 def _flat(records, *keys):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Adaptive execution splits hot join
 # keys; the force flag lets it do so even when that costs one more exchange.
@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites of column calls are not recorded: plans here have thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -35,6 +37,16 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work enough tasks when the input comes in few partitions.
+
+    Large inputs have more partitions than cores and are left as they are. ``key``
+    should be unique, so that rows spread evenly and reruns agree.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, shared by all executors.
 
