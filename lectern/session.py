@@ -15,9 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Call sites of column calls are not recorded: plans here have thousands of them.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Settings that must be there from the start of a session. Call sites of column
+# calls are not recorded: plans here have thousands of them.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app_name: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,7 +26,7 @@ def build_session(app_name: str = "lectern", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
