@@ -143,95 +143,103 @@ def block_totals(states: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _props(**values: Column) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
-
-
 def course_nodes(table: DataFrame) -> DataFrame:
-    """Block, requirement, subgroup and course nodes of a table from ``with_ids``."""
+    """Block, requirement, subgroup and course nodes of a table from ``with_ids``.
+
+    Each row yields its records in one pass. Nodes made from a heading or label
+    keep their first occurrence in a table, blocks take the last totals, courses
+    are all kept as submitted.
+    """
     major = F.concat(F.col("ten_nganh"), F.lit(" ("), F.col("loai_hinh"), F.lit(")"))
+    block_word = F.coalesce("block_id", F.lit("None"))
+    no_totals = F.lit(None).cast("struct<tong:int,bat_buoc:int,tu_chon:int>")
+    no_entries = F.array().cast("array<struct<key:string,value:string>>")
+
+    def entries(**values: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()
+        ])
+
+    def record(label: str, node_id: Column, text: Column, props: Column, slot=F.lit(-1), totals=no_totals,
+               opens=F.lit(True)) -> Column:
+        return F.struct(
+            F.lit(label).alias("label"), node_id.alias("id"), slot.cast("bigint").alias("slot"),
+            text.alias("text"), props.alias("props"), totals.alias("totals"), opens.alias("opens"),
+        )
 
-    # Nodes made from a heading or label keep their first occurrence in a table.
-    blocks = (
-        table.where("kind = 'block'")
-        .groupBy("doc_id", "block_id")
-        .agg(F.min("row_no").alias("row_no"),
-             F.min_by(F.struct("block", major.alias("major")), "row_no").alias("b"))
-        .join(block_totals(table, "doc_id", "block_id"), ["doc_id", "block_id"], "left")
-    )
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    block_text = F.when(
-        F.col("tong_tin_chi").isNotNull(),
-        F.concat(
-            F.col("b.block"), F.lit(" - Ngành "), F.col("b.major"),
-            F.lit(" có số tín chỉ bắt buộc: "), number("tin_chi_bat_buoc"),
-            F.lit(", số tín chỉ tự chọn: "), number("tin_chi_tu_chon"),
-            F.lit(", tổng cộng: "), number("tong_tin_chi"), F.lit(" tín chỉ."),
-        ),
-    ).otherwise("")
-    block_nodes = blocks.select(
-        F.lit("KhoiKienThuc").alias("label"), F.col("block_id").alias("id"), block_text.alias("text"),
-        _props(
-            ten_khoi=F.col("b.block"), tong_tin_chi=number("tong_tin_chi"),
-            tin_chi_bat_buoc=number("tin_chi_bat_buoc"), tin_chi_tu_chon=number("tin_chi_tu_chon"),
-        ).alias("props"),
-        "doc_id", "row_no", F.lit(0).alias("place"),
+    row_text = F.col("row_text")
+    totals = F.struct(
+        fd.credit_total(row_text, fd.TOTAL_ALL).alias("tong"),
+        fd.credit_total(row_text, fd.TOTAL_COMPULSORY).alias("bat_buoc"),
+        fd.credit_total(row_text, fd.TOTAL_ELECTIVE).alias("tu_chon"),
     )
-
-    block_word = F.coalesce("block_id", F.lit("None"))
-    opens_requirement = (F.col("kind") == "course") & (F.col("elective") != "")
-    requirement = F.struct(
-        F.lit("YeuCauTuChon").alias("label"), F.col("req_id").alias("id"),
-        F.concat(
-            F.lit("Số tín chỉ yêu cầu tự chọn trong khối "), block_word, F.lit(" - Ngành "), major,
-            F.lit(": "), F.col("requirement"),
-        ).alias("text"),
-        _props(
-            noi_dung_yeu_cau=F.col("requirement"),
-            mo_ta=F.concat(F.lit("Yêu cầu tự chọn trong khối "), block_word),
-        ).alias("props"),
+    block_text = F.concat(F.col("block"), F.lit(" - Ngành "), major)
+    block = record("KhoiKienThuc", F.col("block_id"), block_text, entries(ten_khoi=F.col("block")))
+    total = record("KhoiKienThuc", F.col("block_id"), F.lit(""), no_entries, totals=totals, opens=F.lit(False))
+    requirement = record(
+        "YeuCauTuChon", F.col("req_id"),
+        F.concat(F.lit("Số tín chỉ yêu cầu tự chọn trong khối "), block_word, F.lit(" - Ngành "), major,
+                 F.lit(": "), F.col("requirement")),
+        entries(noi_dung_yeu_cau=F.col("requirement"),
+                mo_ta=F.concat(F.lit("Yêu cầu tự chọn trong khối "), block_word)),
     )
-    subgroup = F.struct(
-        F.lit("NhomHocPhanTuChon").alias("label"), F.col("sub_id").alias("id"),
-        F.concat(F.lit("Nhóm học phần tự chọn - Ngành "), major, F.lit(": "), F.col("subgroup")).alias("text"),
-        _props(ten_nhom=F.col("subgroup")).alias("props"),
+    subgroup = record(
+        "NhomHocPhanTuChon", F.col("sub_id"),
+        F.concat(F.lit("Nhóm học phần tự chọn - Ngành "), major, F.lit(": "), F.col("subgroup")),
+        entries(ten_nhom=F.col("subgroup")),
     )
-    labelled = (
-        table.select(
-            "doc_id", "row_no",
-            F.explode(F.array_compact(F.array(
-                F.when(opens_requirement, requirement), F.when(F.col("opens_subgroup"), subgroup)
-            ))).alias("n"),
-        )
-        .groupBy("doc_id", F.col("n.label").alias("label"), F.col("n.id").alias("id"))
-        .agg(F.min_by(F.struct("n.text", F.map_entries("n.props").alias("entries"), "row_no"), "row_no").alias("n"))
-        .select(
-            "label", "id", F.col("n.text").alias("text"), F.map_from_entries("n.entries").alias("props"),
-            "doc_id", F.col("n.row_no").alias("row_no"), F.lit(1).alias("place"),
-        )
-    )
-
     name = fd.course_name(F.col("name"))
     hours = lambda c: F.coalesce(tx.nullify(F.col(c)), F.lit("0"))
-    courses = (
-        table.where("kind = 'course'")
-        .select("*", F.explode(fd.course_codes(F.col("code"))).alias("hp"))
-        .select(
-            F.lit("HocPhan").alias("label"), tx.slug_id(F.col("hp")).alias("id"),
+
+    def course(hp: Column, i: Column) -> Column:
+        return record(
+            "HocPhan", tx.slug_id(hp),
             F.concat(
-                F.lit("Học phần "), F.col("hp"), F.lit(" - "), name, F.lit(" có số tín chỉ là "),
+                F.lit("Học phần "), hp, F.lit(" - "), name, F.lit(" có số tín chỉ là "),
                 F.col("credits"), F.lit(", số tiết lý thuyết là "), hours("theory"),
                 F.lit(", số tiết thực hành là "), hours("practice"), F.lit("."),
-            ).alias("text"),
-            _props(
-                ma_hp=F.col("hp"), ten_hp=name, so_tin_chi=F.col("credits"),
-                so_tiet_ly_thuyet=hours("theory"), so_tiet_thuc_hanh=hours("practice"),
-                bat_buoc=F.col("req_id").isNull(),
-            ).alias("props"),
-            "doc_id", "row_no", F.lit(2).alias("place"),
+            ),
+            entries(ma_hp=hp, ten_hp=name, so_tin_chi=F.col("credits"), so_tiet_ly_thuyet=hours("theory"),
+                    so_tiet_thuc_hanh=hours("practice"), bat_buoc=F.col("req_id").isNull()),
+            slot=F.col("row_no") * 64 + i,
         )
+
+    is_course = F.col("kind") == "course"
+    found = F.when(F.col("kind") == "block", F.array(block)).when(
+        F.col("kind") == "total", F.array(total)
+    ).otherwise(F.concat(
+        F.array_compact(F.array(
+            F.when(is_course & (F.col("elective") != ""), requirement), F.when(F.col("opens_subgroup"), subgroup)
+        )),
+        F.transform(fd.course_codes(F.col("code")), course),
+    ))
+    rows = table.select("doc_id", "row_no", F.explode(found).alias("r")).select("doc_id", "row_no", "r.*").where(
+        "id is not null"
+    )
+    # The slot keeps courses apart; all other nodes meet under -1.
+    first = F.min_by(F.struct("text", "props", "row_no"), F.when(F.col("opens"), F.col("row_no")))
+    last_totals = F.max_by("totals", F.when(F.col("totals").isNotNull(), F.col("row_no")))
+    nodes = rows.groupBy("doc_id", "label", "id", "slot").agg(first.alias("n"), last_totals.alias("t")).where(
+        "n is not null"
+    )
+    number = lambda f: F.coalesce(F.col("t")[f], F.lit(0)).cast("string")
+    is_block = F.col("label") == "KhoiKienThuc"
+    block_sentence = F.when(F.col("t").isNull(), F.lit("")).otherwise(F.concat(
+        F.col("n.text"), F.lit(" có số tín chỉ bắt buộc: "), number("bat_buoc"),
+        F.lit(", số tín chỉ tự chọn: "), number("tu_chon"), F.lit(", tổng cộng: "), number("tong"),
+        F.lit(" tín chỉ."),
+    ))
+    credits = entries(
+        tong_tin_chi=number("tong"), tin_chi_bat_buoc=number("bat_buoc"), tin_chi_tu_chon=number("tu_chon")
+    )
+    return nodes.select(
+        "label", "id", F.when(is_block, block_sentence).otherwise(F.col("n.text")).alias("text"),
+        F.map_from_entries(
+            F.when(is_block, F.concat(F.col("n.props"), credits)).otherwise(F.col("n.props"))
+        ).alias("props"),
+        "doc_id", F.col("n.row_no").alias("row_no"),
+        F.when(is_block, 0).when(F.col("slot") < 0, 1).otherwise(2).alias("place"),
     )
-    return block_nodes.unionByName(labelled).unionByName(courses)
 
 
 def course_edges(table: DataFrame) -> DataFrame:
@@ -258,17 +266,19 @@ def course_edges(table: DataFrame) -> DataFrame:
             F.transform(fd.course_codes(F.col("corequisites")), link("CO_THE_SONG_HANH")),
         )
 
-    def rows_of(array: Column) -> DataFrame:
-        return (
-            table.select("doc_id", "row_no", F.posexplode(array).alias("place", "e"))
-            .select("doc_id", "e.source", "e.type", "e.target", "row_no", "place")
-            .where("source <> '' and target <> ''")
-        )
-
-    # A block, requirement or subgroup is linked once per table, courses each time.
-    once = (
-        rows_of(structure)
-        .groupBy("doc_id", "source", "type", "target")
-        .agg(F.min("row_no").alias("row_no"), F.min_by("place", "row_no").alias("place"))
+    # A block, requirement or subgroup is linked once per table, a course each time.
+    linked = F.concat(
+        F.transform(structure, lambda e: F.struct(e.alias("e"), F.lit(-1).cast("bigint").alias("slot"))),
+        F.transform(
+            F.flatten(F.transform(codes, of_course)),
+            lambda e, i: F.struct(e.alias("e"), (F.col("row_no") * 1024 + i).cast("bigint").alias("slot")),
+        ),
+    )
+    return (
+        table.select("doc_id", "row_no", F.posexplode(linked).alias("place", "l"))
+        .select("doc_id", "l.e.source", "l.e.type", "l.e.target", "l.slot", "row_no", "place")
+        .where("source <> '' and target <> ''")
+        .groupBy("doc_id", "source", "type", "target", "slot")
+        .agg(F.min(F.struct("row_no", "place")).alias("at"))
+        .select("doc_id", "source", "type", "target", "at.row_no", "at.place")
     )
-    return once.unionByName(rows_of(F.flatten(F.transform(codes, of_course))))

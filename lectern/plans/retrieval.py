@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import vectors as ve
 from ..operators.contains import contains_join
+from ..session import materialize
 
 COURSE = "HocPhan"
 PREREQUISITE = "YEU_CAU_TIEN_QUYET"
@@ -60,7 +61,8 @@ def prerequisite_answers(matches: DataFrame, courses: DataFrame, edges: DataFram
     hops = edges.where(F.col("type") == PREREQUISITE).select("source", "target")
     having = matches.join(hops.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
     chosen = having.groupBy("entity").agg(F.min_by("name", "id").alias("name"))
-    starts = having.join(chosen, ["entity", "name"]).select("entity", "name", F.col("id").alias("source"))
+    # Courses of the same name match the same texts, so the name finds them all.
+    starts = chosen.join(courses.select("name", F.col("id").alias("source")), "name")
     ends = courses.select(F.col("id").alias("target"), F.col("name").alias("before"))
     listed = (
         starts.join(hops, "source").join(ends, "target", "left")
@@ -78,13 +80,15 @@ def credit_answers(matches: DataFrame) -> DataFrame:
 def graph_answers(routed: DataFrame, nodes: DataFrame, edges: DataFrame, match_codes: bool = False) -> DataFrame:
     """``(intent, entity, graph_text)`` for the two intents the graph can answer.
 
-    Equal questions are looked up once.
+    Equal questions are looked up once, and the matches are found once for both.
     """
     asked = routed.where(F.col("intent").isin("PREREQUISITE", "CREDIT")).select("intent", "entity").distinct()
     courses = courses_of(nodes)
-    of = lambda intent: asked.where(F.col("intent") == intent).select("entity")
-    pre = prerequisite_answers(matching_courses(of("PREREQUISITE"), courses, match_codes), courses, edges)
-    credit = credit_answers(matching_courses(of("CREDIT"), courses, match_codes))
+    found = matching_courses(asked.select("entity").distinct(), courses, match_codes)
+    matches = materialize(asked.join(found, "entity"), "course-matches")
+    of = lambda intent: matches.where(F.col("intent") == intent)
+    pre = prerequisite_answers(of("PREREQUISITE"), courses, edges)
+    credit = credit_answers(of("CREDIT"))
     return pre.withColumn("intent", F.lit("PREREQUISITE")).unionByName(
         credit.withColumn("intent", F.lit("CREDIT"))
     )
@@ -108,7 +112,10 @@ def contexts(
     """
     routed = route(questions, whole_words)
     answers = graph_answers(routed, nodes, edges, match_codes)
-    looked_up = routed.join(answers, ["intent", "entity"], "left")
+    # Two readers follow: the questions left for the vectors, and the result.
+    looked_up = materialize(
+        routed.drop("text").join(answers, ["intent", "entity"], "left"), "looked-up-questions"
+    )
     rest = looked_up.where("graph_text is null and vector is not null").select("qid", "vector")
     matches = ve.top_matches(
         rest, corpus.select("id", "vector"), k=min(k, limit), min_cosine=ve.cosine_floor(threshold)

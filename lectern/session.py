@@ -59,3 +59,14 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    The written table lies in the shared folder, so a lost executor costs a
+    re-read and not a recomputation.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
