@@ -8,7 +8,9 @@ from ..functions import answers as an
 from ..functions import intents as it
 from ..functions import text as tx
 from ..plans import retrieval as ret
-from .derive import EDGES_SQL, NODES_SQL, table, trade_graph
+from ..session import work_folder
+from ..streaming.ingest import answer_stream
+from .derive import EDGES_SQL, NODES_SQL, stream, table, trade_graph
 
 # Openings that lead each message into one of the routing rules.
 OPENINGS = (
@@ -91,13 +93,13 @@ def request_prompts(spark, d):
     return flat.select("conv_id", "position", "m.role", "m.content")
 
 
-def _questions(spark, d):
+def _questions(spark, d, part=None):
     """One question per part: what comes before it, its credits, or something else.
 
     A course is only found when its name holds the entity, so the part names are
     prefixed with the words that set the intent.
     """
-    part = table(spark, d, "part")
+    part = table(spark, d, "part") if part is None else part
     name = F.concat_ws(" ", "p_name", "p_brand")
     words = F.element_at(
         F.array(F.lit("học trước"), F.lit("tín chỉ"), F.lit("văn bằng"), F.lit("hello")),
@@ -110,7 +112,7 @@ def _questions(spark, d):
     )
 
 
-def _contexts(spark, d):
+def _knowledge(spark, d):
     nodes, edges = trade_graph(spark, d)
     lead = F.element_at(F.array(F.lit("Học trước"), F.lit("Tín chỉ")), (F.col("seq") % 2 + 1).cast("int"))
     courses = nodes.where("label = 'HocPhan'").withColumn(
@@ -122,8 +124,12 @@ def _contexts(spark, d):
         F.col("vec_id").alias("id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"),
         F.col("embedding").alias("vector"),
     )
+    return courses, edges, corpus
+
+
+def _contexts(spark, d):
     questions = _questions(spark, d)
-    return questions, ret.contexts(questions, courses, edges, corpus, threshold=0.6)
+    return questions, ret.contexts(questions, *_knowledge(spark, d), threshold=0.6)
 
 
 def contexts(spark, d):
@@ -134,7 +140,16 @@ def replies(spark, d):
     return ret.replies(*_contexts(spark, d), institution="T")
 
 
+def streamed_contexts(spark, d):
+    """The same questions and answers as ``retrieval_contexts``, arriving as a stream."""
+    out = work_folder(spark, "question-stream")
+    questions = _questions(spark, d, stream(spark, d, "part"))
+    answer_stream(questions, *_knowledge(spark, d), out=out, threshold=0.6).awaitTermination()
+    return spark.read.parquet(f"{out}/answers").select("qid", "context")
+
+
 QUERIES = {
+    "stream_retrieval_contexts": streamed_contexts,
     "chat_router_intents": router_intents,
     "chat_retrieval_intents": retrieval_intents,
     "chat_entities": entities,
@@ -262,6 +277,9 @@ union all select conv_id, 2, 'user', question from requests
 """,
     "retrieval_contexts": _CONTEXTS + """
 select q.qid, f.intent, f.context from questions q left join found f on f.qid = q.qid
+""",
+    "stream_retrieval_contexts": _CONTEXTS + """
+select q.qid, f.context from questions q left join found f on f.qid = q.qid
 """,
     "retrieval_replies": _CONTEXTS + f"""
 , joined as (select q.qid, q.text, f.context, {_ROUTER.replace('text', 'q.text')} as router_intent

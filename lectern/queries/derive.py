@@ -21,13 +21,23 @@ def _lit(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their non-blank lines, reduced to letters and single spaces."""
+    return lines_of(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def lines_of(documents: DataFrame) -> DataFrame:
     letters = F.regexp_replace("text", r"[^A-Za-zÀ-ÖØ-öø-ÿ\n ]", "")
     lines = F.transform(
         F.split(letters, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))
     )
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return documents.select(
         "doc_id", "lang", "source", "n_chars", F.filter(lines, lambda x: x != "").alias("ls")
     )
 
@@ -60,7 +70,11 @@ DEGREE_NAMES = ("Cử nhân", "Kỹ sư", "Thạc sĩ", "Tiến sĩ", "Khác")
 
 def programme_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: Markdown of one study programme per document row."""
-    d = document_lines(spark, sf_dir)
+    return document_lines(spark, sf_dir).select("doc_id", programme_text().alias("text"))
+
+
+def programme_text() -> Column:
+    """Markdown of one study programme from the columns of ``document_lines``."""
     jobs, study, outs, refs = (_every(4, at) for at in range(4))
     first = F.coalesce(F.get("ls", F.lit(0)), F.lit("khong"))
     degree = F.element_at(F.array(*[F.lit(n) for n in DEGREE_NAMES]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -84,7 +98,7 @@ def programme_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda *parts: F.array(_lit(*parts))
     unit = F.when(F.col("doc_id") % 2 == 0, F.lit("Khoa ")).otherwise(F.lit("Bộ môn "))
     quality = F.when(F.col("doc_id") % 3 == 0, F.lit("Chương trình chất lượng cao")).otherwise(F.lit(""))
-    text = F.array_join(
+    return F.array_join(
         F.concat(
             one("# **CHƯƠNG TRÌNH ĐÀO TẠO TRÌNH ĐỘ ĐẠI HỌC** (Ban hành theo Quyết định số ", F.col("doc_id"),
                 "/QĐ-", F.upper("source"), " ngày 5 tháng 8 năm ", year, " của Hiệu trưởng ban hành bản ",
@@ -114,7 +128,6 @@ def programme_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "\n",
     )
-    return d.select("doc_id", text.alias("text"))
 
 
 def course_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +169,12 @@ PERIOD = 16
 
 def regulation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, file_name, text)``: each line of a document becomes a line of a regulation."""
-    d = document_lines(spark, sf_dir)
+    return document_lines(spark, sf_dir).select(
+        "doc_id", _lit("qd", F.col("doc_id"), ".pdf").alias("file_name"), regulation_text().alias("text")
+    )
+
+
+def regulation_text() -> Column:
     roman = F.array(*[F.lit(r) for r in ROMAN])
 
     def line(x0: Column, i: Column) -> Column:
@@ -185,8 +203,7 @@ def regulation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             chain = chain.when(i % PERIOD == at, text)
         return chain
 
-    text = F.array_join(F.transform("ls", line), "\n")
-    return d.select("doc_id", _lit("qd", F.col("doc_id"), ".pdf").alias("file_name"), text.alias("text"))
+    return F.array_join(F.transform("ls", line), "\n")
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

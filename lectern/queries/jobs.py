@@ -1,2 +1,217 @@
-QUERIES = {}
-SQL = {}
+"""Uploads and ingestion jobs, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import ingestion as ing
+from ..session import work_folder
+from ..sources.readers import CATEGORIES, rejection
+from ..streaming import ingest as st
+from .derive import lines_of, programme_text, regulation_text, stream, table
+
+
+def _pick(values, key):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def _items(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", _pick(ing.ITEM_STATES[:5], F.col("o_orderkey")).alias("status")
+    )
+
+
+def status_summary(spark, d):
+    return ing.status_summary(_items(spark, d))
+
+
+def busy(spark, d):
+    return ing.is_busy(_items(spark, d), "o_custkey").select("o_custkey", F.col("busy").cast("int").alias("busy"))
+
+
+def eligible(spark, d):
+    return ing.eligible(_items(spark, d)).select("o_orderkey", "status")
+
+
+def display(spark, d):
+    key = F.col("o_orderkey")
+    jobs = table(spark, d, "orders").select(
+        "o_orderkey", _pick(ing.JOB_STATES, key).alias("status"),
+        F.when(key % 3 == 0, F.lit(False)).when(key % 3 == 1, F.lit(True)).alias("applied"),
+        F.when(key % 5 > 0, key).alias("nodes"), F.when(key % 7 == 0, F.lit("hỏng")).alias("error"),
+    )
+    shown = jobs.withColumn("shown", ing.display_state(F.col("status"), F.col("applied")))
+    return shown.select(
+        "o_orderkey", "shown",
+        ing.display_message(F.col("shown"), F.col("nodes"), F.col("o_orderkey"), F.col("error")).alias("message"),
+    )
+
+
+_STATE_OF = {"signup": "queued", "click": "processing", "purchase": "completed", "error": "failed", "view": "processing"}
+
+
+def _events(spark, d):
+    kind = F.col("event_type")
+    status = F
+    for name, state in _STATE_OF.items():
+        status = status.when(kind == name, F.lit(state))
+    return table(spark, d, "events").select(
+        F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("event_seq"),
+        status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("size"),
+    )
+
+
+def job_states(spark, d):
+    second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return ing.arrival_order(ing.job_states(_events(spark, d))).select(
+        "job_id", "status", "size", second("created_at"), second("started_at"), second("completed_at")
+    )
+
+
+def job_lookup(spark, d):
+    wanted = table(spark, d, "customer").select(F.concat(F.lit("job"), F.col("c_custkey").cast("string")).alias("job_id"))
+    return ing.look_up_jobs(wanted, ing.job_states(_events(spark, d))).select(
+        "job_id", "status", F.col("known").cast("int").alias("known")
+    )
+
+
+def rejections(spark, d):
+    key = F.col("o_orderkey")
+    name = F.when(key % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("f"), key.cast("string"), _pick((".pdf", ".PDF", ".docx", ".Pdf"), key)))
+    category = _pick((*CATEGORIES, "khac"), key)
+    size = F.floor(F.col("o_totalprice") * 150).cast("bigint")
+    return table(spark, d, "orders").select("o_orderkey", rejection(name, category, size).alias("reason"))
+
+
+def routing(spark, d):
+    category = _pick((*CATEGORIES, "khac"), F.col("o_orderkey"))
+    return table(spark, d, "orders").groupBy(category.alias("category")).agg(F.count("*").alias("files")).select(
+        "category", "files", ing.has_pipeline(F.col("category")).cast("int").alias("has_pipeline")
+    )
+
+
+def _uploads(events):
+    return events.select(
+        F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("name"), F.floor("value").cast("bigint").alias("size"),
+        F.date_format("ts", "yyyy-MM").alias("last_modified"), F.col("event_id"), F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+def first_uploads(spark, d):
+    return ing.first_uploads(_uploads(table(spark, d, "events")), "event_id").select("key", "event_id")
+
+
+def streamed_first_uploads(spark, d):
+    """State is kept longer than the table is, so a repeat never comes back."""
+    out = work_folder(spark, "upload-stream")
+    kept = st.first_uploads_stream(_uploads(stream(spark, d, "events")), "at", "4000 days")
+    st.write_available(kept, f"{out}/kept", f"{out}/checkpoint")
+    kept = spark.read.parquet(f"{out}/kept")
+    return kept.groupBy("name").agg(F.count("*").alias("uploads"))
+
+
+def streamed_ingest(spark, d):
+    """Documents arrive as a stream and are routed to the pipelines; the jobs come back."""
+    out = work_folder(spark, "ingest-stream")
+    docs = lines_of(stream(spark, d, "documents"))
+    category = _pick(CATEGORIES, F.col("doc_id"))
+    text = F.when(category == CATEGORIES[0], programme_text()).when(category == CATEGORIES[1], regulation_text()).otherwise(
+        F.array_join("ls", "\n")
+    )
+    files = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".txt").otherwise(".pdf")).alias("file_name"),
+        category.alias("category"), F.col("n_chars").alias("size"),
+        F.when(F.col("doc_id") % 10 == 3, F.lit(" ")).otherwise(text).alias("text"),
+        F.current_timestamp().alias("arrived"),
+    )
+    query = (
+        files.writeStream.foreachBatch(lambda df, n: st.ingest_batch(df, n, out))
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return st.job_table(spark, out).select(
+        "job_id", "status", "category", "error",
+        F.col("ingestion_applied").cast("string").alias("applied"),
+        F.when(F.col("nodes") > 0, "some").otherwise("none").alias("nodes"),
+    )
+
+
+QUERIES = {
+    "jobs_status_summary": status_summary,
+    "jobs_busy": busy,
+    "jobs_eligible": eligible,
+    "jobs_display": display,
+    "jobs_states": job_states,
+    "jobs_lookup": job_lookup,
+    "uploads_rejected": rejections,
+    "uploads_routed": routing,
+    "uploads_first": first_uploads,
+    "stream_first_uploads": streamed_first_uploads,
+    "stream_ingest_jobs": streamed_ingest,
+}
+
+_ITEMS = """
+with items as (select o_orderkey, o_custkey,
+  list_extract(['ready', 'uploading', 'queued', 'processing', 'success'], o_orderkey % 5 + 1) as status from orders)
+"""
+_EVENTS = """
+with ev as (select 'job' || user_id as job_id, event_id, ts, value, case event_type when 'signup' then 'queued'
+  when 'purchase' then 'completed' when 'error' then 'failed' else 'processing' end as status from events),
+states as (select job_id, arg_max(status, event_id) as status, arg_max(value, event_id) as size,
+  strftime(min(ts) filter (status = 'queued'), '%Y-%m-%d %H:%M:%S') as created_at,
+  strftime(min(ts) filter (status = 'processing'), '%Y-%m-%d %H:%M:%S') as started_at,
+  strftime(min(ts) filter (status in ('completed', 'failed')), '%Y-%m-%d %H:%M:%S') as completed_at
+  from ev group by job_id)
+"""
+_CATS = "['chuyen_nganh_dao_tao', 'quy_che_hoc_vu', 'huong_dan_thu_tuc', 'thong_bao_ke_hoach', 'khac']"
+SQL = {
+    "jobs_status_summary": _ITEMS + """
+select s.status, count(i.status) as items from (select unnest(['ready', 'uploading', 'queued', 'processing', 'success', 'stored', 'error']) as status) s
+left join items i on i.status = s.status group by s.status
+""",
+    "jobs_busy": _ITEMS + """
+select o_custkey, cast(bool_or(status in ('uploading', 'queued', 'processing')) as int) as busy from items group by o_custkey
+""",
+    "jobs_eligible": _ITEMS + "select o_orderkey, status from items where status in ('ready', 'error')",
+    "jobs_display": """
+with j as (select o_orderkey, list_extract(['queued', 'processing', 'completed', 'failed'], o_orderkey % 4 + 1) as status,
+  o_orderkey % 3 = 0 as stored_only from orders),
+s as (select *, case when status = 'completed' then case when stored_only then 'stored' else 'success' end
+  when status = 'failed' then 'error' else status end as shown from j)
+select o_orderkey, shown, case shown
+  when 'success' then case when o_orderkey % 5 > 0 then 'Xong: ' || o_orderkey || ' nodes, ' || o_orderkey || ' edges.' else 'Upload hoàn tất.' end
+  when 'stored' then 'Đã lưu file, chưa có pipeline ingestion cho thể loại này.'
+  when 'error' then case when o_orderkey % 7 = 0 then 'hỏng' else 'Ingestion thất bại.' end end as message from s
+""",
+    "jobs_states": _EVENTS + "select * from states",
+    "jobs_lookup": _EVENTS + """
+select 'job' || c_custkey as job_id, coalesce(s.status, 'Job not found') as status, case when s.job_id is null then 0 else 1 end as known
+from customer left join states s on s.job_id = 'job' || c_custkey
+""",
+    "uploads_rejected": """
+select o_orderkey, case when o_orderkey % 13 = 0 then 'File name is missing' when o_orderkey % 5 = 4 then 'Invalid category'
+  when o_orderkey % 4 = 2 then 'Only PDF files are allowed' when floor(o_totalprice * 150) > 52428800 then 'File exceeds 50MB limit' end as reason
+from orders
+""",
+    "uploads_routed": f"""
+select list_extract({_CATS}, o_orderkey % 5 + 1) as category, count(*) as files, case when o_orderkey % 5 < 2 then 1 else 0 end as has_pipeline
+from orders group by 1, 3
+""",
+    "uploads_first": """
+select 'f' || user_id || '-' || cast(floor(value) as bigint) || '-' || strftime(ts, '%Y-%m') as key, min(event_id) as event_id from events group by 1
+""",
+    "stream_first_uploads": """
+select 'f' || user_id as name, count(distinct (cast(floor(value) as bigint), strftime(ts, '%Y-%m'))) as uploads from events group by 1
+""",
+    "stream_ingest_jobs": """
+with lines_left as (select doc_id, trim(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) <> '' as any_text from documents),
+s as (select doc_id, list_extract(['chuyen_nganh_dao_tao', 'quy_che_hoc_vu', 'huong_dan_thu_tuc', 'thong_bao_ke_hoach'], doc_id % 4 + 1) as category,
+  case when doc_id % 9 = 0 then 'Only PDF files are allowed'
+       when doc_id % 10 = 3 or (doc_id % 4 > 0 and not any_text) then 'Khong trich xuat duoc noi dung text tu PDF.' end as error from lines_left)
+select doc_id || '' as job_id, case when error is null then 'completed' else 'failed' end as status, category, error,
+  case when error is null then case when doc_id % 4 < 2 then 'true' else 'false' end end as applied,
+  case when error is null and doc_id % 4 < 2 then 'some' else 'none' end as nodes
+from s
+""",
+}
