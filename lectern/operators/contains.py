@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _grams(text: Column, size: int) -> Column:
+def _grams(text: Column, size: Column) -> Column:
+    """All runs of a length; the empty run is in every text."""
     count = F.length(text) - size + 1
     at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(F.transform(at, lambda i: F.substr(text, i, size)))
 
 
 def contains_join(needles: DataFrame, names: DataFrame) -> DataFrame:
@@ -26,17 +27,21 @@ def contains_join(needles: DataFrame, names: DataFrame) -> DataFrame:
     characters are looked up by runs of their own length.
     """
     texts = needles.select("needle", F.lower("needle").alias("n")).distinct()
-    lowered = names.select("id", "name", F.lower("name").alias("l"))
-    sizes = range(GRAM + 1)
-
-    own_grams = F.when(F.length("n") >= GRAM, _grams(F.col("n"), GRAM)).otherwise(F.array("n"))
-    wanted = texts.select("needle", "n", F.explode(F.array_distinct(own_grams)).alias("gram"))
-    every = F.concat(*[_grams(F.col("l"), s) for s in sizes if s], F.array(F.lit("")))
-    # Only runs that some text asks for are indexed.
-    asked = wanted.select("gram").distinct()
-    index = lowered.select("id", "name", "l", F.explode(F.array_distinct(every)).alias("gram")).join(
-        asked, "gram", "left_semi"
+    size = F.least(F.length("n"), F.lit(GRAM))
+    wanted = texts.select(
+        "needle", "n", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("n") - size + 1, F.lit(1))), lambda i: F.substr("n", i, size)
+        ))).alias("gram"),
     )
+    # Names are cut into runs of the asked lengths only; there are at most four.
+    sizes = texts.select(size.alias("size")).distinct()
+    cut = names.select(
+        "id", "name", F.lower("name").alias("l"),
+        F.explode(F.array(*[F.lit(s) for s in range(GRAM + 1)])).alias("size"),
+    ).join(F.broadcast(sizes), "size", "left_semi")
+    index = cut.select("id", "name", "l", F.explode(F.array_distinct(_grams(F.col("l"), F.col("size")))).alias("gram"))
+    # Only runs that some text asks for are kept.
+    index = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
     # A run that no name has rules its text out: it must be chosen, so count it 0.
     counts = index.groupBy("gram").agg(F.count("*").alias("hits"))
     rarest = (

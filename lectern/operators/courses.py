@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as fd
 from ..functions import text as tx
-from .scan import CHUNK_ROWS, running
+from .scan import CHUNK_ROWS
 
 # Cell texts that identify header, block and total rows.
 HEADER_CELLS = ("Mã số", "Tên học phần")
@@ -57,40 +57,66 @@ def course_states(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     A block row, a total row or a plain number in the compulsory cell ends the
     requirement and the subgroup; on such a row a new requirement may start. A
     subgroup needs a requirement and remembers the one it was opened under.
+
+    Like ``running``, this works on chunks of a table and one summary row per
+    chunk. Rows before the first event of a chunk do not know the requirement
+    that reaches them, so a label there is kept as a candidate: it counts only if
+    the summary says that a requirement is open at the start of the chunk.
     """
     named = positional(rows)
     is_block = F.contains("marker", F.lit(BLOCK_MARK))
     is_total = ~is_block & F.startswith("marker", F.lit(TOTAL_WORD))
-    named = named.withColumn(
-        "kind", F.when(is_block, "block").when(is_total, "total").otherwise("course")
-    ).withColumn("resets", (F.col("kind") != "course") | fd.is_digits(F.col("compulsory")))
-
     course_row = F.col("kind") == "course"
-    block_name = F.when(
-        F.col("kind") == "block", tx.strip(F.replace("marker", F.lit(BLOCK_MARK), F.lit("")))
-    )
+    digits = fd.is_digits(F.col("compulsory"))
+    named = named.withColumn("kind", F.when(is_block, "block").when(is_total, "total").otherwise("course"))
+
     no_text = F.lit(None).cast("string")
+    resets = ~course_row | digits
     requirement = F.when(
         course_row & (F.col("elective") != ""), F.struct(F.col("elective").alias("value"))
-    ).when(F.col("resets"), F.struct(no_text.alias("value")))
-    first = running(
-        named, ["doc_id"], "row_no", lasts={"block": block_name, "_req": requirement},
-        chunk_rows=chunk_rows,
-    ).withColumn("requirement", F.col("_req.value")).drop("_req")
-
-    opens = course_row & (F.col("compulsory") != "") & ~fd.is_digits(F.col("compulsory")) & F.col(
-        "requirement"
-    ).isNotNull()
-    subgroup = F.when(
-        opens,
-        F.struct(F.col("compulsory").alias("value"), F.col("requirement").alias("under")),
-    ).when(F.col("resets"), F.struct(no_text.alias("value"), no_text.alias("under")))
-    second = running(first, ["doc_id"], "row_no", lasts={"_sub": subgroup}, chunk_rows=chunk_rows)
-    return second.select(
-        *first.columns,
-        F.col("_sub.value").alias("subgroup"),
-        F.col("_sub.under").alias("subgroup_under"),
-        opens.alias("opens_subgroup"),
+    ).when(resets, F.struct(no_text.alias("value")))
+    label = F.when(course_row & (F.col("compulsory") != "") & ~digits, F.col("compulsory"))
+    block = F.when(F.col("kind") == "block", tx.strip(F.replace("marker", F.lit(BLOCK_MARK), F.lit(""))))
+
+    part = ["doc_id", "_chunk"]
+    ordered = Window.partitionBy(*part).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda c: F.last(c, ignorenulls=True).over(ordered)
+    inside = named.select(
+        "*", F.floor(F.col("row_no") / chunk_rows).alias("_chunk"), requirement.alias("_event"), label.alias("_label"),
+        block.alias("_name"), resets.alias("_resets"),
+    ).select("*", latest("_name").alias("_block"), latest("_event").alias("_req"))
+    known = F.when(
+        F.col("_label").isNotNull() & F.col("_req.value").isNotNull(),
+        F.struct(F.col("_label").alias("value"), F.col("_req.value").alias("under")),
+    ).when(F.col("_resets"), F.struct(no_text.alias("value"), no_text.alias("under")))
+    candidate = F.when(F.col("_req").isNull(), F.col("_label"))
+    inside = inside.select("*", latest(known).alias("_sub"), latest(candidate).alias("_maybe"))
+
+    # One row per chunk: its last states; then what reaches each chunk from before.
+    ends = inside.groupBy(*part).agg(
+        F.max_by(F.struct("_block", "_req", "_sub", "_maybe"), "row_no").alias("e")
+    ).select(*part, "e.*")
+    before = Window.partitionBy("doc_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    reaching = lambda c: F.last(c, ignorenulls=True).over(before)
+    ends = ends.select("*", reaching("_block").alias("_block0"), reaching("_req").alias("_req0"))
+    promoted = lambda maybe: F.when(
+        maybe.isNotNull() & F.col("_req0.value").isNotNull(),
+        F.struct(maybe.alias("value"), F.col("_req0.value").alias("under")),
+    )
+    carried = ends.select(
+        *part, "_block0", "_req0", F.coalesce("_sub", promoted(F.col("_maybe"))).alias("_end")
+    ).select(*part, "_block0", "_req0", reaching("_end").alias("_sub0"))
+
+    joined = inside.join(carried, part, "left")
+    current = F.coalesce("_req", "_req0")["value"]
+    subgroup = F.coalesce(F.col("_sub"), promoted(F.col("_maybe")), F.col("_sub0"))
+    return joined.select(
+        *named.columns,
+        F.coalesce("_block", "_block0").alias("block"),
+        current.alias("requirement"),
+        subgroup["value"].alias("subgroup"),
+        subgroup["under"].alias("subgroup_under"),
+        (F.col("_label").isNotNull() & current.isNotNull()).alias("opens_subgroup"),
     )
 
 

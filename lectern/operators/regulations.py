@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regulation as rg
+from ..session import materialize
 from .graph import entries_map
 
 
@@ -118,21 +119,21 @@ def tree_edges(flat: DataFrame) -> DataFrame:
     )
 
 
-def citation_index(flat: DataFrame) -> DataFrame:
-    """Address to node id; a number used twice in a document keeps its last node."""
-    return (
-        flat.where("key is not null")
-        .groupBy("doc_id", "key")
-        .agg(F.max_by("id", "seq").alias("id"))
+def addresses(flat: DataFrame) -> DataFrame:
+    """The small part of the tree that citations need: ids by address, and who cites what."""
+    return flat.where("key is not null").select(
+        "doc_id", "key", "id", "seq", F.flatten(F.transform("texts", rg.citations)).alias("cites")
     )
 
 
-def citation_targets(flat: DataFrame) -> DataFrame:
+def citation_index(addressed: DataFrame) -> DataFrame:
+    """Address to node id; a number used twice in a document keeps its last node."""
+    return addressed.groupBy("doc_id", "key").agg(F.max_by("id", "seq").alias("id"))
+
+
+def citation_targets(addressed: DataFrame) -> DataFrame:
     """Distinct citations with the addresses to try, narrow to wide."""
-    cited = flat.where(F.size("texts") > 0).select(
-        "doc_id", "label", F.col("key").alias("source_key"),
-        F.explode(F.flatten(F.transform("texts", rg.citations))).alias("c"),
-    ).distinct()
+    cited = addressed.select("doc_id", F.col("key").alias("source_key"), F.explode("cites").alias("c")).distinct()
     dieu, khoan, diem = F.col("c.dieu"), F.col("c.khoan"), F.col("c.diem")
     # An address needs all its parts; concat gives null if one is missing.
     tries = F.array(
@@ -140,7 +141,7 @@ def citation_targets(flat: DataFrame) -> DataFrame:
         F.concat(dieu, F.lit("|"), khoan),
         dieu,
     )
-    return cited.select("doc_id", "label", "source_key", "c", F.posexplode(tries).alias("rank", "key")).where(
+    return cited.select("doc_id", "source_key", "c", F.posexplode(tries).alias("rank", "key")).where(
         "key is not null"
     )
 
@@ -148,14 +149,16 @@ def citation_targets(flat: DataFrame) -> DataFrame:
 def citation_edges(flat: DataFrame, keep_unresolved: bool = False) -> DataFrame:
     """``tham_chieu`` edges: the point if it exists, else the clause, else the article.
 
-    Citations are made distinct first, then looked up by (document, address), so
-    no task gathers a whole document. ``keep_unresolved`` returns a null target
-    for citations that lead nowhere.
+    Texts are parsed once: addresses and citations, a small part of them, are
+    written before the lookups. Citations are made distinct, then looked up by
+    (document, address), so no task gathers a whole document.
+    ``keep_unresolved`` returns a null target for citations that lead nowhere.
     """
-    index = citation_index(flat)
+    addressed = materialize(addresses(flat), "addresses")
+    index = citation_index(addressed)
     sources = index.withColumnRenamed("key", "source_key").withColumnRenamed("id", "source")
     hits = (
-        citation_targets(flat)
+        citation_targets(addressed)
         .join(index, ["doc_id", "key"], "left")
         .groupBy("doc_id", "source_key", "c")
         .agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.col("rank"))).alias("target"))
