@@ -33,7 +33,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    letters = F.regexp_replace("text", r"[^A-Za-zÀ-ÖØ-öø-ÿ\n ]", "")
+    letters = F.regexp_replace("text", r"[^\p{L}\n ]", "")
     lines = F.transform(
         F.split(letters, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))
     )
@@ -46,7 +46,7 @@ def lines_of(documents: DataFrame) -> DataFrame:
 LINES_SQL = r"""
 raw_lines as (
   select doc_id, lang, source, n_chars,
-         string_split(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ\n ]', '', 'g'), chr(10)) as all_lines
+         string_split(regexp_replace(text, '[^\p{L}\n ]', '', 'g'), chr(10)) as all_lines
   from documents
 ),
 docs as (

@@ -205,7 +205,7 @@ select 'f' || user_id || '-' || cast(floor(value) as bigint) || '-' || strftime(
 select 'f' || user_id as name, count(distinct (cast(floor(value) as bigint), strftime(ts, '%Y-%m'))) as uploads from events group by 1
 """,
     "stream_ingest_jobs": """
-with lines_left as (select doc_id, trim(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) <> '' as any_text from documents),
+with lines_left as (select doc_id, trim(regexp_replace(text, '[^\\p{L}]', '', 'g')) <> '' as any_text from documents),
 s as (select doc_id, list_extract(['chuyen_nganh_dao_tao', 'quy_che_hoc_vu', 'huong_dan_thu_tuc', 'thong_bao_ke_hoach'], doc_id % 4 + 1) as category,
   case when doc_id % 9 = 0 then 'Only PDF files are allowed'
        when doc_id % 10 = 3 or (doc_id % 4 > 0 and not any_text) then 'Khong trich xuat duoc noi dung text tu PDF.' end as error from lines_left)
