@@ -69,8 +69,8 @@ QUERIES = {
     "carried_state": carried_state,
 }
 
-_ROWS = f"""
-with {LINES_SQL},
+# Continues a WITH list that has the document lines.
+TABLE_SQL = """
 r as (
   select doc_id, source, i, line, i % 8 as kind,
     case when i % 8 = 1 then 'Khối kiến thức ' || ((i // 8) % 3) end as block_name,
@@ -100,6 +100,7 @@ totals as (
   select doc_id, block, max(i) as i from st where kind = 7 group by doc_id, block
 )
 """
+_ROWS = f"with {LINES_SQL}, {TABLE_SQL}"
 SQL = {
     "course_rows_cleaned": _ROWS + """
 select doc_id, i as row_no, case kind

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..plans import retrieval as ret
+from ..session import spread
 from ..sources.readers import parse_catalogue
 from .derive import EDGES_SQL, NODES_SQL, table, trade_graph
 
-_EMPTY = "map<string,string>"
-
 
 def _entities(spark, d):
     return table(spark, d, "part").select(F.upper(F.concat_ws(" ", "p_name", "p_brand")).alias("entity"))
@@ -64,7 +63,7 @@ def all_triples(spark, d):
 
 
 def edge_upsert(spark, d):
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"), "l_orderkey")
     text = lambda c: F.col(c).cast("string")
     props = F.map_filter(
         F.create_map(

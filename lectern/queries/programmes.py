@@ -8,6 +8,7 @@ from ..functions import fields as fd
 from ..functions import sections as sc
 from ..operators import graph as gr
 from ..plans import curriculum as cu
+from .courses import TABLE_SQL
 from .derive import LINES_SQL, course_rows, document_lines, programme_documents
 
 
@@ -377,6 +378,30 @@ select type, count(*) as edges, count(distinct (source, target)) as pairs from (
          case when type = 'THUOC_VE' and source not like '%\\_%' escape '\\' and doc_id % 2 = 1 then target || '_TRUONG' else target end as target
   from submitted
 ) group by type
+""",
+    "programme_graph_labels": _BASE + _OPPORTUNITIES + "," + TABLE_SQL + """
+, merged as (
+  select 'Nganh' as label, code || '' as id from p
+  union select 'ChuongTrinhDaoTao', program_id from p
+  union select 'Khoa', source from p where doc_id % 2 = 0
+  union select 'BoMon', source from p where doc_id % 2 = 1
+  union select 'LoaiVanBang', degree from p
+  union select 'HinhThucDaoTao', unnest(['1', '2', '3'])
+  union select 'PhuongThucDaoTao', unnest(['1', '2'])
+  union select 'TrinhDo', '1'
+  union select 'MucTieuDaoTao', program_id || '_chung' from p
+  union select 'MucTieuDaoTao', doc_id || '_PEO' || i from lines
+  union select 'ChuanDauRa', program_id || '_' || code from coded
+  union select case when kind = 0 then 'ViTriViecLam' else 'KhaNangHocTap' end, program_id || '_' || j from opp
+  union select 'VanBanPhapLy', doc_id || '_' || j || '_TT' from refs_all where""" + _LEGAL + """
+  union select 'VanBanPhapLy', doc_id || '_QD_' || upper(source) from p
+  union select 'ChuanThamKhao', program_id || '_ctk_' || j from refs_all where not (""" + _LEGAL + """)
+  union select 'KhoiKienThuc', block_id from ids where kind = 1
+  union select 'YeuCauTuChon', req_id from ids where elec is not null
+  union select 'NhomHocPhanTuChon', sub_id from ids where kind = 3
+  union select 'HocPhan', hp from ids where row_kind = 'course'
+)
+select label, count(*) as nodes from merged group by label
 """,
     "programme_metrics": _ALL_EDGES + """
 , node_rows as (

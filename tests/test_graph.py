@@ -125,3 +125,12 @@ def test_json_and_markdown_sinks(spark, n):
     writers.write_markdown(docs, f"{path}/md")
     writers.write_markdown(docs, None)
     assert {r.value for r in spark.read.text(f"{path}/md").collect()} == {"xin chào", "dòng hai", "đ"}
+
+
+def test_replacing_documents_leaves_the_others(spark):
+    path = work_folder(spark, "documents")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id string, id string")
+    writers.replace_documents(rows(("a", "1"), ("a", "2"), ("b", "3")), path)
+    for _ in range(2):
+        writers.replace_documents(rows(("a", "9")), path)
+        assert {tuple(r) for r in spark.read.parquet(path).select("doc_id", "id").collect()} == {("a", "9"), ("b", "3")}
