@@ -214,6 +214,9 @@ def members(nodes: DataFrame, edges: DataFrame, start_labels: tuple[str, ...], r
 
 
 def rows_as_json(df: DataFrame, *keys: str) -> DataFrame:
-    """Result rows of each key as one JSON array, accents kept; keys bound the groups."""
+    """Result rows of each key as one JSON array, accents kept.
+
+    Choose keys that few rows share: an array is one value of one row.
+    """
     cells = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*cells)))).alias("json"))

@@ -68,7 +68,8 @@ VERSION = ("gen", "doc_id", "seq")
 def upsert_nodes(nodes: DataFrame, path: str) -> None:
     """Merge ``nodes(label, id, text, props, doc_id, seq)`` into the table at ``path``.
 
-    Only the folders of the labels that occur in ``nodes`` are rewritten.
+    Only the folders of the labels that occur in ``nodes`` are rewritten. ``nodes``
+    is read twice, so give a written table where it is costly to compute.
     """
     spark = nodes.sparkSession
     incoming = gr.unify_nodes(nodes)

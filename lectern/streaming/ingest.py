@@ -29,7 +29,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     docs = spark.read.parquet(staged)
     good = docs.where("error is null")
 
-    nodes, edges = ing.run_pipelines(good, pipelines)
+    # Texts are parsed once for nodes and once for edges; merges and counts read the rows.
+    submitted = []
+    for name, rows in zip(("nodes", "edges"), ing.run_pipelines(good, pipelines)):
+        path = f"{out}/submitted/{name}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        submitted.append(spark.read.schema(rows.schema).parquet(path))
+    nodes, edges = submitted
     writers.upsert_nodes(nodes, f"{out}/nodes")
     writers.upsert_edges(edges, f"{out}/edges", writers.read_nodes(spark, f"{out}/nodes"))
 
