@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 SMALL_QUERY_SET = 4_096
 QUERY_BLOCK = 4_096
 CORPUS_BLOCK = 65_536
-SLICE = 2_048
+SLICE = 1_024
 # Products of equal vectors may differ in the last bits; this many decimals tie.
 TIE_DECIMALS = 9
 
@@ -55,7 +55,7 @@ def _best(q_ids, q_mat, c_ids, c_mat, k, floor, skip_self) -> dict[str, list]:
     for start in range(0, len(c_ids), SLICE):
         scores = np.round(q_mat @ c_mat[start:start + SLICE].T, TIE_DECIMALS)
         ids = c_ids[start:start + SLICE]
-        for i in range(len(q_ids)):
+        for i in np.flatnonzero((scores > floor).any(axis=1)):
             row = scores[i]
             good = row > floor
             if skip_self:

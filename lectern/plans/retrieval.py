@@ -120,6 +120,9 @@ def contexts(
     matches = ve.top_matches(
         rest, corpus.select("id", "vector"), k=min(k, limit), min_cosine=ve.cosine_floor(threshold)
     )
+    # Written, the few matches have a known size: the texts they are joined with,
+    # the whole corpus, need no shuffle when that size is small.
+    matches = materialize(matches, "matches")
     texts = ve.nearest_texts(matches, corpus.select("id", "text"), limit)
     found = looked_up.join(texts, "qid", "left").select(
         "qid", "intent", "graph_text", "vector_text",
