@@ -155,6 +155,11 @@ def last_turns(conversations: DataFrame, n: int = 3) -> DataFrame:
     return conversations.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= n)
 
 
+def rewrite_history(conversations: DataFrame, n: int = 3) -> DataFrame:
+    """The n turns before the question, which is the last turn; rank 1 is the nearest."""
+    return last_turns(conversations, n + 1).where("back > 1").withColumn("back", F.col("back") - 1)
+
+
 def last_messages(conversations: DataFrame) -> DataFrame:
     """Question (last message) and the message before it, per conversation."""
     pair = last_turns(conversations, 2)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as an
 from ..functions import intents as it
-from ..functions import text as tx
 from ..plans import retrieval as ret
 from ..session import work_folder
 from ..streaming.ingest import answer_stream
@@ -67,7 +66,7 @@ def effective_questions(spark, d):
 
 
 def history(spark, d):
-    return ret.last_turns(_messages(spark, d), 3)
+    return ret.rewrite_history(_messages(spark, d), 3)
 
 
 def last_messages(spark, d):
@@ -263,7 +262,7 @@ select conv_id, intent,
        when intent = 'CORRECTION' then coalesce(previous, question) else question end as corrected
 from r
 """,
-    "chat_history": _MESSAGES + "select conv_id, turn, role, text, back from backs where back <= 3",
+    "chat_history": _MESSAGES + "select conv_id, turn, role, text, back - 1 as back from backs where back between 2 and 4",
     "chat_last_messages": _MESSAGES + "select * from last_two",
     "chat_prompt_rows": _MESSAGES + f"""
 select conv_id, 0 as position, 'system' as role, {_SYSTEM} || case when conv_id % 3 = 0 then

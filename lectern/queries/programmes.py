@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fields as fd
 from ..functions import sections as sc
 from ..operators import graph as gr
 from ..plans import curriculum as cu

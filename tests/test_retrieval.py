@@ -87,6 +87,7 @@ def test_conversations(spark):
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(5)] + [(2, 0, "user", "hello")]
     conv = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
     assert {(r.conv_id, r.turn) for r in ret.last_turns(conv).collect()} == {(1, 2), (1, 3), (1, 4), (2, 0)}
+    assert {(r.conv_id, r.turn, r.back) for r in ret.rewrite_history(conv).collect()} == {(1, 3, 1), (1, 2, 2), (1, 1, 3)}
     assert {tuple(r) for r in ret.last_messages(conv).collect()} == {(1, "m4", "m3"), (2, "hello", None)}
     ctx = spark.createDataFrame([(1, "dữ liệu")], "conv_id bigint, context string")
     rows = ret.prompt_rows(conv, ctx).where("conv_id = 1").orderBy("position").collect()
