@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kit, quality
+from . import decontaminate, kit, language, maintext, quality
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(kit.read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(kit.read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = kit.read_table(spark, sf_dir, "documents"), kit.read_table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("item_ids")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(kit.read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_language_mixture": op7_language_mixture,
     "op8_decontamination": op8_decontamination,
+    "op9_main_text": op9_main_text,
 }
 
 SQL: dict[str, str] = {}
