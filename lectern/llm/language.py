@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
     return docs.select(docs[id_column].alias("doc_id"), text.alias("text"), letters.alias("letters")).mapInArrow(run, schema)
 
 
-def held_out(id_column) -> F.col:
+def held_out(id_column: Column) -> Column:
     """The fold that is never learned from."""
     return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
 
