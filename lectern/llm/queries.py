@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kit, language, maintext, mixing, quality, sharding
+from . import decontaminate, kit, language, licences, maintext, mixing, quality, sharding, tokens
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(kit.read_table(spark, sf_dir, "documents"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +19,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(kit.read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    # This tokenizer drops white space and its pieces never cross it.
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.token_report(kit.read_table(spark, sf_dir, "documents"), path, by_word=True)
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(kit.read_table(spark, sf_dir, "documents"))
 
@@ -33,8 +45,10 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_blocks": op4_token_blocks,
     "op7_language_mixture": op7_language_mixture,
     "op8_decontamination": op8_decontamination,
     "op9_main_text": op9_main_text,
@@ -88,7 +102,7 @@ with words as (
     select doc_id, count(*) as n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) as dup_line_chars
     from later_lines group by doc_id
 ), grams as (
-    select doc_id, n, i, md5(array_to_string(w[i:i + n - 1], ' ')) as gram
+    select doc_id, n, i, hash(w[i:i + n - 1]) as gram
     from (select doc_id, w, unnest(range(5, 11)) as n from words where len(w) >= 5),
          lateral (select unnest(range(1, len(w) - n + 2)) as i)
 ), ranked as (
@@ -106,7 +120,7 @@ with words as (
 ), repeats as (
     select doc_id, count(distinct i) as n_repeat_words from covered where n = 8 group by doc_id
 ), measured as (
-    select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+    select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
            coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
            coalesce(dup_line_chars, 0)::bigint as dup_line_chars, coalesce(dup_chars_5, 0)::bigint as dup_chars_5,
