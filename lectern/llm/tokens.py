@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 END_ID = 1
-# Words whose ids a task remembers; beyond it starts anew.
+# Pieces whose ids a task remembers; beyond it starts anew. Bytes encoded at a time.
 REMEMBERED = 1 << 20
+CHUNK_BYTES = 4 << 20
 HEADER = "<4sHHQII"
 MAGIC = b"PFOR"
 
@@ -115,12 +117,46 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return (out + base[a:b, None]).reshape(-1)[first - a * size : last - a * size]
 
 
+LETTERS, APOSTROPHE = (*range(65, 91), *range(97, 123)), 39
+MARKS = tuple(i for i in range(33, 127) if not chr(i).isalnum() and i != APOSTROPHE)
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The same texts in lower ASCII case, with a space where a word tokenizer cuts anyway.
+
+    That is between an ASCII letter and a following ASCII mark, and between a mark and a
+    following letter, but not after an apostrophe, which may belong to what follows. Words
+    with ``<|`` stay as they are: they may hold a special token.
+    """
+    kind = np.zeros(256, np.uint8)
+    kind[list(LETTERS)], kind[list(MARKS)], kind[APOSTROPHE] = 1, 2, 3
+    kinds = kind[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kinds[:-1] == 1) & (kinds[1:] >= 2) | (kinds[:-1] == 2) & (kinds[1:] == 1)
+    lower = kit.lower_ascii(data)
+    for at in np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)).tolist():
+        row = int(np.searchsorted(offsets, at, "right")) - 1
+        a, b = int(offsets[row]), int(offsets[row + 1])
+        text = data[a:b].tobytes()
+        left, right = text[: at - a].split(), text[at - a :].split(maxsplit=1)
+        start = at - (len(left[-1]) if left and not text[at - a - 1 : at - a].isspace() else 0)
+        end = at + len(right[0])
+        cut[start + 1 : end], lower[start:end] = False, data[start:end]
+    at = np.flatnonzero(cut[:-1])
+    at = at[~np.isin(at, offsets)]
+    shifted = offsets + np.searchsorted(at, offsets)
+    return pa.Array.from_buffers(
+        pa.large_string(), len(offsets) - 1,
+        [None, pa.py_buffer(shifted.astype(np.int64)), pa.py_buffer(np.insert(lower, at, 32))],
+    )
+
+
 class Encoder:
     """Encodes columns of texts.
 
-    With ``by_word`` each distinct word between ASCII white space is encoded once. That
-    equals encoding the whole text only for a tokenizer that drops white space, whose
-    pieces never cross it.
+    With ``by_word`` each distinct piece of ``word_pieces`` between ASCII white space is
+    encoded once. That equals encoding whole texts only for a tokenizer that ignores case,
+    drops white space and cuts between letters and marks.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -136,27 +172,28 @@ class Encoder:
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        return np.array([i for x in found for i in x], np.uint32), lengths
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        column = column.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            return self._encode(column.to_pylist())
-        words = pc.ascii_split_whitespace(column)
+            raw = data.tobytes()
+            return self._encode([raw[a:b].decode() for a, b in zip(offsets, offsets[1:])])
+        words = pc.ascii_split_whitespace(word_pieces(data, offsets))
         per_text = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.slots) > REMEMBERED:
             self.forget()
-        fresh = [w for w in distinct if w not in self.slots]
+        known = self.slots
+        fresh = [w for w in distinct if w not in known]
         if fresh:
             ids, lengths = self._encode(fresh)
-            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
             self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
-        slot = np.array([self.slots[w] for w in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        slot = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         begins = np.cumsum(self.lengths) - self.lengths
         lengths = self.lengths[slot] if len(slot) else np.zeros(0, np.int64)
         ids = self.ids[kit.ragged(begins[slot], lengths)] if len(slot) else np.zeros(0, np.uint32)
@@ -180,35 +217,34 @@ def write_tokens(
         {"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ordered = ordered.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     schema = T.StructType([
-        T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()),
+        T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType()), T.StructField("n_ids", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("n_tokens", T.ArrayType(T.IntegerType())),
         T.StructField("image", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, by_word)
-        part, segment = TaskContext.get().partitionId(), 0
+        part, inside = TaskContext.get().partitionId(), 0
         names, ids, lengths = [], [], []
 
         def close() -> pa.RecordBatch:
             all_ids, all_lengths = np.concatenate(ids), np.concatenate(lengths)
             all_names = pa.concat_arrays(names)
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(all_ids)], pa.int64()),
+                pa.array([part], pa.int32()), pa.array([inside], pa.int64()), pa.array([len(all_ids)], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(all_names)], pa.int32()), all_names),
                 kit.list_column(all_lengths, np.array([len(all_lengths)]), pa.int32()), pa.array([pack(all_ids)], pa.binary()),
             ], names=schema.names)
 
         for batch in batches:
-            _, offsets = kit.column_bytes(batch.column(1))
-            for a, b in kit.chunks(offsets):
-                found, many = _with_end(*encoder(batch.column(1).slice(a, b - a)), end_id)
+            for a, b, data, offsets in kit.pieces(batch.column(1), CHUNK_BYTES):
+                found, many = _with_end(*encoder(data, offsets), end_id)
                 names.append(batch.column(0).slice(a, b - a))
                 ids.append(found)
                 lengths.append(many)
                 if sum(map(len, ids)) >= SEGMENT_IDS or sum(map(len, lengths)) >= SEGMENT_DOCS:
                     yield close()
-                    segment += 1
+                    inside += sum(map(len, ids))
                     names, ids, lengths = [], [], []
         if lengths:
             yield close()
@@ -221,11 +257,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     segments = spark.read.parquet(folder)
     # One row per written partition, of which there are as many as write_tokens was told.
     sums = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    offset = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")
-    starts = sums.select("part", offset.alias("part_start"))
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")
-    inside = segments.select("part", "segment", "n_ids").select("part", "segment", before.alias("inside"))
-    placed = inside.join(starts, "part").select("part", "segment", (F.col("part_start") + F.col("inside")).alias("start"))
+    before = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")
+    parts = F.broadcast(sums.select("part", before.alias("part_start")))
     schema = T.StructType([
         T.StructField("doc_id", segments.schema["doc_ids"].dataType.elementType), T.StructField("start", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -243,7 +276,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     pa.array(crc, pa.int64()),
                 ], names=schema.names)
 
-    joined = segments.join(placed, ["part", "segment"]).select("start", "doc_ids", "n_tokens", "image")
+    joined = segments.join(parts, "part").select((F.col("part_start") + F.col("inside")).alias("start"), "doc_ids", "n_tokens", "image")
     return joined.mapInArrow(run, schema)
 
 
