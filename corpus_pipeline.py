@@ -1,7 +1,8 @@
 """Corpus pipeline: language, near duplicates, contamination, mixing, shards.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each
-stage's rows as Parquet in the shared folder and hands them, reread, to the next one.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``docs``. ``run`` writes the rows of each stage as Parquet in the shared
+folder and hands them, reread, to the next one.
 """
 
 from __future__ import annotations
@@ -9,23 +10,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, kit
+from lectern.llm import decontaminate, kit, language, mixing, neardup, sharding
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose main language is known; the model learns from their own labels."""
+    fold = F.coalesce(language.held_out(docs["doc_id"]), F.lit(False))
+    return language.keep_identified(docs, language.learn(docs.where(~fold)))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no window of a benchmark item."""
-    found = decontaminate.contamination(docs, kit.read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    return decontaminate.keep_clean(docs, kit.read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents as often as they are taken."""
+    return mixing.mixed_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every document of the mix."""
+    return sharding.shard_report(docs)
 
 
 STAGES = [
+    ("language ID", identified),
+    ("MinHash near-dedup", deduplicated),
     ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
 ]
 
-# Language models, similarity components and order by hash are beyond SQL.
+# Language models and components of similar texts are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -148,6 +148,39 @@ def _token_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return vocabulary[found["at"].to_numpy(np.int64)], found["n"].to_numpy(np.int64)
 
 
+def _indexes(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcast index of each block of items; docs(text), items(item_id, item_text)."""
+    found = []
+    for block in _blocks(items, block_bytes):
+        rows = block.toPandas()
+        index = WindowIndex(list(rows["item_id"]), list(rows["item_text"]), window)
+        index.order(*_token_counts(docs, index.vocabulary))
+        # At most block_bytes of item text each.
+        found.append(docs.sparkSession.sparkContext.broadcast(vars(index)))
+    return found
+
+
+def _items(items: DataFrame, item_column: str, item_text: str) -> DataFrame:
+    return items.select(
+        items[item_column].cast("string").alias("item_id"), kit.null_text(items[item_text]).alias("item_text"),
+    ).where(F.col("item_id").isNotNull() & (F.col("item_text") != "")).distinct()
+
+
+def _judged(column: pa.Array, indexes: list):
+    """Row range, words, hit words and items found of each row of a text column."""
+    for a, b, words, rows in _words(column):
+        edges = np.zeros(len(words) + 1, np.int64)
+        found: list[set[str]] = [set() for _ in range(b - a)]
+        for shared in indexes:
+            index = WindowIndex.of(shared.value)
+            begin, size, item = index.hits(words, rows)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, begin + size, -1)
+            for row, i in set(zip(rows[begin].tolist(), item.tolist())):
+                found[row].add(index.ids[i])
+        yield a, b, kit.row_counts(rows, b - a), kit.row_counts(rows[np.cumsum(edges[:-1]) > 0], b - a), [sorted(x) for x in found]
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
@@ -155,21 +188,10 @@ def contamination(
     """One row per document: n_words, n_hit, n_items, item_ids, items_sha256, contaminated.
 
     The result is lazy but for the index: the counts of item words over all documents
-    are computed when it is called. Blocks beyond the first meet the documents through
-    a staged table of their hits.
+    are computed when it is called.
     """
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    items = items.select(
-        items[item_column].cast("string").alias("item_id"), kit.null_text(items[item_text]).alias("item_text"),
-    ).where(F.col("item_id").isNotNull() & (F.col("item_text") != "")).distinct()
-    context = docs.sparkSession.sparkContext
-    indexes = []
-    for block in _blocks(items, block_bytes):
-        rows = block.toPandas()
-        index = WindowIndex(list(rows["item_id"]), list(rows["item_text"]), window)
-        index.order(*_token_counts(docs, index.vocabulary))
-        # Written by the driver, read by tasks: at most block_bytes of item text each.
-        indexes.append(context.broadcast(vars(index)))
+    indexes = _indexes(docs, _items(items, item_column, item_text), window, block_bytes)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -179,24 +201,24 @@ def contamination(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, rows in _words(batch.column(1)):
-                n = b - a
-                edges = np.zeros(len(words) + 1, np.int64)
-                found: list[set[str]] = [set() for _ in range(n)]
-                for shared in indexes:
-                    index = WindowIndex.of(shared.value)
-                    begin, size, item = index.hits(words, rows)
-                    np.add.at(edges, begin, 1)
-                    np.add.at(edges, begin + size, -1)
-                    pairs = np.unique(rows[begin] * (len(index.ids) + 1) + item)
-                    for pair in pairs.tolist():
-                        found[pair // (len(index.ids) + 1)].add(index.ids[pair % (len(index.ids) + 1)])
-                hit = kit.row_counts(rows[np.cumsum(edges[:-1]) > 0], n)
-                ids = [sorted(x) for x in found]
+            for a, b, count, hit, ids in _judged(batch.column(1), indexes):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, n), pa.array(kit.row_counts(rows, n)), pa.array(hit),
-                    pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())),
-                    pa.array([kit.digest_of_ids(x) for x in ids]), pa.array(hit > 0),
+                    batch.column(0).slice(a, b - a), pa.array(count), pa.array(hit), pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array(ids, pa.list_(pa.string())), pa.array([kit.digest_of_ids(x) for x in ids]), pa.array(hit > 0),
                 ], names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of an item occurs."""
+    at = docs.columns.index(text_column)
+    indexes = _indexes(docs.select(docs[text_column].alias("text")), _items(items, "item_id", "text"), window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [hit for _, _, _, hit, _ in _judged(batch.column(at), indexes)]
+            if hits:
+                yield batch.filter(pa.array(np.concatenate(hits) == 0))
+
+    return docs.mapInArrow(run, docs.schema)

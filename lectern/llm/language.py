@@ -35,6 +35,8 @@ MOST_IN_SET = 3
 ROUNDS = 8
 # A further language must raise the log-likelihood by this much per log of the n-grams.
 PENALTY = 6.0
+# Least score of a document that a filter keeps.
+MIN_SCORE = 0.5
 UNKNOWN = "und"
 LETTER = "\\p{L}"
 
@@ -173,31 +175,51 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array(model["names"], dtype=object)
         for batch in batches:
-            letters = np.array(batch.column(2).to_pylist(), bool)
-            for a, b, data, offsets in kit.pieces(batch.column(1)):
-                n = b - a
-                if len(names):
-                    shares, score = infer(data, offsets, model)
-                    known = letters[a:b]
-                else:
-                    shares, score, known = np.zeros((n, 1)), np.zeros(n), np.zeros(n, bool)
-                pred = np.full(n, UNKNOWN, object)
-                pred[known] = names[shares[known].argmax(axis=1)]
-                used = (shares > 0) & known[:, None]
-                each = used.sum(axis=1)
+            for a, b, pred, score, names, shares in _answers(batch.column(1), batch.column(2), shared.value):
+                used = shares > 0
                 at = np.nonzero(used)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, n), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)),
-                    kit.list_column(names[at[1]] if len(names) else [], each, pa.string()),
-                    kit.list_column(shares[at], each, pa.float64()),
+                    batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score),
+                    kit.list_column(names[at[1]], used.sum(axis=1), pa.string()),
+                    kit.list_column(shares[at], used.sum(axis=1), pa.float64()),
                 ], names=schema.names)
 
     text = docs[text_column]
-    letters = F.coalesce(text.rlike(LETTER), F.lit(False))
-    return docs.select(docs[id_column].alias("doc_id"), text.alias("text"), letters.alias("letters")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("doc_id"), text.alias("text"), _has_letter(text)).mapInArrow(run, schema)
+
+
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters")
+
+
+def _answers(texts: pa.Array, letters: pa.Array, model: dict):
+    """Row range, predictions, scores, language names and proportions (0 if unknown) of a column."""
+    names = np.array([*model["names"], UNKNOWN], dtype=object)
+    has_letter = np.array(letters.to_pylist(), bool)
+    for a, b, data, offsets in kit.pieces(texts):
+        shares = np.zeros((b - a, len(names)))
+        score, known = np.zeros(b - a), has_letter[a:b] & (len(names) > 1)
+        if len(names) > 1:
+            found, sure = infer(data, offsets, model)
+            shares[known, :-1], score[known] = found[known], sure[known]
+        yield a, b, np.where(known, names[shares.argmax(axis=1)], UNKNOWN), score, names, shares
+
+
+def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [(pred != UNKNOWN) & (score >= min_score)
+                    for _, _, pred, score, _, _ in _answers(batch.column(at), batch.column(len(batch.schema) - 1), shared.value)]
+            if good:
+                kept = batch.filter(pa.array(np.concatenate(good)))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
+
+    return docs.select("*", _has_letter(docs[text_column])).mapInArrow(run, docs.schema)
 
 
 def held_out(id_column: Column) -> Column:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,7 +216,7 @@ def _probes(suspects: DataFrame, texts: DataFrame, links: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, first_row, and its class."""
+    """One row per document: doc_id, n_shingles, component_id, kept, first_row, and the row's keys."""
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
     sketches = kit.stage(_sketches(keyed.withColumn("rid", F.monotonically_increasing_id())), "sketches")
@@ -234,10 +234,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     empty = sketches.where("n = 0").withColumn("root", F.col("rid"))
-    rows = sketches.where("n > 0").join(labelled, ["n", "d1", "d2"]).select("rid", "doc_id", "n", "root").unionByName(
-        empty.select("rid", "doc_id", "n", "root"))
+    rows = sketches.where("n > 0").join(labelled, ["n", "d1", "d2"]).select("rid", "doc_id", "k1", "k2", "n", "root").unionByName(
+        empty.select("rid", "doc_id", "k1", "k2", "n", "root"))
     rows = kit.stage(rows, "labelled")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     return rows.join(first, "root").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"),
+        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"), (F.col("rid") == F.col("first.rid")).alias("first_row"), "rid")
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component; texts without words stay."""
+    keys = {"__k1": F.xxhash64(docs[id_column], docs[text_column]), "__k2": F.xxhash64(docs[text_column], docs[id_column])}
+    kept = near_duplicates(docs, id_column, text_column).where("first_row and n_shingles > 0").select(
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    rows = docs.withColumns(keys).join(kept, ["__k1", "__k2"], "left_semi")
+    # Rows equal in id and text have equal keys: one stays, and all of those without words.
+    some = rows.where(_has_word(F.col(text_column))).dropDuplicates(["__k1", "__k2"])
+    return some.unionByName(docs.withColumns(keys).where(~_has_word(docs[text_column]))).drop("__k1", "__k2")
+
+
+def _has_word(text: Column) -> Column:
+    return F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kit, language, licences, maintext, mixing, neardup, quality, sharding, tokens
+from . import decontaminate, kit, language, licences, maintext, mixing, neardup, quality, sharding, suffixdup, tokens
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(kit.read_table(spark, sf_dir, "documents"), path, by_word=True)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.remove_repeats(kit.read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(kit.read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_blocks": op4_token_blocks,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dups": op6_minhash_near_dups,
     "op7_language_mixture": op7_language_mixture,
     "op8_decontamination": op8_decontamination,
