@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
 
 
 def _has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters")
+    return F.coalesce(text.rlike(LETTER), F.lit(False)).alias("__letters")
 
 
 def _answers(texts: pa.Array, letters: pa.Array, model: dict):
