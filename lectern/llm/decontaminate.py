@@ -143,7 +143,7 @@ def _token_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(counts[at])], names=["at", "n"])
 
-    found = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = kit.map_arrow(docs.select("text"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     shared.unpersist()
     return vocabulary[found["at"].to_numpy(np.int64)], found["n"].to_numpy(np.int64)
 
@@ -207,7 +207,7 @@ def contamination(
                     pa.array(ids, pa.list_(pa.string())), pa.array([kit.digest_of_ids(x) for x in ids]), pa.array(hit > 0),
                 ], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return kit.map_arrow(docs, run, schema)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_column: str = "text") -> DataFrame:
@@ -221,4 +221,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
             if hits:
                 yield batch.filter(pa.array(np.concatenate(hits) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kit.map_arrow(docs, run, docs.schema)

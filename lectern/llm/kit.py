@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Bytes handled at a time inside a task. A longer document is handled alone.
 CHUNK_BYTES = 1 << 20
+# Rows of a batch between Spark and Python.
+BATCH_ROWS = 1024
 
 # Separators of the word rules (bytes).
 WHITE_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -56,6 +58,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if keys else df.repartition(parts)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of few rows: they hold whole texts, twice on the way to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits of unsigned 64-bit values (the finalizer of splitmix64)."""
     h = h ^ (h >> np.uint64(30))

@@ -98,7 +98,7 @@ def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, max_l
         at = np.flatnonzero(counts.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
 
-    found = sample.select("text", "lang").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = kit.map_arrow(sample.select("text", "lang"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.full(len(names) * SLOTS, 0.1)
     table[found["at"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
     table = table.reshape(len(names), SLOTS)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
                 ], names=schema.names)
 
     text = docs[text_column]
-    return docs.select(docs[id_column].alias("doc_id"), text.alias("text"), _has_letter(text)).mapInArrow(run, schema)
+    return kit.map_arrow(docs.select(docs[id_column].alias("doc_id"), text.alias("text"), _has_letter(text)), run, schema)
 
 
 def _has_letter(text: Column) -> Column:
@@ -219,7 +219,7 @@ def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE,
                 kept = batch.filter(pa.array(np.concatenate(good)))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
 
-    return docs.select("*", _has_letter(docs[text_column])).mapInArrow(run, docs.schema)
+    return kit.map_arrow(docs.select("*", _has_letter(docs[text_column])), run, docs.schema)
 
 
 def held_out(id_column: Column) -> Column:

@@ -215,4 +215,4 @@ def scan(
                     pa.array(points[starts[np.array(begin)]] - base), pa.array(points[ends[np.array(end)]] - base),
                 ], names=schema.names)
 
-    return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return kit.map_arrow(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), run, schema)

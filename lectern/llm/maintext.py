@@ -184,6 +184,6 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                 batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()),
             ], names=schema.names)
 
-    return pages.select(
+    return kit.map_arrow(pages.select(
         pages[id_column].alias("page_id"), pages[url_column].alias("url"), pages[html_column].alias("html"),
-    ).mapInArrow(run, schema)
+    ), run, schema)

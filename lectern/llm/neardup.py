@@ -109,7 +109,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     kit.list_column(sig.view(np.int32).ravel(), width, pa.int32()),
                 ], names=schema.names)
 
-    return docs.select("rid", "doc_id", "k1", "k2", "text").mapInArrow(run, schema)
+    return kit.map_arrow(docs.select("rid", "doc_id", "k1", "k2", "text"), run, schema)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, n).filter(good) for k in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return kit.map_arrow(joined, run, "a long, b long")
 
 
 def _colliding(pairs: DataFrame, suspects: DataFrame) -> DataFrame:
@@ -146,7 +146,8 @@ def _colliding(pairs: DataFrame, suspects: DataFrame) -> DataFrame:
 
     left = suspects.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
     right = suspects.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+    return kit.map_arrow(both, run, "a long, b long")
 
 
 def _suspects(classes: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def _shared_shingles(texts: DataFrame) -> DataFrame:
                     batch.column(0).slice(a, b - a), kit.list_column(found.view(np.int64), kit.row_counts(row, b - a), pa.int64()),
                 ], names=["rid", "shingles"])
 
-    held = texts.mapInArrow(run, "rid long, shingles array<long>").select("rid", F.explode("shingles").alias("shingle"))
+    held = kit.map_arrow(texts, run, "rid long, shingles array<long>").select("rid", F.explode("shingles").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     return held.join(common, "shingle").groupBy("rid").agg(F.count("*").alias("shared"))
 

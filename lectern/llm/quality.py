@@ -115,4 +115,4 @@ def quality_report(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 columns = [batch.column(0).slice(a, b - a)] + [pa.array(m[f.name]) for f in schema.fields[1:]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return kit.map_arrow(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), run, schema)

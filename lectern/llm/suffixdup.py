@@ -6,7 +6,9 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts elsewher
    anchor, so equal strings have equal anchors. Starts that share an anchor are one
    segment: the run of starts and the text they cover. Segments whose anchor occurs once
    are done: nothing in them repeats.
-2. Segments of equal content repeat as a whole. Of each content one text is kept.
+2. Segments of equal content repeat as a whole, first those within a document (a text
+   of one short phrase has thousands), then between documents. Of each content one text
+   is kept.
 3. Different segments with one anchor go to the same shard, of bounded bytes. A shard
    sorts its suffixes by Larsson-Sadakane refinement (prefix doubling of the groups that
    are not yet sorted) and takes the common prefixes of neighbours with Kasai's rule.
@@ -37,7 +39,7 @@ from . import kit
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 PLACE_BITS = 24
 CHUNK_BYTES = 1 << 20
 
@@ -179,30 +181,44 @@ def _runs_of(marks: np.ndarray, begins: np.ndarray, runs: np.ndarray):
 
 def _documents(docs: DataFrame, length: int) -> DataFrame:
     """Hash, bytes and digest of every text, and its segments."""
-    segment = T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("key", T.LongType()),
-        T.StructField("content", T.LongType())]))
+    span = [T.StructField("start", T.IntegerType()), T.StructField("run", T.IntegerType())]
+    segment = [*span, T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), T.StructField("times", T.LongType())]
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType()), T.StructField("n_bytes", T.LongType()),
-        T.StructField("sha", T.StringType()), T.StructField("segments", segment),
+        T.StructField("sha", T.StringType()), T.StructField("segments", T.ArrayType(T.StructType(segment))),
+        T.StructField("own", T.ArrayType(T.StructType(span))),
     ])
 
+    def lists(rows: np.ndarray, n: int, **columns: pa.Array) -> pa.Array:
+        ends = np.append(0, np.cumsum(kit.row_counts(rows, n))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kit.pieces(batch.column(2), CHUNK_BYTES):
                 row, start, many, key, content = anchors(data, offsets, length)
                 raw = data.tobytes()
                 sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
-                ends = np.append(0, np.cumsum(kit.row_counts(row, b - a)))
-                parts = pa.StructArray.from_arrays([
-                    pa.array(start, pa.int32()), pa.array(many, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)),
-                ], names=["start", "run", "key", "content"])
+                same = kit.mix(kit.mix(key ^ row.astype(np.uint64)) ^ content)
+                _, first, inverse, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+                # Runs of segments that repeat within their text.
+                own = np.flatnonzero(times[inverse] > 1)
+                joined = np.append(False, (row[own[1:]] == row[own[:-1]]) & (start[own[1:]] == start[own[:-1]] + many[own[:-1]]))
+                head = np.flatnonzero(~joined[: len(own)])
+                ends = np.append(head[1:], len(own))[: len(head)] - 1
+                own_row, own_start = row[own[head]], start[own[head]]
+                own_run = start[own[ends]] + many[own[ends]] - own_start
+                order = np.argsort(first)
+                first, times = first[order], times[order]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(sha),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts),
+                    lists(row[first], b - a, start=pa.array(start[first], pa.int32()), run=pa.array(many[first], pa.int32()),
+                          key=pa.array(key[first].view(np.int64)), content=pa.array(content[first].view(np.int64)),
+                          times=pa.array(times.astype(np.int64))),
+                    lists(own_row, b - a, start=pa.array(own_start, pa.int32()), run=pa.array(own_run, pa.int32())),
                 ], names=schema.names)
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
+    return kit.map_arrow(docs.select("doc_id", "h", "text"), run, schema)
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -223,7 +239,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [field[c].slice(i, 4096) for c in names] + [kit.binary_column(bits)], names=[*names, "bytes"])
 
-    return texts.mapInArrow(run, "key long, content long, run int, shard long, part long, parts long, bytes binary")
+    return kit.map_arrow(texts, run, "key long, content long, run int, shard long, part long, parts long, bytes binary")
 
 
 LENGTH_LESS = LENGTH - 1
@@ -318,7 +334,7 @@ def _removed(texts: DataFrame) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha),
             ], names=["h", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.mapInArrow(run, schema)
+    return kit.map_arrow(texts, run, schema)
 
 
 def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -327,10 +343,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: s
     docs = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     known = kit.stage(_documents(docs, LENGTH), "segments")
     segments = known.select("h", "n_bytes", F.inline("segments"))
-    keys = segments.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    open_ = kit.stage(segments.join(keys, "key"), "open-segments")
+    keys = segments.groupBy("key").agg(F.sum("times").alias("all")).where("all > 1").select("key")
+    open_ = kit.stage(segments.join(keys, "key").drop("all"), "open-segments")
     contents = kit.stage(open_.groupBy("key", "content", "run").agg(
-        F.count("*").alias("times"), F.min(F.struct("h", "n_bytes", "start")).alias("at")), "contents")
+        F.sum("times").alias("times"), F.min(F.struct("h", "n_bytes", "start")).alias("at")), "contents")
     sizes = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("run") + LENGTH_LESS).alias("bytes")).where("kinds > 1")
     sizes = kit.stage(sizes, "anchors")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
@@ -355,7 +371,8 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: s
     inner = local.unionByName(merged).select("key", "content", F.col("start").alias("from"), F.col("run").alias("many"))
     inside = open_.join(inner, ["key", "content"]).select("h", "n_bytes", (F.col("start") + F.col("from")).alias("start"), F.col("many").alias("run"))
     whole = open_.join(contents.where("times > 1").select("key", "content"), ["key", "content"]).select("h", "n_bytes", "start", "run")
-    spans = whole.unionByName(inside).distinct().groupBy("h", "n_bytes").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
+    own = known.select("h", "n_bytes", F.inline("own"))
+    spans = whole.unionByName(inside).unionByName(own).distinct().groupBy("h", "n_bytes").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
     results = kit.stage(_removed(texts.join(spans, ["h", "n_bytes"]).select("h", "n_bytes", "text", "spans")), "removed")
     return known.select("doc_id", "h", "n_bytes", "sha").join(results, ["h", "n_bytes"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

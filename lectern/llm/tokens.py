@@ -249,7 +249,7 @@ def write_tokens(
         if lengths:
             yield close()
 
-    ordered.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "none").parquet(folder)
+    kit.map_arrow(ordered.select("doc_id", "text"), run, schema).write.option("compression", "none").parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,7 +277,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 ], names=schema.names)
 
     joined = segments.join(parts, "part").select((F.col("part_start") + F.col("inside")).alias("start"), "doc_ids", "n_tokens", "image")
-    return joined.mapInArrow(run, schema)
+    return kit.map_arrow(joined, run, schema)
 
 
 def token_report(docs: DataFrame, tokenizer: str, by_word: bool = False) -> DataFrame:
