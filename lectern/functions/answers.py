@@ -66,7 +66,7 @@ def prompt(messages: Column, question: Column, ctx: Column, institution: str = "
     """``array<struct<role,content>>`` of one chat request: system, history, question."""
     history = F.transform(
         F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0))),
-        lambda m: message(m["role"], m["parts"][0]["text"]),
+        lambda m: message(m["role"], F.get(m["parts"], F.lit(0))["text"]),
     )
     return F.concat(
         F.array(message("system", system_text(ctx, institution))),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Place within a document: compared number by number.
+ORDER = T.ArrayType(T.LongType())
 PROPS = T.MapType(T.StringType(), T.StringType())
 
 NODES = T.StructType([
@@ -12,7 +14,7 @@ NODES = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("props", PROPS),
     T.StructField("doc_id", T.StringType()),
-    T.StructField("seq", T.LongType()),
+    T.StructField("seq", ORDER),
 ])
 
 EDGES = T.StructType([
@@ -21,7 +23,7 @@ EDGES = T.StructType([
     T.StructField("target", T.StringType()),
     T.StructField("props", PROPS),
     T.StructField("doc_id", T.StringType()),
-    T.StructField("seq", T.LongType()),
+    T.StructField("seq", ORDER),
 ])
 
 POINT = T.StructType([
@@ -80,4 +82,6 @@ JOB_EVENTS = T.StructType([
     T.StructField("nodes", T.LongType()),
     T.StructField("edges", T.LongType()),
     T.StructField("error", T.StringType()),
+    T.StructField("extracted_text_length", T.IntegerType()),
+    T.StructField("extracted_preview", T.StringType()),
 ])

@@ -169,6 +169,14 @@ def block_totals(states: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+# Which item of which row a record comes from.
+SLOT = "struct<row_no:bigint,item:bigint>"
+
+
+def _slot(item: Column) -> Column:
+    return F.struct(F.col("row_no").cast("bigint").alias("row_no"), item.cast("bigint").alias("item"))
+
+
 def course_nodes(table: DataFrame) -> DataFrame:
     """Block, requirement, subgroup and course nodes of a table from ``with_ids``.
 
@@ -178,6 +186,7 @@ def course_nodes(table: DataFrame) -> DataFrame:
     """
     major = F.concat(F.col("ten_nganh"), F.lit(" ("), F.col("loai_hinh"), F.lit(")"))
     block_word = F.coalesce("block_id", F.lit("None"))
+    no_slot = F.lit(None).cast(SLOT)
     no_totals = F.lit(None).cast("struct<tong:int,bat_buoc:int,tu_chon:int>")
     no_entries = F.array().cast("array<struct<key:string,value:string>>")
 
@@ -186,10 +195,10 @@ def course_nodes(table: DataFrame) -> DataFrame:
             F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()
         ])
 
-    def record(label: str, node_id: Column, text: Column, props: Column, slot=F.lit(-1), totals=no_totals,
+    def record(label: str, node_id: Column, text: Column, props: Column, slot=no_slot, totals=no_totals,
                opens=F.lit(True)) -> Column:
         return F.struct(
-            F.lit(label).alias("label"), node_id.alias("id"), slot.cast("bigint").alias("slot"),
+            F.lit(label).alias("label"), node_id.alias("id"), slot.alias("slot"),
             text.alias("text"), props.alias("props"), totals.alias("totals"), opens.alias("opens"),
         )
 
@@ -227,7 +236,7 @@ def course_nodes(table: DataFrame) -> DataFrame:
             ),
             entries(ma_hp=hp, ten_hp=name, so_tin_chi=F.col("credits"), so_tiet_ly_thuyet=hours("theory"),
                     so_tiet_thuc_hanh=hours("practice"), bat_buoc=F.col("req_id").isNull()),
-            slot=F.col("row_no") * 64 + i,
+            slot=_slot(i),
         )
 
     is_course = F.col("kind") == "course"
@@ -242,7 +251,7 @@ def course_nodes(table: DataFrame) -> DataFrame:
     rows = table.select("doc_id", "row_no", F.explode(found).alias("r")).select("doc_id", "row_no", "r.*").where(
         "id is not null"
     )
-    # The slot keeps courses apart; all other nodes meet under -1.
+    # The slot keeps courses apart; all other nodes meet without one.
     first = F.min_by(F.struct("text", "props", "row_no"), F.when(F.col("opens"), F.col("row_no")))
     last_totals = F.max_by("totals", F.when(F.col("totals").isNotNull(), F.col("row_no")))
     nodes = rows.groupBy("doc_id", "label", "id", "slot").agg(first.alias("n"), last_totals.alias("t")).where(
@@ -264,7 +273,8 @@ def course_nodes(table: DataFrame) -> DataFrame:
             F.when(is_block, F.concat(F.col("n.props"), credits)).otherwise(F.col("n.props"))
         ).alias("props"),
         "doc_id", F.col("n.row_no").alias("row_no"),
-        F.when(is_block, 0).when(F.col("slot") < 0, 1).otherwise(2).alias("place"),
+        F.when(is_block, 0).when(F.col("slot").isNull(), 1).otherwise(2).alias("place"),
+        F.coalesce("slot.item", F.lit(0)).alias("item"),
     )
 
 
@@ -294,10 +304,10 @@ def course_edges(table: DataFrame) -> DataFrame:
 
     # A block, requirement or subgroup is linked once per table, a course each time.
     linked = F.concat(
-        F.transform(structure, lambda e: F.struct(e.alias("e"), F.lit(-1).cast("bigint").alias("slot"))),
+        F.transform(structure, lambda e: F.struct(e.alias("e"), F.lit(None).cast(SLOT).alias("slot"))),
         F.transform(
             F.flatten(F.transform(codes, of_course)),
-            lambda e, i: F.struct(e.alias("e"), (F.col("row_no") * 1024 + i).cast("bigint").alias("slot")),
+            lambda e, i: F.struct(e.alias("e"), _slot(i).alias("slot")),
         ),
     )
     return (

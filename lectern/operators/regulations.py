@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regulation as rg
-from ..session import materialize
 from .graph import entries_map
 
 
@@ -36,6 +35,9 @@ def _entry(**values: Column) -> Column:
     ])
 
 
+ROOT_LABEL = "VanBan"
+
+
 def _item(label, node_id, parent, relation, key, props, texts) -> Column:
     return F.struct(
         F.lit(label).alias("label"), node_id.alias("id"), parent.alias("parent"),
@@ -91,7 +93,7 @@ def flatten_trees(trees: DataFrame) -> DataFrame:
         return F.concat(F.array(own), F.flatten(F.transform(c["cac_dieu"], article_items(chapter_id))))
 
     root = _item(
-        "VanBan", doc_node, F.lit(None).cast("string"), None, F.lit(None).cast("string"),
+        ROOT_LABEL, doc_node, F.lit(None).cast("string"), None, F.lit(None).cast("string"),
         _entry(ten=F.col("ten"), nguon=F.col("nguon")), no_texts,
     )
     named = trees.select(
@@ -100,7 +102,7 @@ def flatten_trees(trees: DataFrame) -> DataFrame:
     )
     items = F.concat(F.array(root), F.flatten(F.transform("chapters", chapter_items)))
     return named.select("doc_id", F.posexplode(items).alias("seq", "i")).select(
-        "doc_id", F.col("seq").cast("bigint").alias("seq"), "i.*"
+        "doc_id", F.array(F.col("seq").cast("bigint")).alias("seq"), "i.*"
     )
 
 
@@ -149,12 +151,11 @@ def citation_targets(addressed: DataFrame) -> DataFrame:
 def citation_edges(flat: DataFrame, keep_unresolved: bool = False) -> DataFrame:
     """``tham_chieu`` edges: the point if it exists, else the clause, else the article.
 
-    Texts are parsed once: addresses and citations, a small part of them, are
-    written before the lookups. Citations are made distinct, then looked up by
+    Citations are made distinct, then looked up by
     (document, address), so no task gathers a whole document.
     ``keep_unresolved`` returns a null target for citations that lead nowhere.
     """
-    addressed = materialize(addresses(flat), "addresses")
+    addressed = addresses(flat)
     index = citation_index(addressed)
     sources = index.withColumnRenamed("key", "source_key").withColumnRenamed("id", "source")
     hits = (

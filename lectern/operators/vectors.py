@@ -1,14 +1,13 @@
 """Exact nearest vectors by cosine, in blocks.
 
-Scores are matrix products inside tasks; Spark spreads the blocks. Each block
-sends on at most k rows per query, so the final ranking shuffles little. A query
-set of checked size travels to the corpus; a larger one meets it on a grid of
-query blocks and corpus blocks.
+The corpus is dealt once into chunks; every chunk meets all queries, which stream past
+it in slices. Scores are matrix products inside tasks, and each chunk sends on at most k
+rows per query, so the final ranking shuffles little. One way serves one question and
+millions; nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Queries that may travel to every task; 4,096 of 1,024 dimensions are 32 MB.
-SMALL_QUERY_SET = 4_096
-QUERY_BLOCK = 4_096
-CORPUS_BLOCK = 65_536
-SLICE = 1_024
+# Queries and corpus rows of one product.
+QUERY_SLICE = 512
+CORPUS_SLICE = 4_096
 # Products of equal vectors may differ in the last bits; this many decimals tie.
 TIE_DECIMALS = 9
 
@@ -41,39 +38,44 @@ def _matrix(column) -> np.ndarray:
             column = pa.concat_arrays(column.chunks)
     rows = len(column)
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    if len(flat) % rows:
+        raise ValueError("vectors of several dimensions")
     m = flat.reshape(rows, -1)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which cells of each row are its k largest; of equal ones the first columns count."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, equal = scores > cut, scores == cut
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+
+
 def _best(q_ids, q_mat, c_ids, c_mat, k, floor, skip_self) -> dict[str, list]:
-    """At most k rows per query of this block, ties broken by the smaller id."""
-    out = {"qid": [], "id": [], "score": []}
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c_mat = c_ids[order], c_mat[order]
-    kept: list[list[tuple]] = [[] for _ in range(len(q_ids))]
-    for start in range(0, len(c_ids), SLICE):
-        scores = np.round(q_mat @ c_mat[start:start + SLICE].T, TIE_DECIMALS)
-        ids = c_ids[start:start + SLICE]
-        for i in np.flatnonzero((scores > floor).any(axis=1)):
-            row = scores[i]
-            good = row > floor
-            if skip_self:
-                good &= ids != q_ids[i]
-            at = np.flatnonzero(good)
-            if len(at) > k:
-                # ids ascend, so a stable sort by score keeps ties in id order
-                cut = np.partition(row[at], len(at) - k)[len(at) - k]
-                at = at[row[at] >= cut]
-                at = at[np.argsort(-row[at], kind="stable")][:k]
-            kept[i].extend(zip(row[at].tolist(), ids[at].tolist()))
-    for q, found in zip(q_ids.tolist(), kept):
-        found.sort(key=lambda p: (-p[0], p[1]))
-        for score, cid in found[:k]:
-            out["qid"].append(q)
-            out["id"].append(cid)
-            out["score"].append(score)
-    return out
+    """At most k rows per query of this chunk, ties broken by the smaller id.
+
+    Corpus ids ascend, and what is kept stays in their order, so ties need no look at ids.
+    """
+    if q_mat.shape[1] != c_mat.shape[1]:
+        raise ValueError(f"vectors of {q_mat.shape[1]} and {c_mat.shape[1]} dimensions")
+    n = len(q_ids)
+    score, at = np.full((n, k), -np.inf), np.full((n, k), -1)
+    own = {c: i for i, c in enumerate(c_ids.tolist())} if skip_self else {}
+    mine = np.array([own.get(q, -1) for q in q_ids.tolist()]) if skip_self else np.full(n, -1)
+    for start in range(0, len(c_ids), CORPUS_SLICE):
+        fresh = np.round(q_mat @ c_mat[start:start + CORPUS_SLICE].T, TIE_DECIMALS)
+        fresh[fresh <= floor] = -np.inf
+        inside = np.flatnonzero((mine >= start) & (mine < start + CORPUS_SLICE))
+        fresh[inside, mine[inside] - start] = -np.inf
+        both = np.concatenate([score, fresh], axis=1)
+        places = np.concatenate([at, np.broadcast_to(np.arange(start, start + fresh.shape[1]), fresh.shape)], axis=1)
+        kept = _top(both, k)
+        score, at = both[kept].reshape(n, k), places[kept].reshape(n, k)
+    row, column = np.nonzero(score > -np.inf)
+    return {"qid": q_ids[row].tolist(), "id": c_ids[at[row, column]].tolist(), "score": score[row, column].tolist()}
 
 
 def _ids(column) -> np.ndarray:
@@ -96,65 +98,62 @@ def _out_schema(queries: DataFrame, corpus: DataFrame) -> tuple[T.StructType, pa
     return spark, arrow
 
 
-def _against_small_set(queries: pa.Table, corpus, k, floor, skip_self, schema, arrow) -> DataFrame:
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast((_ids(queries["qid"]), _matrix(queries["vector"])))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_mat = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                found = _best(q_ids, q_mat, _ids(batch["id"]), _matrix(batch["vector"]), k, floor, skip_self)
-                yield pa.RecordBatch.from_pydict(found, schema=arrow)
-
-    return corpus.select("id", "vector").mapInArrow(score, schema)
-
-
-def _on_grid(queries, corpus, k, floor, skip_self, schema, arrow, query_block, corpus_block) -> DataFrame:
-    q_blocks = max(1, math.ceil(queries.count() / query_block))
-    c_blocks = max(1, math.ceil(corpus.count() / corpus_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select("qid", "vector", own("qid", q_blocks).alias("qb"), every(c_blocks).alias("cb"))
-    right = corpus.select("id", "vector", own("id", c_blocks).alias("cb"), every(q_blocks).alias("qb"))
-
-    def score(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows or not c.num_rows:
-            return arrow.empty_table()
-        found = _best(
-            _ids(q["qid"]), _matrix(q["vector"]), _ids(c["id"]), _matrix(c["vector"]), k, floor, skip_self
-        )
-        return pa.Table.from_pydict(found, schema=arrow)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(score, schema)
-
-
 def top_matches(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
     min_cosine: float | None = None,
     skip_self: bool = False,
-    small_query_set: int = SMALL_QUERY_SET,
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
+    corpus_chunks: int | None = None,
 ) -> DataFrame:
     """``queries(qid, vector)`` and ``corpus(id, vector)`` to ``(qid, id, score, rank)``.
 
     ``score`` is the raw cosine; only scores strictly above ``min_cosine`` count,
-    cut before ranking. ``skip_self`` leaves out the pair of equal ids.
+    cut before ranking. ``skip_self`` leaves out the pair of equal ids. Rows with a null
+    vector take no part; all others must have one number of dimensions. A task holds one
+    of ``corpus_chunks`` parts of the corpus (the session's shuffle partitions if None),
+    so choose as many as make a part fit into a task.
     """
     floor = -np.inf if min_cosine is None else float(min_cosine)
     schema, arrow = _out_schema(queries, corpus)
-    # The one look at the data from the driver: at most small_query_set + 1 rows.
-    head = queries.select("qid", "vector").limit(small_query_set + 1).toArrow()
-    if head.num_rows == 0:
-        found = corpus.sparkSession.createDataFrame([], schema)
-    elif head.num_rows <= small_query_set:
-        found = _against_small_set(head, corpus, k, floor, skip_self, schema, arrow)
-    else:
-        found = _on_grid(queries, corpus, k, floor, skip_self, schema, arrow, query_block, corpus_block)
+    chunks = corpus_chunks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qid, cid = queries.schema["qid"].dataType, corpus.schema["id"].dataType
+    double = F.col("vector").cast("array<double>").alias("vector")
+    held = corpus.where("vector is not null").select(
+        F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"),
+        F.lit(None).cast(qid).alias("qid"), "id", double,
+    )
+    asked = queries.where("vector is not null").select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"),
+        "qid", F.lit(None).cast(cid).alias("id"), double,
+    )
+    dealt = held.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "side", "id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, parts = None, [], []
+        for batch in batches:
+            number, side = batch["chunk"].to_numpy(), batch["side"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (side[1:] != side[:-1])))
+            for start, end in zip(cuts, np.append(cuts[1:], len(number))):
+                rows = batch.slice(start, end - start)
+                if number[start] != chunk:
+                    chunk, ids, parts = number[start], [], []
+                if side[start] == 0:
+                    ids.append(_ids(rows["id"]))
+                    parts.append(_matrix(rows["vector"]))
+                    continue
+                if not parts:
+                    continue
+                ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                q_ids, q_mat = _ids(rows["qid"]), _matrix(rows["vector"])
+                for at in range(0, len(q_ids), QUERY_SLICE):
+                    found = _best(
+                        q_ids[at:at + QUERY_SLICE], q_mat[at:at + QUERY_SLICE], ids[0], parts[0], k, floor, skip_self
+                    )
+                    yield pa.RecordBatch.from_pydict(found, schema=arrow)
+
     ranking = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
+    found = dealt.mapInArrow(score, schema)
     return found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 
 

@@ -18,7 +18,6 @@ from ..operators import courses as co
 DECISION = "QUYET_DINH"
 CONTEXT_FIELDS = ("program_id", "ten_nganh", "loai_hinh")
 NOT_SEEN = "UNKNOWN"
-PLACES_PER_SECTION = 1_000_000
 
 EDGE_TYPE = "struct<source:string,type:string,target:string>"
 RECORD_TYPE = (
@@ -275,7 +274,7 @@ def section_records(sections: DataFrame, join_continuations: bool = False,
     rows = sections.where(F.col("type").isin(*by_type))
     return rows.select("doc_id", "section_no", F.posexplode(chain).alias("place", "r")).select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        (F.col("section_no").cast("bigint") * PLACES_PER_SECTION + F.col("place")).alias("seq"),
+        F.array(F.col("section_no").cast("bigint"), F.col("place").cast("bigint")).alias("seq"),
         "r.*",
     )
 
@@ -311,12 +310,17 @@ def curriculum_graph(docs: DataFrame, course_rows: DataFrame | None = None,
     if course_rows is not None:
         states = co.course_states(co.clean_rows(course_rows))
         table = co.with_ids(states, table_context(sections))
-        # Course rows rank after the sections before them and never above the decision.
-        seq = (F.col("row_no").cast("bigint") * 8 + F.col("place")).alias("seq")
+        # Course rows rank before all sections of their document, in the order of the table.
+        order = lambda *names: F.array(
+            F.lit(-1).cast("bigint"), *[F.col(c).cast("bigint") for c in names]
+        ).alias("seq")
         doc = F.col("doc_id").cast("string").alias("doc_id")
-        nodes = nodes.unionByName(co.course_nodes(table).select("label", "id", "text", "props", doc, seq))
+        nodes = nodes.unionByName(co.course_nodes(table).select(
+            "label", "id", "text", "props", doc, order("row_no", "place", "item")
+        ))
         edges = edges.unionByName(co.course_edges(table).select(
-            "source", "type", "target", F.create_map().cast("map<string,string>").alias("props"), doc, seq
+            "source", "type", "target", F.create_map().cast("map<string,string>").alias("props"), doc,
+            order("row_no", "place"),
         ))
     return nodes, edges
 

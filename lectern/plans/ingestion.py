@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import curriculum as cu
+from ..functions import text as tx
 from ..operators import regulations as rg
 from ..sources.readers import CATEGORIES
 
@@ -25,7 +26,7 @@ def _regulation_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = rg.flatten_trees(rg.parse_regulations(docs))
     cited = rg.citation_edges(flat).select(
         "source", "type", "target", F.create_map().cast("map<string,string>").alias("props"),
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).cast("bigint").alias("seq"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.array(F.lit(0).cast("bigint")).alias("seq"),
     )
     return rg.tree_nodes(flat), rg.tree_edges(flat).unionByName(cited)
 
@@ -50,10 +51,21 @@ def run_pipelines(docs: DataFrame, pipelines: Mapping[str, Pipeline] = PIPELINES
     return nodes, edges
 
 
+# Why a document of a category with a pipeline left nothing in the graph.
+NO_NODES = (
+    "ETL khong tao ra node nao. Can kiem tra cau truc tieu de/section cua PDF va bo tu khoa phan loai."
+)
+
+
+def replaced_roots(nodes: DataFrame) -> DataFrame:
+    """Roots of the trees that submitted nodes replace when they are stored again."""
+    return nodes.where(F.col("label") == rg.ROOT_LABEL).select("id").distinct()
+
+
 def failure(docs: DataFrame) -> Column:
     """Why a document cannot be processed; null if it can."""
     return F.when(
-        F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("Khong trich xuat duoc noi dung text tu PDF.")
+        tx.strip(F.coalesce("text", F.lit(""))) == "", F.lit("Khong trich xuat duoc noi dung text tu PDF.")
     )
 
 
@@ -120,14 +132,11 @@ def eligible(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin(*ELIGIBLE_STATES))
 
 
-def upload_key(name: Column, size: Column, modified: Column) -> Column:
-    return F.concat_ws("-", name, size.cast("string"), modified.cast("string"))
+# What makes two uploads the same, in batches and streams alike.
+UPLOAD_KEY = ("name", "size", "last_modified")
 
 
 def first_uploads(uploads: DataFrame, order: str) -> DataFrame:
     """The first upload of each (name, size, last modified)."""
-    rest = [c for c in uploads.columns]
-    key = upload_key(F.col("name"), F.col("size"), F.col("last_modified"))
-    return uploads.groupBy(key.alias("key")).agg(
-        F.min_by(F.struct(*rest), order).alias("u")
-    ).select("key", "u.*")
+    rest = [c for c in uploads.columns if c not in UPLOAD_KEY]
+    return uploads.groupBy(*UPLOAD_KEY).agg(F.min_by(F.struct(*rest), order).alias("u")).select(*UPLOAD_KEY, "u.*")

@@ -11,7 +11,6 @@ from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import vectors as ve
 from ..operators.contains import contains_join
-from ..session import materialize
 
 COURSE = "HocPhan"
 PREREQUISITE = "YEU_CAU_TIEN_QUYET"
@@ -85,7 +84,7 @@ def graph_answers(routed: DataFrame, nodes: DataFrame, edges: DataFrame, match_c
     asked = routed.where(F.col("intent").isin("PREREQUISITE", "CREDIT")).select("intent", "entity").distinct()
     courses = courses_of(nodes)
     found = matching_courses(asked.select("entity").distinct(), courses, match_codes)
-    matches = materialize(asked.join(found, "entity"), "course-matches")
+    matches = asked.join(found, "entity")
     of = lambda intent: matches.where(F.col("intent") == intent)
     pre = prerequisite_answers(of("PREREQUISITE"), courses, edges)
     credit = credit_answers(of("CREDIT"))
@@ -112,17 +111,11 @@ def contexts(
     """
     routed = route(questions, whole_words)
     answers = graph_answers(routed, nodes, edges, match_codes)
-    # Two readers follow: the questions left for the vectors, and the result.
-    looked_up = materialize(
-        routed.drop("text").join(answers, ["intent", "entity"], "left"), "looked-up-questions"
-    )
+    looked_up = routed.drop("text").join(answers, ["intent", "entity"], "left")
     rest = looked_up.where("graph_text is null and vector is not null").select("qid", "vector")
     matches = ve.top_matches(
         rest, corpus.select("id", "vector"), k=min(k, limit), min_cosine=ve.cosine_floor(threshold)
     )
-    # Written, the few matches have a known size: the texts they are joined with,
-    # the whole corpus, need no shuffle when that size is small.
-    matches = materialize(matches, "matches")
     texts = ve.nearest_texts(matches, corpus.select("id", "text"), limit)
     found = looked_up.join(texts, "qid", "left").select(
         "qid", "intent", "graph_text", "vector_text",

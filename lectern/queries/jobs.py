@@ -98,7 +98,9 @@ def _uploads(events):
 
 
 def first_uploads(spark, d):
-    return ing.first_uploads(_uploads(table(spark, d, "events")), "event_id").select("key", "event_id")
+    return ing.first_uploads(_uploads(table(spark, d, "events")), "event_id").select(
+        F.concat_ws("-", *ing.UPLOAD_KEY).alias("key"), "event_id"
+    )
 
 
 def streamed_first_uploads(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 # Settings that must be there from the start of a session. Call sites of column
 # calls are not recorded: plans here have thousands of them.
-START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+START_CONF = {"spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app_name: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,34 +37,19 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy per-row work enough tasks when the input comes in few partitions.
+    """Deal rows out over the session's shuffle partitions before heavy per-row work.
 
-    Large inputs have more partitions than cores and are left as they are. ``key``
-    should be unique, so that rows spread evenly and reruns agree.
+    For tables that come in few row groups. ``key`` should be unique, so that rows
+    spread evenly and reruns agree.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, shared by all executors.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where
-    that is unset (tests on one machine) a temporary folder stands in.
+    The cluster names the shared folder in ``spark.checkpoint.dir``; without it the
+    session's warehouse is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result that several later steps read, and read it back.
-
-    The written table lies in the shared folder, so a lost executor costs a
-    re-read and not a recomputation.
-    """
-    path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

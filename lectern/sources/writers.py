@@ -34,12 +34,12 @@ EDGE_TABLE = "source string, target string, props map<string,string>, type strin
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Stored nodes; a filter on ``label`` prunes folders."""
-    return _stored(spark, path, NODE_TABLE)
+    """Stored nodes; a filter on ``label`` prunes folders. Removed ones do not show."""
+    return _stored(spark, path, NODE_TABLE).where("props is not null")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, path, EDGE_TABLE)
+    return _stored(spark, path, EDGE_TABLE).where("props is not null")
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _touched(existing: DataFrame, incoming: DataFrame, column: str) -> DataFrame
 
 def _versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored rows are version 0, incoming ones come later in their own order."""
-    old = existing.withColumns({"gen": F.lit(0), "doc_id": F.lit(""), "seq": F.lit(0).cast("bigint")})
+    old = existing.withColumns({"gen": F.lit(0), "doc_id": F.lit(""), "seq": F.array().cast("array<bigint>")})
     new = incoming.withColumn("gen", F.lit(1)).withColumn("doc_id", F.col("doc_id").cast("string"))
     return old.unionByName(new.select(*old.columns))
 
@@ -65,22 +65,40 @@ def _versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 VERSION = ("gen", "doc_id", "seq")
 
 
-def upsert_nodes(nodes: DataFrame, path: str) -> None:
+def _with_removed(merged: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """Removed rows stay as marks without properties, so that their folder is rewritten too.
+
+    Readers leave marks out; the next rewrite of the folder drops them.
+    """
+    marks = removed.select(*keys).join(merged.select(*keys), keys, "left_anti")
+    return merged.unionByName(marks.withColumn("props", F.lit(None).cast("map<string,string>")))
+
+
+def upsert_nodes(nodes: DataFrame, path: str, replaced: DataFrame | None = None) -> None:
     """Merge ``nodes(label, id, text, props, doc_id, seq)`` into the table at ``path``.
 
+    Stored nodes whose id is in ``replaced(id)`` are removed first.
+
     Only the folders of the labels that occur in ``nodes`` are rewritten. ``nodes``
     is read twice, so give a written table where it is costly to compute.
     """
     spark = nodes.sparkSession
     incoming = gr.unify_nodes(nodes)
-    existing = _touched(read_nodes(spark, path), incoming, "label")
-    merged = gr.upsert_nodes(_versions(existing, incoming), VERSION)
+    stored = read_nodes(spark, path)
+    if replaced is None:
+        merged = gr.upsert_nodes(_versions(_touched(stored, incoming, "label"), incoming), VERSION)
+    else:
+        removed = stored.join(replaced, "id", "left_semi")
+        touched = incoming.select("label").unionByName(removed.select("label"))
+        kept = _touched(stored, touched, "label").join(replaced, "id", "left_anti")
+        merged = _with_removed(gr.upsert_nodes(_versions(kept, incoming), VERSION), removed, ["label", "id"])
     _replace_partitions(merged, path, "label")
 
 
-def upsert_edges(edges: DataFrame, path: str, nodes: DataFrame | None = None) -> None:
+def upsert_edges(edges: DataFrame, path: str, nodes: DataFrame | None = None, replaced: DataFrame | None = None) -> None:
     """Merge ``edges(source, type, target, props, doc_id, seq)`` into the table at ``path``.
 
+    Stored edges that touch an id of ``replaced(id)`` are removed first.
     With ``nodes``, edges whose ends do not both exist are left out first.
     """
     spark = edges.sparkSession
@@ -90,8 +108,19 @@ def upsert_edges(edges: DataFrame, path: str, nodes: DataFrame | None = None) ->
         incoming = incoming.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(
             ids.withColumnRenamed("id", "target"), "target", "left_semi"
         )
-    existing = _touched(read_edges(spark, path), incoming, "type")
-    merged = gr.upsert_edges(_versions(existing, incoming), VERSION)
+    stored = read_edges(spark, path)
+    if replaced is None:
+        merged = gr.upsert_edges(_versions(_touched(stored, incoming, "type"), incoming), VERSION)
+    else:
+        kept = stored
+        for end in ("source", "target"):
+            kept = kept.join(replaced.withColumnRenamed("id", end), end, "left_anti")
+        keys = ["source", "type", "target"]
+        removed = stored.join(kept.select(*keys), keys, "left_anti")
+        touched = incoming.select("type").unionByName(removed.select("type"))
+        merged = _with_removed(
+            gr.upsert_edges(_versions(_touched(kept, touched, "type"), incoming), VERSION), removed, keys
+        )
     _replace_partitions(merged, path, "type")
 
 

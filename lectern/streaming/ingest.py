@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as tx
+from ..operators import graph as gr
 from ..plans import ingestion as ing
 from ..plans import retrieval as ret
 from ..sources import readers, writers
@@ -15,7 +17,11 @@ from ..sources import readers, writers
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str,
                  pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES) -> None:
-    """Process one micro-batch of ``(doc_id, file_name, category, size, text, arrived)``.
+    """Process one micro-batch of ``(doc_id, file_name, category, size, text, arrived[, job_id])``.
+
+    A job is one upload: without ``job_id`` the document's id names it. That it waits and
+    runs is recorded before the work, how it ended after it; events are ordered by batch
+    and step. A document stored before is replaced as a whole.
 
     Graph tables are merged, so a repeated batch changes nothing; the job events
     of a batch overwrite their own folder for the same reason. A bad document is
@@ -27,7 +33,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     refused = readers.rejection(F.col("file_name"), F.col("category"), F.col("size"))
     batch.withColumn("error", F.coalesce(refused, ing.failure(batch))).write.mode("overwrite").parquet(staged)
     docs = spark.read.parquet(staged)
+    if "job_id" not in docs.columns:
+        docs = docs.withColumn("job_id", F.col("doc_id").cast("string"))
     good = docs.where("error is null")
+    _record(docs.withColumns({"nodes": F.lit(None).cast("bigint"), "edges": F.lit(None).cast("bigint")}),
+            ("queued", "processing"), 0, batch_id, out, pipelines)
 
     # Texts are parsed once for nodes and once for edges; merges and counts read the rows.
     submitted = []
@@ -36,31 +46,46 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
         rows.write.mode("overwrite").parquet(path)
         submitted.append(spark.read.schema(rows.schema).parquet(path))
     nodes, edges = submitted
-    writers.upsert_nodes(nodes, f"{out}/nodes")
-    writers.upsert_edges(edges, f"{out}/edges", writers.read_nodes(spark, f"{out}/nodes"))
+    path = f"{out}/replaced/batch_id={batch_id}"
+    gr.subtree(ing.replaced_roots(nodes), writers.read_edges(spark, f"{out}/edges")).write.mode("overwrite").parquet(path)
+    replaced = spark.read.schema("id string").parquet(path)
+    writers.upsert_nodes(nodes, f"{out}/nodes", replaced)
+    writers.upsert_edges(edges, f"{out}/edges", writers.read_nodes(spark, f"{out}/nodes"), replaced)
 
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     done = docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(
         per_doc(nodes, "nodes"), "doc_id", "left"
     ).join(per_doc(edges, "edges"), "doc_id", "left")
     applied = ing.has_pipeline(F.col("category"), pipelines)
-    steps = F.array(
-        F.lit("queued"), F.lit("processing"),
-        F.when(F.col("error").isNull(), F.lit("completed")).otherwise(F.lit("failed")),
-    )
-    last = F.col("step") == 2
-    events = done.select("*", F.posexplode(steps).alias("step", "status")).select(
-        F.col("doc_id").alias("job_id"),
-        F.col("step").cast("bigint").alias("event_seq"),
+    empty = applied & F.col("nodes").isNull()
+    done = done.withColumn("error", F.coalesce("error", F.when(empty, F.lit(ing.NO_NODES))))
+    _record(done, (None,), 2, batch_id, out, pipelines)
+
+
+def _record(jobs: DataFrame, states: tuple[str | None, ...], first_step: int, batch_id: int, out: str,
+            pipelines: Mapping[str, ing.Pipeline]) -> None:
+    """Write the events of some steps of all jobs of a batch; the last state depends on the error."""
+    applied, fine = ing.has_pipeline(F.col("category"), pipelines), F.col("error").isNull()
+    ended = F.when(fine, F.lit("completed")).otherwise(F.lit("failed"))
+    steps = F.array(*[ended if s is None else F.lit(s) for s in states])
+    last = F.lit(states[-1] is None)
+    events = jobs.select("*", F.posexplode(steps).alias("at_step", "status")).withColumn(
+        "step", F.col("at_step") + first_step
+    ).select(
+        F.col("job_id").cast("string").alias("job_id"),
+        # Three steps a batch: the order of batches, then of steps.
+        (F.lit(batch_id) * 3 + F.col("step")).cast("bigint").alias("event_seq"),
         "status",
         F.when(F.col("step") == 0, F.col("arrived")).otherwise(F.current_timestamp()).alias("at"),
         F.col("file_name").alias("filename"), "category", "size",
-        F.when(last & F.col("error").isNull(), applied).alias("ingestion_applied"),
-        F.when(last & applied & F.col("error").isNull(), F.coalesce("nodes", F.lit(0))).alias("nodes"),
-        F.when(last & applied & F.col("error").isNull(), F.coalesce("edges", F.lit(0))).alias("edges"),
+        F.when(last & fine, applied).alias("ingestion_applied"),
+        F.when(last & applied & fine, F.coalesce("nodes", F.lit(0))).alias("nodes"),
+        F.when(last & applied & fine, F.coalesce("edges", F.lit(0))).alias("edges"),
         F.when(last, F.col("error")).alias("error"),
+        F.when(last & fine, F.length("text")).alias("extracted_text_length"),
+        F.when(last & fine, tx.preview(F.col("text"))).alias("extracted_preview"),
     )
-    events.write.mode("overwrite").parquet(f"{out}/job_events/batch_id={batch_id}")
+    events.write.mode("overwrite").parquet(f"{out}/job_events/batch_id={batch_id}/first_step={first_step}")
 
 
 def start_ingest(files: DataFrame, to_text: Callable[[DataFrame], DataFrame], out: str,
@@ -73,6 +98,8 @@ def start_ingest(files: DataFrame, to_text: Callable[[DataFrame], DataFrame], ou
     docs = to_text(files).select(
         F.regexp_replace("filename", r"\.[^.]*$", "").alias("doc_id"), F.col("filename").alias("file_name"),
         "category", F.col("length").alias("size"), "text", F.col("modificationTime").alias("arrived"),
+        # A later upload of the same name is a job of its own.
+        F.concat_ws("@", "path", F.unix_micros("modificationTime")).alias("job_id"),
     )
     return (
         docs.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out, pipelines))
@@ -83,13 +110,13 @@ def start_ingest(files: DataFrame, to_text: Callable[[DataFrame], DataFrame], ou
 
 
 def job_table(spark, out: str) -> DataFrame:
-    return ing.job_states(spark.read.parquet(f"{out}/job_events").drop("batch_id"))
+    return ing.job_states(spark.read.parquet(f"{out}/job_events").drop("batch_id", "first_step"))
 
 
 def first_uploads_stream(uploads: DataFrame, event_time: str, keep_for: str) -> DataFrame:
     """Drop repeated (name, size, last modified) within a time span, so state stays bounded."""
     return uploads.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(
-        ["name", "size", "last_modified"]
+        list(ing.UPLOAD_KEY)
     )
 
 

@@ -9,11 +9,11 @@ from lectern.sources import readers, writers
 
 
 def nodes_of(spark, rows):
-    return spark.createDataFrame(rows, model.NODES)
+    return spark.createDataFrame([(*r[:-1], [r[-1]]) for r in rows], model.NODES)
 
 
 def edges_of(spark, rows):
-    return spark.createDataFrame(rows, model.EDGES)
+    return spark.createDataFrame([(*r[:-1], [r[-1]]) for r in rows], model.EDGES)
 
 
 def test_upsert_is_property_wise_and_last_wins(spark):

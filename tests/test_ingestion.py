@@ -42,12 +42,14 @@ def test_ingest_stream(spark, landing):
     out = work_folder(spark, "ingest")
     for _ in range(2):  # the second run finds nothing new
         st.start_ingest(readers.landed_files(spark, landing, streaming=True, per_trigger=3), decode, out).awaitTermination()
-    jobs = {r.job_id: r for r in st.job_table(spark, out).collect()}
+    jobs = {r.filename.split(".")[0]: r for r in st.job_table(spark, out).collect()}
     assert {j: r.status for j, r in jobs.items()} == {
         "quydinh": "completed", "toan": "completed", "huongdan": "completed", "rong": "failed", "khac": "failed",
     }
     assert jobs["khac"].error == "Invalid category"
     assert (jobs["quydinh"].nodes, jobs["quydinh"].edges) == (5, 5)
+    assert jobs["quydinh"].extracted_text_length == len(REGULATION) and jobs["quydinh"].extracted_preview
+    assert jobs["quydinh"].job_id.split("@")[0].endswith("quydinh.pdf")
     assert jobs["huongdan"].ingestion_applied is False and jobs["huongdan"].nodes is None
     assert all(r.created_at and r.started_at and r.completed_at for r in jobs.values())
     # at most three files per micro-batch
@@ -79,6 +81,32 @@ def test_a_repeated_batch_changes_nothing(spark):
     assert seen[0] == seen[1] == (5, 5, 1)
 
 
+def test_a_shorter_upload_replaces_the_document(spark):
+    out = work_folder(spark, "shorter")
+    schema = "doc_id string, file_name string, category string, size bigint, text string, arrived timestamp, job_id string"
+
+    def send(batch_id, *docs):
+        rows = [(d, d + ".pdf", "quy_che_hoc_vu", 10, text, dt.datetime(2024, 1, 1 + batch_id), f"{d}-{batch_id}") for d, text in docs]
+        st.ingest_batch(spark.createDataFrame(rows, schema), batch_id, out)
+        ids = {r.id for r in writers.read_nodes(spark, f"{out}/nodes").collect()}
+        edges = {(r.source, r.type, r.target) for r in writers.read_edges(spark, f"{out}/edges").collect()}
+        return ids, edges
+
+    first, first_edges = send(0, ("quydinh", REGULATION), ("khac", REGULATION))
+    shorter = REGULATION[: REGULATION.index("Điều 2")]
+    second, second_edges = send(1, ("quydinh", shorter))
+    assert {i for i in first if i.startswith("khac")} <= second
+    assert second < first and "quydinh_ChươngI_Dieu2" in first - second
+    assert all(a in second and b in second for a, _, b in second_edges) and second_edges < first_edges
+    send(2, ("quydinh", " \n\t "))
+    jobs = {r.job_id: (r.status, r.error) for r in st.job_table(spark, out).collect()}
+    assert jobs["quydinh-1"][0] == "completed" and jobs["quydinh-2"][0] == "failed"
+    events = spark.read.parquet(f"{out}/job_events")
+    assert events.groupBy("job_id", "event_seq").count().where("count > 1").count() == 0
+    third, _ = send(3, ("quydinh", REGULATION))
+    assert third == first
+
+
 def test_upload_stream_equals_batch(spark, tmp_path):
     rows = [("a.pdf", 1, "m", i, dt.datetime(2024, 1, 1, i)) for i in range(3)] + [("a.pdf", 2, "m", 9, dt.datetime(2024, 1, 2))]
     schema = "name string, size bigint, last_modified string, n int, at timestamp"

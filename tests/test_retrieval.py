@@ -48,12 +48,12 @@ def test_corrections_are_followed_on_request_only(spark):
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    course = lambda i, name, credits: ("HocPhan", i, None, {"ten_hp": name, "ma_hp": i, "so_tin_chi": credits}, "d", 1)
+    course = lambda i, name, credits: ("HocPhan", i, None, {"ten_hp": name, "ma_hp": i, "so_tin_chi": credits}, "d", [1])
     nodes = spark.createDataFrame([
         course("CT1", "Môn học trước: Toán", "3"), course("CT2", "Số tín chỉ Toán", "4"), course("CT3", "Giải tích", "2"),
         course("CT4", "Đại số", "2"), course("CT0", "Môn học trước: Toán", "9"),
     ], model.NODES)
-    edge = lambda s, t: (s, "YEU_CAU_TIEN_QUYET", t, {}, "d", 1)
+    edge = lambda s, t: (s, "YEU_CAU_TIEN_QUYET", t, {}, "d", [1])
     edges = spark.createDataFrame([edge("CT1", "CT4"), edge("CT1", "CT3"), edge("CT2", "CT3")], model.EDGES)
     corpus = spark.createDataFrame([(1, "gần", [1.0, 0.0]), (2, "hơi gần", [1.0, 0.5]), (3, "xa", [-1.0, 0.0])], "id int, text string, vector array<double>")
     return nodes, edges, corpus

@@ -13,8 +13,8 @@ from lectern.session import build_session
 spark = build_session("ship", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
 rows = spark.createDataFrame([("a", "tea"), ("b", "eat")], "id string, text string")
 v = ve.embed(rows, letter_model, 8)
-for small in (10, 0):
-    print("rows", ve.top_matches(v.withColumnRenamed("id", "qid"), v, 1, small_query_set=small).count())
+for chunks in (1, 3):
+    print("rows", ve.top_matches(v.withColumnRenamed("id", "qid"), v, 1, corpus_chunks=chunks).count())
 """
 
 

@@ -26,12 +26,13 @@ def data(spark):
     return rows, spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(3)
 
 
-@pytest.mark.parametrize("small, block", [(1000, 7), (0, 7), (0, 1000)])
+@pytest.mark.parametrize("chunks", [1, 7, None])
 @pytest.mark.parametrize("k, floor, skip_self", [(3, None, False), (5, 0.3, True)])
-def test_top_matches_equal_brute_force(data, small, block, k, floor, skip_self):
+def test_top_matches_equal_brute_force(data, chunks, k, floor, skip_self, monkeypatch):
+    monkeypatch.setattr(ve, "CORPUS_SLICE", 9)
     rows, corpus = data
     queries = corpus.withColumnRenamed("id", "qid")
-    got = ve.top_matches(queries, corpus, k, floor, skip_self, small_query_set=small, query_block=block, corpus_block=block + 4)
+    got = ve.top_matches(queries, corpus, k, floor, skip_self, corpus_chunks=chunks)
     assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == brute(rows, rows, k, floor, skip_self)
 
 
@@ -62,3 +63,21 @@ def test_embedding_skips_blanks_and_loads_once_per_task(spark):
     vectors = ve.embed(rows, load, 2, keys=("doc_id", "id"), batch_rows=2)
     joined = gr.attach_vectors(rows, vectors)
     assert {r.id: r.vector for r in joined.collect()} == {"a": [1.0, 1.0], "b": None, "c": None, "e": [3.0, 1.0]}
+
+
+def test_null_vectors_take_no_part(spark, data):
+    rows, corpus = data
+    gaps = corpus.unionByName(spark.createDataFrame([(900, None), (901, None)], corpus.schema))
+    got = ve.top_matches(gaps.withColumnRenamed("id", "qid"), gaps, 3)
+    assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == brute(rows, rows, 3, None, False)
+
+
+def test_thousands_of_queries_take_the_same_way(spark, data):
+    rows, corpus = data
+    many = spark.range(5000).join(corpus.withColumnRenamed("id", "c"), F.col("id") % 60 == F.col("c")).select(F.col("id").alias("qid"), "vector")
+    got = ve.top_matches(many, corpus, 2, corpus_chunks=3)
+    best = {q: {(c, rank)for p, c, rank in brute([rows[q]], rows, 2, None, False)} for q in range(60)}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.qid, set()).add((r.id, r["rank"]))
+    assert len(found) == 5000 and all(found[q] == best[q % 60] for q in found)
