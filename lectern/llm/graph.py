@@ -16,7 +16,7 @@ from . import kit
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b); root is the smallest id of its component."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = kit.stage(edges, "links")
+    edges = kit.stage(edges, "links", narrow=True)
     before = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,4 +30,4 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = kit.stage(small.distinct(), "links")
+        edges = kit.stage(small.distinct(), "links", narrow=True)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Bytes handled at a time inside a task. A longer document is handled alone.
 CHUNK_BYTES = 1 << 20
+# Shuffle partitions that share a file of a narrow table.
+NARROW = 8
 # Rows of a batch between Spark and Python.
 BATCH_ROWS = 1024
 
@@ -42,12 +44,16 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/llm-{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
+def stage(df: DataFrame, purpose: str, narrow: bool = False) -> DataFrame:
     """Write a result that several later steps read and read it back.
 
-    A lost executor then costs a re-read, and the lineage ends at the files.
+    A lost executor then costs a re-read, and the lineage ends at the files. ``narrow``
+    tables, a few numbers a row, are gathered into fewer files first.
     """
     path = shared_folder(df.sparkSession, purpose)
+    if narrow:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(max(1, parts // NARROW))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

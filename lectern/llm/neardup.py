@@ -11,10 +11,10 @@
    signatures (the other lists are skipped), and what reaches NEEDED is confirmed on
    the full sets. That gives at most PREFIX pairs a class, and one component for most
    groups, however large.
-4. What may still be linked lies in lists with members of several components. Members
-   outside of a list's largest component probe the list, within the sizes that their
-   shared shingles allow: an overlap cannot exceed the shingles that any other open
-   class holds too. All pairs that remain are counted and confirmed as before.
+4. What may still be linked lies in lists with members of several components. These open
+   classes are joined by the rarest of their shingles (prefix, size and place bounds on the
+   full sets), without the pairs inside one component. Pairs that remain are counted and
+   confirmed as before.
 
 Links, components and lists stay in DataFrames. Steps end in written tables.
 
@@ -27,7 +27,6 @@ other. Only the named columns are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,6 @@ PERCENT = 85
 COORDINATES = 48
 NEEDED = 23  # chance of fewer equal coordinates at similarity 0.85: below 1e-9
 PREFIX = COORDINATES - NEEDED + 1
-SIZE_STEP = 1.03  # sizes of one bucket of a posting list
 
 _ODD = kit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _FLIP = kit.mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -174,45 +172,50 @@ def _stars(suspects: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rid", "centre").alias("a"), F.least("rid", "centre").alias("b")).distinct()
 
 
-def _shared_shingles(texts: DataFrame) -> DataFrame:
-    """(rid, shared): how many shingles of each open class another open class holds too."""
+def _open_classes(suspects: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, root) of the classes in posting lists with members of several components."""
+    labelled = suspects.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select(
+        "rid", F.coalesce("root", "rid").alias("root"), F.explode("keys").alias("key"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return labelled.join(several.select("key"), "key").select("rid", "root").distinct()
+
+
+def _probes(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of open classes of different components whose full sets may be similar enough.
+
+    Shingles are ordered by rarity among the open classes, those of one component first.
+    The first shingle two sets share stands in both so early that the rest can still make
+    up the overlap. Members of a list's largest component are met, but do not probe.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in kit.pieces(batch.column(1)):
+            for a, b, data, offsets in kit.pieces(batch.column(2)):
                 row, found = shingle_sets(data, offsets)
+                count = kit.row_counts(row, b - a)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), kit.list_column(found.view(np.int64), kit.row_counts(row, b - a), pa.int64()),
-                ], names=["rid", "shingles"])
-
-    held = kit.map_arrow(texts, run, "rid long, shingles array<long>").select("rid", F.explode("shingles").alias("shingle"))
-    common = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    return held.join(common, "shingle").groupBy("rid").agg(F.count("*").alias("shared"))
-
-
-def _probes(suspects: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a posting list and may still be linked."""
-    labelled = suspects.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select(
-        "rid", "n", F.coalesce("root", "rid").alias("root"), F.explode("keys").alias("key"))
-    shares = labelled.groupBy("key", "root").agg(F.count("*").alias("members"))
-    lists = shares.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "root")).alias("most")).where("parts > 1")
-    opened = kit.stage(labelled.join(lists, "key").select("rid", "n", "root", "key", F.col("most.root").alias("main")), "open-lists")
-    ids = opened.select("rid").distinct()
-    shared = _shared_shingles(texts.join(ids, "rid", "left_semi"))
-    # |A n B| <= shared(A) and 100 |A n B| >= PERCENT |A u B| bound the size of a partner from above.
-    limit = F.floor(F.col("shared") * (100 + PERCENT) / PERCENT - F.col("n") + F.lit(1e-6)).cast("long")
-    sized = opened.join(shared, "rid").withColumn("limit", limit)
-    sized = sized.where(F.col("limit") >= F.ceil(F.col("n") * PERCENT / 100 - F.lit(1e-6)))
-
-    def bucket(size):
-        return F.floor(F.log(size) / math.log(SIZE_STEP)).cast("int")
-
-    low = bucket(F.greatest(F.lit(1.0), F.col("n") * PERCENT / 100 - F.lit(1e-6)))
-    high = bucket(F.least(F.col("limit"), F.col("n") * 100 / PERCENT) + F.lit(1e-6))
-    probes = sized.where("root <> main").select(
-        F.col("rid").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("limit").alias("x_limit"), "key",
-        F.explode(F.sequence(low, F.greatest(low, high))).alias("bucket"))
-    members = sized.select("rid", "root", "n", "limit", "key", bucket(F.col("n") + F.lit(1e-9)).alias("bucket"))
-    met = probes.join(members, ["key", "bucket"]).where("root <> x_root and n <= x_limit and x_n <= limit")
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(count),
+                    kit.list_column(found.view(np.int64), count, pa.int64()),
+                ], names=["rid", "root", "n", "shingles"])
+
+    rows = kit.map_arrow(texts.join(open_, "rid").select("rid", "root", "text"), run, "rid long, root long, n long, shingles array<long>")
+    held = rows.select("rid", "root", "n", F.explode("shingles").alias("shingle"))
+    common = held.groupBy("shingle").agg(
+        F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    kept = held.join(common.select("shingle", "times"), "shingle").groupBy("rid", "root", "n").agg(
+        F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
+    # Shingles of one component come first and cannot meet; the rest follows by rarity.
+    alone = F.col("n") - F.size("ranked")
+    last = F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - F.lit(1e-6))
+    posts = kept.withColumn("alone", alone).where(F.col("alone") <= last).select(
+        "rid", "root", "n", "alone", F.posexplode(F.slice("ranked", F.lit(1), (last - F.col("alone") + 1).cast("int"))).alias("at", "s"))
+    posts = kit.stage(posts.select("rid", "root", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("s.shingle").alias("shingle")), "prefixes", narrow=True)
+    lists = posts.groupBy("shingle", "root").agg(F.count("*").alias("members")).groupBy("shingle").agg(
+        F.count("*").alias("parts"), F.max(F.struct("members", "root")).alias("most")).where("parts > 1")
+    probes = posts.join(lists.select("shingle", F.col("most.root").alias("main")), "shingle").where("root <> main").select(
+        "shingle", F.col("rid").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
+    overlap = F.ceil((F.col("n") + F.col("x_n")) * PERCENT / (100 + PERCENT) - F.lit(1e-6))
+    met = probes.join(posts, "shingle").where("root <> x_root").where(
+        (F.col("x_place") <= F.col("x_n") - overlap) & (F.col("place") <= F.col("n") - overlap))
     return met.select(F.greatest("x", "rid").alias("a"), F.least("x", "rid").alias("b")).distinct()
 
 
@@ -222,14 +225,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
     sketches = kit.stage(_sketches(keyed.withColumn("rid", F.monotonically_increasing_id())), "sketches")
     classes = sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"))
-    classes = kit.stage(classes, "classes")
+    classes = kit.stage(classes, "classes", narrow=True)
     reps = sketches.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    suspects = kit.stage(_suspects(reps), "suspects")
+    suspects = kit.stage(_suspects(reps), "suspects", narrow=True)
     keys = suspects.select("rid", "k1", "k2")
     texts = kit.stage(keyed.join(keys, ["k1", "k2"]).select("rid", "text").dropDuplicates(["rid"]), "texts")
-    tried = kit.stage(_colliding(_stars(suspects), suspects), "stars")
-    links = kit.stage(_confirmed(tried, texts), "star-links")
-    probes = kit.stage(_colliding(_probes(suspects, texts, links).join(tried, ["a", "b"], "left_anti"), suspects), "probes")
+    tried = kit.stage(_colliding(_stars(suspects), suspects), "stars", narrow=True)
+    links = kit.stage(_confirmed(tried, texts), "star-links", narrow=True)
+    open_ = kit.stage(_open_classes(suspects, links), "open", narrow=True)
+    probes = kit.stage(_colliding(_probes(open_, texts).join(tried, ["a", "b"], "left_anti"), suspects), "probes", narrow=True)
     links = links.unionByName(_confirmed(probes, texts))
     roots = components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -237,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     empty = sketches.where("n = 0").withColumn("root", F.col("rid"))
     rows = sketches.where("n > 0").join(labelled, ["n", "d1", "d2"]).select("rid", "doc_id", "k1", "k2", "n", "root").unionByName(
         empty.select("rid", "doc_id", "k1", "k2", "n", "root"))
-    rows = kit.stage(rows, "labelled")
+    rows = kit.stage(rows, "labelled", narrow=True)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     return rows.join(first, "root").select(
         "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"),

@@ -47,7 +47,7 @@ def shard(
     low, directory, open_ = 0, None, keyed.select("bits", "bytes")
     while rows:
         found = _directory(open_, low, depth, shard_bytes)
-        leaves = kit.stage(found, "directory")
+        leaves = kit.stage(found, "directory", narrow=True)
         settled = leaves.where("shard is not null")
         directory = settled if directory is None else directory.unionByName(settled)
         rest = leaves.where("shard is null").select(F.col("bucket").alias("wide"))

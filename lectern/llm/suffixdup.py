@@ -346,9 +346,9 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: s
     keys = segments.groupBy("key").agg(F.sum("times").alias("all")).where("all > 1").select("key")
     open_ = kit.stage(segments.join(keys, "key").drop("all"), "open-segments")
     contents = kit.stage(open_.groupBy("key", "content", "run").agg(
-        F.sum("times").alias("times"), F.min(F.struct("h", "n_bytes", "start")).alias("at")), "contents")
+        F.sum("times").alias("times"), F.min(F.struct("h", "n_bytes", "start")).alias("at")), "contents", narrow=True)
     sizes = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("run") + LENGTH_LESS).alias("bytes")).where("kinds > 1")
-    sizes = kit.stage(sizes, "anchors")
+    sizes = kit.stage(sizes, "anchors", narrow=True)
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-2 * total // shard_bytes))
     parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") * 2 / shard_bytes)).cast("long")
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: s
         F.first("text").alias("text"))
     texts = kit.stage(single.join(candidates, ["h", "n_bytes"], "left_semi").select("h", "n_bytes", "text"), "texts")
     cut = _cut(texts.join(wanted, ["h", "n_bytes"]).select("text", "wanted"))
-    found = kit.stage(_search(cut), "repeats")
+    found = kit.stage(_search(cut), "repeats", narrow=True)
     local = found.where("part < 0").select("key", "content", "start", "run")
     merged = _merge(found.where("part >= 0").select("key", "range", "strings", "owners"))
     inner = local.unionByName(merged).select("key", "content", F.col("start").alias("from"), F.col("run").alias("many"))
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: s
     whole = open_.join(contents.where("times > 1").select("key", "content"), ["key", "content"]).select("h", "n_bytes", "start", "run")
     own = known.select("h", "n_bytes", F.inline("own"))
     spans = whole.unionByName(inside).unionByName(own).distinct().groupBy("h", "n_bytes").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
-    results = kit.stage(_removed(texts.join(spans, ["h", "n_bytes"]).select("h", "n_bytes", "text", "spans")), "removed")
+    results = kit.stage(_removed(texts.join(spans, ["h", "n_bytes"]).select("h", "n_bytes", "text", "spans")), "removed", narrow=True)
     return known.select("doc_id", "h", "n_bytes", "sha").join(results, ["h", "n_bytes"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
