@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kit
+
 # Fixed values of HTML: elements whose inside is no text, elements inside a line,
 # elements that an opening tag of the same group ends, elements that end a paragraph.
 RAW = "script|style|textarea|title|iframe|noscript|template|svg|select|object|canvas|xmp|head"
