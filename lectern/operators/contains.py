@@ -36,10 +36,11 @@ def contains_join(needles: DataFrame, names: DataFrame) -> DataFrame:
     # Names are cut into runs of the asked lengths only; there are at most four.
     sizes = texts.select(size.alias("size")).distinct()
     cut = names.select(
-        "id", "name", F.lower("name").alias("l"),
+        "id", F.lower("name").alias("l"),
         F.explode(F.array(*[F.lit(s) for s in range(GRAM + 1)])).alias("size"),
     ).join(F.broadcast(sizes), "size", "left_semi")
-    index = cut.select("id", "name", "l", F.explode(F.array_distinct(_grams(F.col("l"), F.col("size")))).alias("gram"))
+    # The index holds ids only; the names are joined back to the few that are checked.
+    index = cut.select("id", F.explode(F.array_distinct(_grams(F.col("l"), F.col("size")))).alias("gram")).distinct()
     # Only runs that some text asks for are kept.
     index = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
     # A run that no name has rules its text out: it must be chosen, so count it 0.
@@ -49,4 +50,5 @@ def contains_join(needles: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("needle", "n")
         .agg(F.min_by("gram", F.struct(F.coalesce("hits", F.lit(0)), "gram")).alias("gram"))
     )
-    return rarest.join(index, "gram").where(F.contains("l", F.col("n"))).select("needle", "id", "name")
+    found = rarest.join(index, "gram").join(names.select("id", "name"), "id")
+    return found.where(F.contains(F.lower("name"), F.col("n"))).select("needle", "id", "name")

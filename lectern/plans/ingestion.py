@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import curriculum as cu
 from ..functions import text as tx
 from ..operators import regulations as rg
+from ..operators import vectors as ve
 from ..sources.readers import CATEGORIES
 
 # Categories with a pipeline, states of a job and of a list item.
@@ -19,10 +20,11 @@ ITEM_STATES = ("ready", "uploading", "queued", "processing", "success", "stored"
 BUSY_STATES = ("uploading", "queued", "processing")
 ELIGIBLE_STATES = ("ready", "error")
 
-Pipeline = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+# Documents and their course rows (if any) to submitted nodes and edges.
+Pipeline = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
-def _regulation_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _regulation_graph(docs: DataFrame, course_rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     flat = rg.flatten_trees(rg.parse_regulations(docs))
     cited = rg.citation_edges(flat).select(
         "source", "type", "target", F.create_map().cast("map<string,string>").alias("props"),
@@ -33,7 +35,7 @@ def _regulation_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # Per category: documents to submitted nodes and edges. Replace or extend freely.
 PIPELINES: Mapping[str, Pipeline] = {
-    "chuyen_nganh_dao_tao": lambda docs: cu.curriculum_graph(docs.select("doc_id", "text")),
+    "chuyen_nganh_dao_tao": lambda docs, rows=None: cu.curriculum_graph(docs.select("doc_id", "text"), rows),
     "quy_che_hoc_vu": _regulation_graph,
 }
 
@@ -43,8 +45,19 @@ def has_pipeline(category: Column, pipelines: Mapping[str, Pipeline] = PIPELINES
 
 
 def run_pipelines(docs: DataFrame, pipelines: Mapping[str, Pipeline] = PIPELINES) -> tuple[DataFrame, DataFrame]:
-    """``docs(doc_id, file_name, category, text)`` to the nodes and edges of all pipelines."""
-    graphs = [p(docs.where(F.col("category") == c)) for c, p in pipelines.items()]
+    """``docs(doc_id, file_name, category, text[, table_rows])`` to the nodes and edges of all pipelines.
+
+    ``table_rows`` are the rows of a document's course tables, each an array of cells.
+    """
+    def course_rows(part: DataFrame) -> DataFrame | None:
+        if "table_rows" not in docs.columns:
+            return None
+        return part.select("doc_id", F.posexplode("table_rows").alias("row_no", "cells")).withColumn(
+            "row_no", F.col("row_no").cast("bigint")
+        )
+
+    parts = {c: docs.where(F.col("category") == c) for c in pipelines}
+    graphs = [p(parts[c], course_rows(parts[c])) for c, p in pipelines.items()]
     nodes, edges = graphs[0]
     for more_nodes, more_edges in graphs[1:]:
         nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
@@ -62,6 +75,13 @@ def replaced_roots(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label") == rg.ROOT_LABEL).select("id").distinct()
 
 
+def with_vectors(nodes: DataFrame, load_model, dims: int) -> DataFrame:
+    """Submitted nodes with the vector of their text; a blank text has none."""
+    keys = ("label", "id", "doc_id", "seq")
+    vectors = ve.embed(nodes.dropDuplicates(list(keys)), load_model, dims, keys=keys)
+    return nodes.join(vectors.withColumnRenamed("vector", "embedding"), list(keys), "left")
+
+
 def failure(docs: DataFrame) -> Column:
     """Why a document cannot be processed; null if it can."""
     return F.when(

@@ -41,7 +41,25 @@ def nodes(spark, d):
     return co.course_nodes(_table(spark, d)).select(
         "doc_id", "row_no", "label", "id", "text", p["ten_hp"].alias("ten_hp"), p["bat_buoc"].alias("bat_buoc"),
         p["tong_tin_chi"].alias("tong_tin_chi"), p["noi_dung_yeu_cau"].alias("noi_dung_yeu_cau"),
-        p["ten_nhom"].alias("ten_nhom"), p["so_tiet_thuc_hanh"].alias("so_tiet_thuc_hanh"),
+        *[p[c].alias(c) for c in ("ten_nhom", "so_tiet_thuc_hanh", "ma_hp", "so_tin_chi", "so_tiet_ly_thuyet",
+                                  "tin_chi_bat_buoc", "tin_chi_tu_chon", "mo_ta", "ten_khoi")],
+    )
+
+
+def many_codes(spark, d):
+    """Seventy codes in one cell and one of them again in the next row: all come out, the later wins."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    codes = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.concat(
+        F.lit("AA"), F.lpad(i.cast("string"), 3, "0"))), ", ")
+    row = lambda no, code, word: F.array(
+        F.lit(no), code, F.concat("source", F.lit(word)), *[F.lit(x) for x in ("3", "3", "", "30", "", "", "")]
+    )
+    cells = F.array(row("1", codes, " một"), row("2", F.lit("AA064"), " hai"))
+    rows = docs.select("doc_id", F.posexplode(cells).alias("row_no", "cells")).withColumn("row_no", F.col("row_no").cast("bigint") + 1)
+    programmes = docs.select("doc_id", F.lit("P").alias("program_id"), F.lit("N").alias("ten_nganh"), F.lit("L").alias("loai_hinh"))
+    nodes = co.course_nodes(co.with_ids(co.course_states(co.clean_rows(rows)), programmes)).where("label = 'HocPhan'")
+    return nodes.groupBy("doc_id", "id").agg(
+        F.count("*").alias("rows"), F.max_by(F.col("props")["ten_hp"], F.struct("row_no", "place", "item")).alias("ten_hp")
     )
 
 
@@ -66,6 +84,7 @@ QUERIES = {
     "course_block_totals": block_totals,
     "course_nodes": nodes,
     "course_edges": edges,
+    "course_many_codes": many_codes,
     "carried_state": carried_state,
 }
 
@@ -136,13 +155,24 @@ select f.doc_id, f.row_no, label, id,
   null as ten_hp, null as bat_buoc,
   case when label = 'KhoiKienThuc' then coalesce(t.i + 10, 0) || '' end as tong_tin_chi,
   case when label = 'YeuCauTuChon' then name end as noi_dung_yeu_cau,
-  case when label = 'NhomHocPhanTuChon' then name end as ten_nhom, null as so_tiet_thuc_hanh
+  case when label = 'NhomHocPhanTuChon' then name end as ten_nhom, null as so_tiet_thuc_hanh,
+  null as ma_hp, null as so_tin_chi, null as so_tiet_ly_thuyet,
+  case when label = 'KhoiKienThuc' then coalesce(t.i, 0) || '' end as tin_chi_bat_buoc,
+  case when label = 'KhoiKienThuc' then case when t.i is null then '0' else '10' end end as tin_chi_tu_chon,
+  case when label = 'YeuCauTuChon' then 'Yêu cầu tự chọn trong khối ' || block_id end as mo_ta,
+  case when label = 'KhoiKienThuc' then name end as ten_khoi
 from first_of f left join totals t on t.doc_id = f.doc_id and t.block = f.name and f.label = 'KhoiKienThuc'
 union all
 select doc_id, i, 'HocPhan', hp,
   'Học phần ' || hp || ' - ' || line || ' có số tín chỉ là 3, số tiết lý thuyết là 30, số tiết thực hành là 0.',
-  line, case when requirement is null then 'true' else 'false' end, null, null, null, '0'
+  line, case when requirement is null then 'true' else 'false' end, null, null, null, '0',
+  hp, '3', '30', null, null, null, null
 from ids where row_kind = 'course'
+""",
+    "course_many_codes": """
+select doc_id, 'AA' || lpad(n || '', 3, '0') as id, case when n = 64 then 2 else 1 end as rows,
+  source || case when n = 64 then ' hai' else ' một' end as ten_hp
+from documents, range(1, 71) codes(n)
 """,
     "course_edges": _ROWS + """
 select doc_id, min(i) as row_no, program_id as source, 'CO_KHOI_KIEN_THUC' as type, block_id as target

@@ -17,7 +17,7 @@ def _pick(values, key):
 
 def _items(spark, d):
     return table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", _pick(ing.ITEM_STATES[:5], F.col("o_orderkey")).alias("status")
+        "o_orderkey", "o_custkey", _pick(ing.ITEM_STATES, F.col("o_orderkey")).alias("status")
     )
 
 
@@ -155,7 +155,7 @@ QUERIES = {
 
 _ITEMS = """
 with items as (select o_orderkey, o_custkey,
-  list_extract(['ready', 'uploading', 'queued', 'processing', 'success'], o_orderkey % 5 + 1) as status from orders)
+  list_extract(['ready', 'uploading', 'queued', 'processing', 'success', 'stored', 'error'], o_orderkey % 7 + 1) as status from orders)
 """
 _EVENTS = """
 with ev as (select 'job' || user_id as job_id, event_id, ts, value, case event_type when 'signup' then 'queued'

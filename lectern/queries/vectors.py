@@ -59,7 +59,7 @@ def embedded_documents(spark, d):
     joined = gr.attach_vectors(docs.select("doc_id", "label"), vectors, ("doc_id",))
     return joined.select(
         "doc_id", "label", F.coalesce(F.size("vector"), F.lit(0)).alias("dims"),
-        *[F.round(F.get("vector", F.lit(i)).cast("double"), 5).alias(f"v{i}") for i in range(2)],
+        *[F.round(F.get("vector", F.lit(i)).cast("double"), 5).alias(f"v{i}") for i in range(len(LETTERS))],
     )
 
 
@@ -108,7 +108,13 @@ with t as (select doc_id, source as label, case when doc_id % 10 <> 0 then
     trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) end as x from documents)
 select doc_id, label, case when x is null or x = '' then 0 else 8 end as dims,
   round(cast(cast((length(x) - length(replace(x, 'e', ''))) / length(x) as float) as double), 5) as v0,
-  round(cast(cast((length(x) - length(replace(x, 't', ''))) / length(x) as float) as double), 5) as v1
+  round(cast(cast((length(x) - length(replace(x, 't', ''))) / length(x) as float) as double), 5) as v1,
+  round(cast(cast((length(x) - length(replace(x, 'a', ''))) / length(x) as float) as double), 5) as v2,
+  round(cast(cast((length(x) - length(replace(x, 'o', ''))) / length(x) as float) as double), 5) as v3,
+  round(cast(cast((length(x) - length(replace(x, 'i', ''))) / length(x) as float) as double), 5) as v4,
+  round(cast(cast((length(x) - length(replace(x, 'n', ''))) / length(x) as float) as double), 5) as v5,
+  round(cast(cast((length(x) - length(replace(x, 's', ''))) / length(x) as float) as double), 5) as v6,
+  round(cast(cast((length(x) - length(replace(x, 'h', ''))) / length(x) as float) as double), 5) as v7
 from t
 """,
     "vector_pair_similarity": """

@@ -136,6 +136,14 @@ def replace_documents(rows: DataFrame, path: str) -> None:
     _replace_partitions(rows, path, "doc_id")
 
 
+def table_corpus(stored: DataFrame) -> DataFrame:
+    """``(id, text, vector)`` of the stored nodes that have a vector."""
+    vector = F.from_json(F.col("props")["embedding"], "array<float>")
+    return stored.where(F.col("props")["embedding"].isNotNull()).select(
+        "id", F.col("props")["text"].alias("text"), vector.alias("vector")
+    )
+
+
 def table_nodes(stored: DataFrame) -> DataFrame:
     """Stored nodes with the text as a column again."""
     return stored.select("label", "id", F.col("props")["text"].alias("text"), "props")

@@ -16,8 +16,11 @@ from ..sources import readers, writers
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str,
-                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES) -> None:
-    """Process one micro-batch of ``(doc_id, file_name, category, size, text, arrived[, job_id])``.
+                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None) -> None:
+    """Process one micro-batch of ``(doc_id, file_name, category, size, text, arrived[, job_id, table_rows])``.
+
+    ``model`` is a loader and its number of dimensions; with it, nodes are stored with
+    the vectors of their texts.
 
     A job is one upload: without ``job_id`` the document's id names it. That it waits and
     runs is recorded before the work, how it ended after it; events are ordered by batch
@@ -42,6 +45,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     # Texts are parsed once for nodes and once for edges; merges and counts read the rows.
     submitted = []
     for name, rows in zip(("nodes", "edges"), ing.run_pipelines(good, pipelines)):
+        if name == "nodes" and model is not None:
+            rows = ing.with_vectors(rows, *model)
         path = f"{out}/submitted/{name}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
         submitted.append(spark.read.schema(rows.schema).parquet(path))
@@ -89,20 +94,23 @@ def _record(jobs: DataFrame, states: tuple[str | None, ...], first_step: int, ba
 
 
 def start_ingest(files: DataFrame, to_text: Callable[[DataFrame], DataFrame], out: str,
-                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES) -> StreamingQuery:
+                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None) -> StreamingQuery:
     """Run over all files that are there, each once, then stop.
 
     ``files`` is a stream from ``landed_files``; ``to_text`` adds the ``text``
-    column (PDF decoding is the caller's). ``out`` is a folder on shared storage.
+    column and, for course tables, ``table_rows`` (PDF decoding is the caller's). ``out`` is
+    a folder on shared storage.
     """
-    docs = to_text(files).select(
+    texts = to_text(files)
+    docs = texts.select(
+        *[c for c in ("table_rows",) if c in texts.columns],
         F.regexp_replace("filename", r"\.[^.]*$", "").alias("doc_id"), F.col("filename").alias("file_name"),
         "category", F.col("length").alias("size"), "text", F.col("modificationTime").alias("arrived"),
         # A later upload of the same name is a job of its own.
         F.concat_ws("@", "path", F.unix_micros("modificationTime")).alias("job_id"),
     )
     return (
-        docs.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out, pipelines))
+        docs.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out, pipelines, model))
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()

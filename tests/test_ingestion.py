@@ -107,6 +107,30 @@ def test_a_shorter_upload_replaces_the_document(spark):
     assert third == first
 
 
+def test_courses_and_vectors_are_stored_and_answer(spark):
+    from lectern.plans import retrieval as ret
+    from lectern.queries.vectors import LETTERS, letter_model
+
+    out = work_folder(spark, "courses")
+    text = PROGRAMME + "\n2. Khung chương trình đào tạo\nbảng"
+    table = [["Khối kiến thức X"] * 10, ["1", "CT101", "Giải tích", "3", "3", "", "30", "", "", ""],
+             ["2", "CT102", "Đại số", "4", "3", "", "30", "", "CT101", ""]]
+    batch = spark.createDataFrame(
+        [("toan", "toan.pdf", "chuyen_nganh_dao_tao", 10, text, dt.datetime(2024, 1, 1), table)],
+        "doc_id string, file_name string, category string, size bigint, text string, arrived timestamp, table_rows array<array<string>>",
+    )
+    st.ingest_batch(batch, 0, out, model=(letter_model, len(LETTERS)))
+    nodes, edges = writers.read_nodes(spark, f"{out}/nodes"), writers.read_edges(spark, f"{out}/edges")
+    corpus = writers.table_corpus(nodes)
+    assert {len(r.vector) for r in corpus.collect()} == {len(LETTERS)}
+    near = corpus.where("id = 'CT101'").first()
+    questions = spark.createDataFrame(
+        [("q1", "Tín chỉ CT102", None), ("q2", "Cho tôi biết thông tin này", near.vector)], "qid string, text string, vector array<float>")
+    got = {r.qid: r for r in ret.contexts(questions, nodes, edges, corpus, threshold=0.99, match_codes=True).collect()}
+    assert "4 tín chỉ" in got["q1"].graph_text
+    assert got["q2"].vector_text.split("\n")[0] == near.text
+
+
 def test_upload_stream_equals_batch(spark, tmp_path):
     rows = [("a.pdf", 1, "m", i, dt.datetime(2024, 1, 1, i)) for i in range(3)] + [("a.pdf", 2, "m", 9, dt.datetime(2024, 1, 2))]
     schema = "name string, size bigint, last_modified string, n int, at timestamp"
