@@ -22,6 +22,8 @@ HEADLINE = (
     "retrieval_contexts", "text_match_keys", "text_headings", "programme_sections", "programme_outcomes",
     "programme_edge_counts", "course_hierarchy", "course_nodes", "carried_state", "regulation_tree",
     "regulation_citation_edges", "jobs_states",
+    "programme_metrics", "programme_graph_labels", "course_edges", "course_many_codes", "stream_ingest_jobs",
+    "stream_retrieval_contexts", "stream_first_uploads",
 )
 
 

@@ -104,9 +104,9 @@ def first_uploads(spark, d):
 
 
 def streamed_first_uploads(spark, d):
-    """State is kept longer than the table is, so a repeat never comes back."""
+    """A repeat has the month of its first upload, so the state of 32 days finds all."""
     out = work_folder(spark, "upload-stream")
-    kept = st.first_uploads_stream(_uploads(stream(spark, d, "events")), "at", "4000 days")
+    kept = st.first_uploads_stream(_uploads(stream(spark, d, "events")), "at", "32 days")
     st.write_available(kept, f"{out}/kept", f"{out}/checkpoint")
     kept = spark.read.parquet(f"{out}/kept")
     return kept.groupBy("name").agg(F.count("*").alias("uploads"))
