@@ -3,19 +3,21 @@
 1. Every text becomes its set of word shingles, a digest of the set and a MinHash
    signature of ``COORDINATES`` values. Equal sets are one class from here on.
 2. Classes are posted under each (coordinate, value). Values held by one class only
-   are dropped. Two linked sets agree in ``NEEDED`` coordinates but for a chance below
-   1e-9, so they meet in each other's ``PREFIX`` rarest values (prefix filter), and a
-   class with fewer than NEEDED shared values has no link.
+   are dropped. Two linked sets agree in ``needed(percent)`` coordinates but for a chance
+   of at most ``MISS``, so they meet in each other's rarest values, all but needed - 1 of
+   them (prefix filter), and a class with fewer shared values than needed has no link.
 3. In every posting list, members are tried against the member whose values are most
    frequent, the centre of a group of copies. Collisions are counted over the whole
-   signatures (the other lists are skipped), and what reaches NEEDED is confirmed on
-   the full sets. That gives at most PREFIX pairs a class, and one component for most
-   groups, however large.
+   signatures (the other lists are skipped), and what reaches the number needed is
+   confirmed on the full sets. That gives at most a pair for each value in the prefix of
+   a class, and one component for most groups, however large.
 4. What may still be linked lies in lists with members of several components. These open
    classes are joined by the rarest of their shingles (prefix, size and place bounds on the
    full sets), without the pairs inside one component. Pairs that remain are counted and
    confirmed as before.
 
+The similarity that links, ``percent``, is a parameter of the caller.
+
 Links, components and lists stay in DataFrames. Steps end in written tables.
 
 Null texts and texts without words have an empty set and no link. A text of fewer than
@@ -28,6 +30,7 @@ other. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +44,26 @@ from .graph import components
 SHINGLE = 5
 PERCENT = 85
 COORDINATES = 48
-NEEDED = 23  # chance of fewer equal coordinates at similarity 0.85: below 1e-9
-PREFIX = COORDINATES - NEEDED + 1
+MISS = 1e-9  # chance that a linked pair has fewer equal coordinates than needed
 
 _ODD = kit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _FLIP = kit.mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
 
 
+def needed(percent: int) -> int:
+    """Equal coordinates that sets of this similarity have but for a chance of at most MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}, not in 1 to 100")
+    s, missed = percent / 100, 0.0
+    for k in range(COORDINATES):
+        missed += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k)
+        if missed > MISS:
+            break
+    if k < 1:
+        raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {percent} percent")
+    return k
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every distinct shingle, rows ascending."""
     n = len(offsets) - 1
@@ -110,7 +126,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return kit.map_arrow(docs.select("rid", "doc_id", "k1", "k2", "text"), run, schema)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold; texts(rid, text)."""
     left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
@@ -127,19 +143,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 _, later = kit.repeated(np.concatenate([set_a ^ salt[row_a], set_b ^ salt[row_b]]))
                 common = kit.row_counts(np.concatenate([row_a, row_b])[later], n)
                 union = kit.row_counts(row_a, n) + kit.row_counts(row_b, n) - common
-                good = pa.array((100 * common >= PERCENT * union) & (union > 0))
+                good = pa.array((100 * common >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, n).filter(good) for k in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return kit.map_arrow(joined, run, "a long, b long")
 
 
-def _colliding(pairs: DataFrame, suspects: DataFrame) -> DataFrame:
+def _colliding(pairs: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
     """Pairs that agree in enough coordinates of their whole signatures."""
+    least = needed(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).flatten().to_numpy().reshape(-1, COORDINATES) for i in (2, 3))
-            good = pa.array((a == b).sum(axis=1) >= NEEDED)
+            good = pa.array((a == b).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
     left = suspects.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
@@ -148,17 +166,18 @@ def _colliding(pairs: DataFrame, suspects: DataFrame) -> DataFrame:
     return kit.map_arrow(both, run, "a long, b long")
 
 
-def _suspects(classes: DataFrame) -> DataFrame:
-    """Classes that share NEEDED values, with their rarest shared values and their weight as a centre."""
+def _suspects(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes that share enough values, with their rarest shared values and their weight as a centre."""
+    least = needed(percent)
     value = F.posexplode("sig").alias("at", "value")
     posts = classes.select("rid", value).select(
         "rid", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     held = posts.join(lists, "key").groupBy("rid").agg(
         F.collect_list(F.struct("members", "key")).alias("held"), F.sum("members").alias("weight"))
-    held = held.where(F.size("held") >= NEEDED)
+    held = held.where(F.size("held") >= least)
     # Values of its own come before all others in a class's order of rarity.
-    prefix = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - F.lit(NEEDED - 1))
+    prefix = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - F.lit(least - 1))
     held = held.select("rid", "weight", F.transform(prefix, lambda x: x["key"]).alias("keys"))
     return classes.join(held, "rid").select("rid", "k1", "k2", "n", "sig", "weight", "keys")
 
@@ -180,7 +199,7 @@ def _open_classes(suspects: DataFrame, links: DataFrame) -> DataFrame:
     return labelled.join(several.select("key"), "key").select("rid", "root").distinct()
 
 
-def _probes(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _probes(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of open classes of different components whose full sets may be similar enough.
 
     Shingles are ordered by rarity among the open classes, those of one component first.
@@ -205,7 +224,7 @@ def _probes(open_: DataFrame, texts: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
     # Shingles of one component come first and cannot meet; the rest follows by rarity.
     alone = F.col("n") - F.size("ranked")
-    last = F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - F.lit(1e-6))
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-6))
     posts = kept.withColumn("alone", alone).where(F.col("alone") <= last).select(
         "rid", "root", "n", "alone", F.posexplode(F.slice("ranked", F.lit(1), (last - F.col("alone") + 1).cast("int"))).alias("at", "s"))
     posts = kit.stage(posts.select("rid", "root", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("s.shingle").alias("shingle")), "prefixes", narrow=True)
@@ -213,28 +232,31 @@ def _probes(open_: DataFrame, texts: DataFrame) -> DataFrame:
         F.count("*").alias("parts"), F.max(F.struct("members", "root")).alias("most")).where("parts > 1")
     probes = posts.join(lists.select("shingle", F.col("most.root").alias("main")), "shingle").where("root <> main").select(
         "shingle", F.col("rid").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
-    overlap = F.ceil((F.col("n") + F.col("x_n")) * PERCENT / (100 + PERCENT) - F.lit(1e-6))
+    overlap = F.ceil((F.col("n") + F.col("x_n")) * percent / (100 + percent) - F.lit(1e-6))
     met = probes.join(posts, "shingle").where("root <> x_root").where(
         (F.col("x_place") <= F.col("x_n") - overlap) & (F.col("place") <= F.col("n") - overlap))
     return met.select(F.greatest("x", "rid").alias("a"), F.least("x", "rid").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, first_row, and the row's keys."""
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, first_row, and the row's keys.
+
+    Sets with a Jaccard similarity of ``percent`` in a hundred or more are linked.
+    """
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
     sketches = kit.stage(_sketches(keyed.withColumn("rid", F.monotonically_increasing_id())), "sketches")
     classes = sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"))
     classes = kit.stage(classes, "classes", narrow=True)
     reps = sketches.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    suspects = kit.stage(_suspects(reps), "suspects", narrow=True)
+    suspects = kit.stage(_suspects(reps, percent), "suspects", narrow=True)
     keys = suspects.select("rid", "k1", "k2")
     texts = kit.stage(keyed.join(keys, ["k1", "k2"]).select("rid", "text").dropDuplicates(["rid"]), "texts")
-    tried = kit.stage(_colliding(_stars(suspects), suspects), "stars", narrow=True)
-    links = kit.stage(_confirmed(tried, texts), "star-links", narrow=True)
+    tried = kit.stage(_colliding(_stars(suspects), suspects, percent), "stars", narrow=True)
+    links = kit.stage(_confirmed(tried, texts, percent), "star-links", narrow=True)
     open_ = kit.stage(_open_classes(suspects, links), "open", narrow=True)
-    probes = kit.stage(_colliding(_probes(open_, texts).join(tried, ["a", "b"], "left_anti"), suspects), "probes", narrow=True)
-    links = links.unionByName(_confirmed(probes, texts))
+    probes = kit.stage(_colliding(_probes(open_, texts, percent).join(tried, ["a", "b"], "left_anti"), suspects, percent), "probes", narrow=True)
+    links = links.unionByName(_confirmed(probes, texts, percent))
     roots = components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
@@ -248,10 +270,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"), (F.col("rid") == F.col("first.rid")).alias("first_row"), "rid")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component; texts without words stay."""
     keys = {"__k1": F.xxhash64(docs[id_column], docs[text_column]), "__k2": F.xxhash64(docs[text_column], docs[id_column])}
-    kept = near_duplicates(docs, id_column, text_column).where("first_row and n_shingles > 0").select(
+    kept = near_duplicates(docs, id_column, text_column, percent).where("first_row and n_shingles > 0").select(
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     rows = docs.withColumns(keys).join(kept, ["__k1", "__k2"], "left_semi")
     # Rows equal in id and text have equal keys: one stays, and all of those without words.

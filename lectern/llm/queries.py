@@ -32,7 +32,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(kit.read_table(spark, sf_dir, "documents"))
+    found = neardup.near_duplicates(kit.read_table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

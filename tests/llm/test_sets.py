@@ -80,6 +80,42 @@ def test_components_equal_all_pairs(spark, copies):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, root in enumerate(want) if root == i)
 
 
+def plain_roots(sets, percent):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def test_threshold_is_a_parameter(spark, copies):
+    words = ["p%d" % i for i in range(104)]
+    near = [*words[:50], "other", *words[51:]]
+    texts = [*copies, " ".join(words[:60]), " ".join(words[:50] + ["x", "y"] + words[52:60]), " ".join(words), " ".join(near)]
+    sets = sets_of(texts)
+    assert neardup.needed(85) == 23 and neardup.needed(80) == 19 and neardup.needed(100) == 47
+    seen = []
+    for percent in (80, 90):
+        want = plain_roots(sets, percent)
+        seen.append(sum(root == i for i, root in enumerate(want)))
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), percent=percent).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        kept = neardup.deduplicate(docs_of(spark, texts), percent=percent)
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i, root in enumerate(want) if root == i]
+    assert seen[0] < len(set(plain_roots(sets, 85))) < seen[1]
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            neardup.needed(percent)
+
+
 def test_repeated_and_null_ids_keep_one_row(spark):
     texts = ["a b c d e f", "A b c d e f", "a b c d e f", None, "a b c d e f"]
     docs = docs_of(spark, texts, ids=[None, 4, 4, None, 9])
