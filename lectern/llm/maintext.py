@@ -2,9 +2,12 @@
 
 A page becomes a sequence of text blocks, each with its path of block elements from
 the root. Text length and punctuation are summed per path and divided by the number
-of blocks on it; both ratios, smoothed along the page, are fused into one score, and
-the blocks above a threshold name the content element. All blocks in that element are
-the main text, but for those inside elements that announce something else (menus,
+of blocks on it; both ratios are fused into one score, which article and main elements
+raise. Blocks whose score is above a threshold, smoothed along the page and not, name
+the content elements: the article around them, else the main element, else the nearest
+container. A parent is taken where it joins content elements or adds headings only. All
+blocks in content elements are the main text, but for those of article elements without
+a chosen block (cards) and those inside elements that announce something else (menus,
 footers, adverts, forms, comments).
 
 Pages are independent rows: no shuffle. A null or empty page gives the empty text, and
@@ -50,6 +53,8 @@ OTHER_WORDS = frozenset(
     "promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+CONTAINERS = frozenset("html body div section td th center form fieldset".split()) | CONTENT_TAGS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。！，？]")
 
 TOKEN = re.compile(
@@ -61,6 +66,8 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 WORD = re.compile(r"[a-z]+")
 SMOOTHING = np.array([1.0, 2.0, 4.0, 2.0, 1.0]) / 10
 THRESHOLD = 0.5
+# Factor of the score inside elements made for the article.
+BONUS = 1.5
 
 
 def _announces_other(tag: str, attributes: str, inside_content: bool) -> bool:
@@ -128,8 +135,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool,
     return found
 
 
-def path_scores(found: list) -> np.ndarray:
-    """Fused and smoothed score of each block: what its path holds per block."""
+def path_ratios(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Text outside of links and marks of each block's path, per block on it."""
     length, marks, nodes, linked = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for text, path, _, _, links in found:
         length[path] += len(text)
@@ -137,39 +144,83 @@ def path_scores(found: list) -> np.ndarray:
         nodes[path] += 1
         linked[path] += links
     text_ratio = np.array([(length[b[1]] - min(linked[b[1]], length[b[1]])) / nodes[b[1]] for b in found])
-    mark_ratio = np.array([marks[b[1]] / nodes[b[1]] for b in found])
-    width = len(SMOOTHING) // 2
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, width, mode="edge"), SMOOTHING, mode="valid")
-
-    return smooth(text_ratio) * np.log2(2 + smooth(mark_ratio))
+    return text_ratio, np.array([marks[b[1]] / nodes[b[1]] for b in found])
+
+
+def fused(text_ratio: np.ndarray, mark_ratio: np.ndarray) -> np.ndarray:
+    return text_ratio * np.log2(2 + mark_ratio)
+
+
+def smooth(x: np.ndarray) -> np.ndarray:
+    return np.convolve(np.pad(x, len(SMOOTHING) // 2, mode="edge"), SMOOTHING, mode="valid")
+
+
+def _content_element(block: tuple) -> int:
+    """Number of the innermost article, else the innermost main, else the nearest container; 0 is the page."""
+    _, path, numbers, _, _ = block
+    for tags in (("article",), ("main",), CONTAINERS):
+        for tag, n in zip(reversed(path), reversed(numbers)):
+            if tag in tags:
+                return n
+    return 0
+
+
+def _grown(roots: set[int], found: list) -> set[int]:
+    """Content elements with parents in place of those they join, or of one beside which only headings stand."""
+    parent, total, heads = {}, defaultdict(int), defaultdict(int)
+    for _, path, numbers, _, _ in found:
+        heading = not HEADINGS.isdisjoint(path)
+        for depth, n in enumerate(numbers):
+            parent[n] = numbers[depth - 1] if depth else 0
+            total[n] += 1
+            heads[n] += heading
+    while True:
+        above = {n: 0 for n in roots}
+        for n in roots:
+            up = parent.get(n, 0)
+            while up and up not in roots:
+                up = parent[up]
+            above[n] = up
+        roots = {n for n in roots if not above[n]}
+        joined = defaultdict(list)
+        for n in roots:
+            up = parent.get(n, 0)
+            while up:
+                joined[up].append(n)
+                up = parent[up]
+        # The deepest parent first: elements are numbered as they open.
+        for up in sorted(joined, reverse=True):
+            own = sum(total[n] for n in joined[up])
+            added = total[up] - own
+            headings = heads[up] - sum(heads[n] for n in joined[up])
+            if len(joined[up]) > 1 and added <= own or added and added == headings:
+                roots = (roots - set(joined[up])) | {up}
+                break
+        else:
+            return roots
 
 
 def main_text(page: str | None) -> str:
     found = [b for b in blocks(page or "") if not b[3]]
     if not found:
         return ""
-    score = path_scores(found)
-    # Elements made for the article outweigh everything outside of them.
-    inside = np.array([not CONTENT_TAGS.isdisjoint(b[1]) for b in found])
-    if inside.any():
-        score = np.where(inside, score, 0.0)
-    seeds = np.flatnonzero(score >= THRESHOLD * score.std())
-    roots = set()
-    for i in seeds if inside.any() else []:
-        if inside[i]:
-            roots.add(next(n for tag, n in zip(found[i][1], found[i][2]) if tag in CONTENT_TAGS))
-    if not roots:
-        # The deepest element that holds most of what the chosen blocks weigh.
-        weight = defaultdict(float)
-        for i in seeds:
-            for depth, n in enumerate(found[i][2]):
-                weight[(depth, n)] += score[i]
-        whole = score[seeds].sum()
-        deep = [k for k, v in weight.items() if v > 0.7 * whole]
-        roots = {max(deep)[1]} if deep else set()
-    return "\n\n".join(b[0] for b in found if not roots or not roots.isdisjoint(b[2]))
+    text_ratio, mark_ratio = path_ratios(found)
+    bonus = np.array([1.0 if CONTENT_TAGS.isdisjoint(b[1]) else BONUS for b in found])
+    own = fused(text_ratio, mark_ratio) * bonus
+    score = fused(smooth(text_ratio), smooth(mark_ratio)) * bonus
+    high = own >= THRESHOLD * own.std()
+    both = high & (score >= THRESHOLD * score.std())
+    seeds = np.flatnonzero(both if both.any() else high)
+    roots = {_content_element(found[i]) for i in seeds}
+    if 0 not in roots:
+        roots = _grown(roots, found)
+    seeded = {n for i in seeds for n in found[i][2]}
+    texts = []
+    for text, path, numbers, _, _ in found:
+        cards = any(tag == "article" and n not in seeded for tag, n in zip(path, numbers))
+        if not cards and (0 in roots or not roots.isdisjoint(numbers)):
+            texts.append(text)
+    return "\n\n".join(texts)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

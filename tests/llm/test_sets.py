@@ -366,6 +366,23 @@ def test_main_text_of_pages(spark):
     assert maintext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LINE = "Long text, with commas, and sense. More of it; and so on, for quite a while, until the line ends."
+PARA = f"<p>{LINE}</p>"
+CARDS = "".join(f"<article><h3>Card {i}</h3><p>Buy it now.</p></article>" for i in range(8))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class=top>{CARDS}</div><div class=story><h1>T</h1>{PARA * 6}</div></body>", ["T", *[LINE] * 6]),
+    (f"<body><main><h1>T</h1><div>{PARA * 6}</div><div>{CARDS}</div></main></body>", ["T", *[LINE] * 6]),
+    (f"<body><div>Site</div><div><h1>T</h1><div>{PARA * 5}</div></div><div>Print</div></body>", ["T", *[LINE] * 5]),
+    (f"<body><div>Site</div><div><h1>T</h1><div>{PARA * 6}</div><h2>U</h2><div>{PARA * 2}</div></div><div>Print</div></body>",
+     ["T", *[LINE] * 6, "U", LINE, LINE]),
+    (f"<body><div>Site</div><div><div>{PARA * 6}</div><div><section>{PARA * 2}</section></div></div></body>", [LINE] * 8),
+])
+def test_main_text_is_chosen_by_scores(page, want):
+    assert maintext.main_text(page).split("\n\n") == want
+
+
 def test_pipeline_stages_take_effect(spark, copies, tmp_path):
     import corpus_pipeline
 
