@@ -10,6 +10,11 @@ blocks in content elements are the main text, but for those of article elements
 a chosen block (cards) and those inside elements that announce something else (menus,
 footers, adverts, forms, comments).
 
+Words of class, id and role only announce. An element that holds most of the page's
+score is no other element if it has the page's first-level heading or if no such
+heading, article or main element and nothing like an article stands outside; a form is none if it holds most of the score and something
+like an article. So names of a page's wrappers do not drop the page.
+
 Pages are independent rows: no shuffle. A null or empty page gives the empty text, and
 so does one without content. Repeated pages are answered each.
 """
@@ -30,12 +35,13 @@ from . import kit
 
 # Fixed values of HTML: elements whose inside is no text, elements inside a line,
 # elements that an opening tag of the same group ends, elements that end a paragraph.
-RAW = "script|style|textarea|title|iframe|noscript|template|svg|select|object|canvas|xmp|head"
+RAW = "script|style|textarea|title|iframe|noscript|template|svg|select|object|canvas|xmp"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var wbr br img".split()
 )
-EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# The head ends where its first flow content begins, closed or not; its own elements have no text.
+EMPTY = frozenset("head area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",),
@@ -46,12 +52,14 @@ ENDS_PARAGRAPH = frozenset(
     "p pre section table ul".split()
 )
 # Elements and words of class, id or role that announce something other than the article.
-OTHER_TAGS = frozenset("nav footer aside form button menu dialog".split())
+OTHER_TAGS = frozenset("nav footer aside button menu dialog".split())
 OTHER_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary "
     "contentinfo cookie cookies discussion disqus footer menu modal nav navbar navigation newsletter notice popup promo "
     "promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Names that tell what a page has or lacks, not what the element is.
+PRESENCE = re.compile(r"(?:no|not|has|have|with|without)[-_]", re.I)
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body div section td th center form fieldset".split()) | CONTENT_TAGS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,25 +76,36 @@ SMOOTHING = np.array([1.0, 2.0, 4.0, 2.0, 1.0]) / 10
 THRESHOLD = 0.5
 # Factor of the score inside elements made for the article.
 BONUS = 1.5
+# Text of this length is like an article even in a language without these marks.
+LONG = 100
+
 
+def _announces_other(tag: str, attributes: str, inside_content: bool) -> str:
+    """How an element announces something other: by its kind, as a form, by a word, or not ("")."""
+    if tag in OTHER_TAGS:
+        return "kind"
+    if tag == "header" and not inside_content:
+        return "word"
+    for m in NAMES.finditer(attributes) if tag not in ("html", "body") else ():
+        names = [x for x in "".join(m.groups("")).lower().split() if not PRESENCE.match(x)]
+        if not OTHER_WORDS.isdisjoint(WORD.findall(" ".join(names))):
+            return "word"
+    return "form" if tag == "form" else ""
 
-def _announces_other(tag: str, attributes: str, inside_content: bool) -> bool:
-    if tag in OTHER_TAGS or tag == "header" and not inside_content:
-        return True
-    if not attributes:
-        return False
-    return any(not OTHER_WORDS.isdisjoint(WORD.findall("".join(m.groups("")).lower())) for m in NAMES.finditer(attributes))
 
+def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], tuple[tuple[int, str], ...], int]]:
+    """Text, path, element numbers, announcing elements, characters in links; in page order.
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool, int]]:
-    """Text, path, element numbers, other than article, characters in links; in page order."""
+    Blocks inside an element that is other by its kind are left out.
+    """
     found, words, stack, at, number, links, link_chars = [], [], [], 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         text = " ".join("".join(words).split())
-        if text:
-            found.append((text, tuple(x[0] for x in stack), tuple(x[1] for x in stack), any(x[2] for x in stack), link_chars))
+        other = tuple(x[1:] for x in stack if x[2])
+        if text and all(how != "kind" for _, how in other):
+            found.append((text, tuple(x[0] for x in stack), tuple(x[1] for x in stack), other, link_chars))
         words.clear()
         link_chars = 0
 
@@ -155,6 +174,34 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, len(SMOOTHING) // 2, mode="edge"), SMOOTHING, mode="valid")
 
 
+def without_other(found: list) -> list:
+    """The blocks that stay when announcing elements are judged by what they hold, the inner ones first."""
+    if not any(b[3] for b in found):
+        return found
+    text_ratio, mark_ratio = path_ratios(found)
+    score = fused(text_ratio, mark_ratio)
+    like = (score >= THRESHOLD * score.std()) & (text_ratio > 0) & ((mark_ratio >= 1) | (text_ratio >= LONG))
+    # What each announcing element holds that no inner one has: blocks, score, like an article, a first heading, made for content.
+    held = defaultdict(lambda: [[], 0.0, False, False, False])
+    how, outer = {}, {}
+    for i, b in enumerate(found):
+        for depth, (n, kind) in enumerate(b[3]):
+            how[n], outer[n] = kind, b[3][depth - 1][0] if depth else 0
+        own = held[b[3][-1][0] if b[3] else 0]
+        own[0].append(i)
+        own[1:] = own[1] + score[i], own[2] or bool(like[i]), own[3] or "h1" in b[1], own[4] or not CONTENT_TAGS.isdisjoint(b[1])
+    for n in sorted(how, reverse=True):
+        inside, outside, article_outside, up = held[n], held[0][1], any(held[0][2:]), outer[n]
+        while up:
+            outside, article_outside, up = outside + held[up][1], article_outside or any(held[up][2:]), outer[up]
+        most = inside[1] > outside and inside[2]
+        if most and (how[n] == "form" or inside[3] or not article_outside):
+            to = held[outer[n]]
+            to[0].extend(inside[0])
+            to[1:] = to[1] + inside[1], *(a or b for a, b in zip(to[2:], inside[2:]))
+    return [found[i] for i in sorted(held[0][0])]
+
+
 def _content_element(block: tuple) -> int:
     """Number of the innermost article, else the innermost main, else the nearest container; 0 is the page."""
     _, path, numbers, _, _ = block
@@ -201,7 +248,7 @@ def _grown(roots: set[int], found: list) -> set[int]:
 
 
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if not b[3]]
+    found = without_other(blocks(page or ""))
     if not found:
         return ""
     text_ratio, mark_ratio = path_ratios(found)

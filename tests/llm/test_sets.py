@@ -383,6 +383,25 @@ def test_main_text_is_chosen_by_scores(page, want):
     assert maintext.main_text(page).split("\n\n") == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body class='single no-sidebar'><div><h1>T</h1>{PARA * 3}</div></body>", ["T", *[LINE] * 3]),
+    (f"<html class=search><body class='search sidebar'><div><h1>T</h1>{PARA * 3}</div></body>", ["T", *[LINE] * 3]),
+    (f"<body><div class='has-comments'><h1>T</h1>{PARA}<div class=comments><p>Nice, very.</p></div></div></body>", ["T", LINE]),
+    (f"<body><div>Site</div><div class='widget-content'><h1>T</h1>{PARA * 3}</div></body>", ["T", *[LINE] * 3]),
+    (f"<body><div class=social-wrap><div class='widget-content'><div>{PARA * 3}</div></div></div></body>", [LINE] * 3),
+    (f"<body><form id=aspnetForm><nav>a</nav><div><h1>T</h1>{PARA * 3}<div class=search><input>Find</div></div></form></body>", ["T", *[LINE] * 3]),
+    (f"<html><head><title>x</title><meta charset=utf-8><body><div><h1>T</h1>{PARA}</div></body>", ["T", LINE]),
+    (f"<html><head><title>x</title><div><h1>T</h1>{PARA}</div>", ["T", LINE]),
+    # What does announce something other stays out.
+    (f"<body><div><h1>T</h1>{PARA * 2}</div><div class=comments>{PARA * 20}</div></body>", ["T", LINE, LINE]),
+    (f"<body><div class=ad>{PARA}</div><article><h1>T</h1><p>Short.</p></article></body>", ["T", "Short."]),
+    (f"<body><div><h1>T</h1>{PARA * 3}</div><form><p>Please fill in, all fields.</p><label>Name</label></form></body>", ["T", *[LINE] * 3]),
+    ("<div class=menu>only menu</div>", [""]),
+])
+def test_names_of_wrappers_do_not_drop_the_page(page, want):
+    assert maintext.main_text(page).split("\n\n") == want
+
+
 def test_pipeline_stages_take_effect(spark, copies, tmp_path):
     import corpus_pipeline
 
