@@ -2,8 +2,14 @@
 
 Training counts byte n-grams of a bounded, documented sample of labelled documents.
 A document is a mixture: its n-grams are drawn from languages in unknown proportions.
-Expectation-maximisation estimates the proportions for the most likely sets of one,
-two, ... languages, and the set with the best penalised likelihood is chosen.
+Sets grow from the language that fits best alone, by the language that helps most, with
+proportions from expectation-maximisation; growth ends when two languages in turn do not
+raise the penalised likelihood. Then members are dropped while that raises it. Neither
+the languages tried nor the size of a set are bounded.
+
+The score is that of the main language: its posterior for one language, its proportion
+in a mixture. A filter asks for the certainty of the set instead: the posterior for one
+language, in a mixture the odds of the set against the best smaller one tried.
 
 The model is a table of ``SLOTS`` log-likelihoods per language; with at most
 ``max_languages`` languages its size is bounded, so it is broadcast.
@@ -30,12 +36,12 @@ SLOTS = 1 << 16
 GRAM = 3
 SAMPLE_PER_LANGUAGE = 3000
 MAX_LANGUAGES = 1000
-CANDIDATES = 6
-MOST_IN_SET = 3
 ROUNDS = 8
 # A further language must raise the log-likelihood by this much per log of the n-grams.
 PENALTY = 6.0
-# Least score of a document that a filter keeps.
+# Languages in turn that may fail to raise the likelihood before a set stops growing.
+PATIENCE = 2
+# Least certainty of the set of a document that a filter keeps.
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 LETTER = "\\p{L}"
@@ -109,20 +115,42 @@ def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, max_l
     }
 
 
-def _mixture(chance: np.ndarray, count: np.ndarray, first: np.ndarray, row: np.ndarray, inside: np.ndarray):
-    """Proportions and log-likelihood of each row's mixture of the languages in ``inside``."""
+def _fitted(table: np.ndarray, members: np.ndarray, entry: np.ndarray, slot: np.ndarray, count: np.ndarray, first: np.ndarray):
+    """Proportions of each row's mixture of its members, its log-likelihood, and that of every n-gram."""
+    logs = table[members[entry], slot[:, None]].astype(float)
+    # Relative chances within each n-gram keep the numbers in range.
+    peak = logs.max(axis=1)
+    chance = np.exp(logs - peak[:, None])
     total = np.maximum(np.add.reduceat(count, first), 1e-12)
-    share = inside / inside.sum(axis=1, keepdims=True)
+    share = np.full(members.shape, 1.0 / members.shape[1])
     for _ in range(ROUNDS):
-        weight = chance * share[row]
+        weight = chance * share[entry]
         weight *= (count / np.maximum(weight.sum(axis=1), 1e-300))[:, None]
         share = np.add.reduceat(weight, first, axis=0) / total[:, None]
-    fit = np.log(np.maximum((chance * share[row]).sum(axis=1), 1e-300))
-    return share, np.add.reduceat(count * fit, first)
+    fit = np.log(np.maximum((chance * share[entry]).sum(axis=1), 1e-300)) + peak
+    return share, np.add.reduceat(count * fit, first), fit
+
+
+def _of_rows(chosen: np.ndarray, entry: np.ndarray, *columns: np.ndarray):
+    """The entries of the chosen rows, renumbered, their columns, and where each row begins."""
+    keep = chosen[entry]
+    entry = (np.cumsum(chosen) - 1)[entry[keep]]
+    return entry, *(c[keep] for c in columns), np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+
+
+def _helper(table: np.ndarray, members: np.ndarray, slot: np.ndarray, count: np.ndarray, first: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """The language that raises each row's likelihood most when it joins in equal part."""
+    size = members.shape[1]
+    best, most = np.zeros(len(first), np.int64), np.full(len(first), -np.inf)
+    for i in range(len(table)):
+        gain = np.add.reduceat(count * np.log(size + np.exp(np.minimum(table[i, slot] - fit, 600))), first)
+        better = (gain > most) & ~(members == i).any(axis=1)
+        best[better], most[better] = i, gain[better]
+    return best
 
 
 def infer(data: np.ndarray, offsets: np.ndarray, model: dict):
-    """For each row: proportions over the model's languages and the score of the first."""
+    """For each row: proportions over the model's languages, the score of the first, the certainty of the set."""
     n, names, table, prior = len(offsets) - 1, model["names"], model["table"], model["prior"]
     shares = np.zeros((n, len(names)))
     score = np.zeros(n)
@@ -130,39 +158,52 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: dict):
     shares[:, top], score[:] = 1.0, prior[top]
     row, slot = _grams(data, offsets)
     if not len(row):
-        return shares, score
+        return shares, score, score
     key, count = np.unique(row * SLOTS + slot, return_counts=True)
     row, slot, count = key >> 16, key & (SLOTS - 1), count.astype(float)
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     known, entry = row[first], np.cumsum(np.append(False, row[1:] != row[:-1]))
     alone = np.stack([np.add.reduceat(count * table[i, slot], first) for i in range(len(names))], axis=1)
-    width = min(CANDIDATES, len(names))
-    order = np.argsort(-alone, axis=1, kind="stable")[:, :width]
-    # Relative chances within each n-gram keep the numbers in range.
-    logs = table[order[entry].T, slot].T
-    peak = logs.max(axis=1, keepdims=True)
-    chance = np.exp(logs - peak)
-    number = np.add.reduceat(count, first)
-    base = np.add.reduceat(count * peak[:, 0], first)
-    full, _ = _mixture(chance, count, first, entry, np.ones((len(first), width)))
-    by_share = np.argsort(-full, axis=1, kind="stable")
-    best = np.take_along_axis(alone, order[:, :1], 1)[:, 0] - PENALTY * np.log(number + 1)
-    chosen = np.zeros((len(first), width))
-    chosen[:, 0] = 1.0
-    for size in range(2, min(MOST_IN_SET, width) + 1):
-        inside = np.zeros((len(first), width))
-        np.put_along_axis(inside, by_share[:, :size], 1.0, 1)
-        share, fit = _mixture(chance, count, first, entry, inside)
-        fit = fit + base - PENALTY * size * np.log(number + 1)
-        better = fit > best
-        chosen[better], best[better] = share[better], fit[better]
+    cost = PENALTY * np.log(np.add.reduceat(count, first) + 1)
+    lead = alone.argmax(axis=1)
+    best = alone.max(axis=1) - cost
+    less, size = np.full(len(first), -np.inf), np.ones(len(first), np.int64)  # best of smaller sets; languages in the set
+    chosen = np.zeros((len(first), len(names)))
+    chosen[np.arange(len(first)), lead] = 1.0
+    at, failed, members, part = np.arange(len(first)), np.zeros(len(first), np.int64), lead[:, None], (entry, slot, count, first)
+    fit = table[lead[entry], slot].astype(float)
+    while len(at) and members.shape[1] < len(names):
+        members = np.column_stack([members, _helper(table, members, *part[1:], fit)])
+        share, total, fit = _fitted(table, members, *part)
+        total -= members.shape[1] * cost[at]
+        better = total > best[at]
+        up = at[better]
+        less[up], best[up], size[up], chosen[up] = best[up], total[better], members.shape[1], 0.0
+        chosen[up[:, None], members[better]] = share[better]
+        failed = np.where(better, 0, failed + 1)
+        going = failed < PATIENCE
+        *part, fit, start = _of_rows(going, part[0], *part[1:3], fit)
+        part, at, failed, members = (*part, start), at[going], failed[going], members[going]
+    for k in range(int(size.max()), 2, -1):
+        rows = size == k
+        if not rows.any():
+            continue
+        at = np.flatnonzero(rows)
+        order = np.argsort(-chosen[at], axis=1, kind="stable")[:, : k - 1]
+        share, total, _ = _fitted(table, order, *_of_rows(rows, entry, slot, count))
+        total -= (k - 1) * cost[at]
+        better = total >= best[at]
+        up = at[better]
+        best[up], size[up], chosen[up] = total[better], k - 1, 0.0
+        chosen[up[:, None], order[better]] = share[better]
+        less[at[~better]] = np.maximum(less[at[~better]], total[~better])
     sure = np.exp(alone - alone.max(axis=1, keepdims=True))
     sure = 1.0 / sure.sum(axis=1)
-    shares[known] = 0.0
-    shares[known[:, None], order] = chosen
-    single = chosen.max(axis=1) >= 1.0
+    shares[known] = chosen
+    single, certain = size == 1, score.copy()
     score[known] = np.where(single, sure, chosen.max(axis=1))
-    return shares, np.clip(score, 0.0, 1.0)
+    certain[known] = np.where(single, sure, 1.0 / (1.0 + np.exp(np.clip(less - best, -600, 600))))
+    return shares, np.clip(score, 0.0, 1.0), np.clip(certain, 0.0, 1.0)
 
 
 def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -176,7 +217,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, pred, score, names, shares in _answers(batch.column(1), batch.column(2), shared.value):
+            for a, b, pred, score, _, names, shares in _answers(batch.column(1), batch.column(2), shared.value):
                 used = shares > 0
                 at = np.nonzero(used)
                 yield pa.RecordBatch.from_arrays([
@@ -194,27 +235,27 @@ def _has_letter(text: Column) -> Column:
 
 
 def _answers(texts: pa.Array, letters: pa.Array, model: dict):
-    """Row range, predictions, scores, language names and proportions (0 if unknown) of a column."""
+    """Row range, predictions, scores, certainties, language names and proportions (0 if unknown) of a column."""
     names = np.array([*model["names"], UNKNOWN], dtype=object)
     has_letter = np.array(letters.to_pylist(), bool)
     for a, b, data, offsets in kit.pieces(texts):
         shares = np.zeros((b - a, len(names)))
-        score, known = np.zeros(b - a), has_letter[a:b] & (len(names) > 1)
+        score, certain, known = np.zeros(b - a), np.zeros(b - a), has_letter[a:b] & (len(names) > 1)
         if len(names) > 1:
-            found, sure = infer(data, offsets, model)
-            shares[known, :-1], score[known] = found[known], sure[known]
-        yield a, b, np.where(known, names[shares.argmax(axis=1)], UNKNOWN), score, names, shares
+            found, main, whole = infer(data, offsets, model)
+            shares[known, :-1], score[known], certain[known] = found[known], main[known], whole[known]
+        yield a, b, np.where(known, names[shares.argmax(axis=1)], UNKNOWN), score, certain, names, shares
 
 
 def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose language or set of languages has at least the certainty ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [(pred != UNKNOWN) & (score >= min_score)
-                    for _, _, pred, score, _, _ in _answers(batch.column(at), batch.column(len(batch.schema) - 1), shared.value)]
+            good = [(pred != UNKNOWN) & (certain >= min_score)
+                    for _, _, pred, _, certain, _, _ in _answers(batch.column(at), batch.column(len(batch.schema) - 1), shared.value)]
             if good:
                 kept = batch.filter(pa.array(np.concatenate(good)))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))

@@ -147,6 +147,22 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert {240, 241, 242}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_balanced_mixtures_are_whole_and_kept(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx", "gg": "yzäö", "hh": "ßüéè"}
+    langs = [lang for lang in alphabets for _ in range(30)]
+    texts = [made_language(rng, alphabets[lang], 60) for lang in langs]
+    model = language.learn(docs_of(spark, texts, langs))
+    sets = [("aa", "bb", "cc"), ("aa", "bb", "cc", "dd"), tuple(alphabets), ("hh",)]
+    mixed = [" ".join(made_language(rng, alphabets[x], 400) for x in s) for s in sets]
+    got = {r.doc_id: r for r in language.identify(docs_of(spark, mixed), model).collect()}
+    for i, s in enumerate(sets):
+        assert tuple(sorted(got[i].languages)) == s and abs(sum(got[i].proportions) - 1) < 1e-6
+        assert all(abs(p - 1 / len(s)) < 0.1 for p in got[i].proportions)
+    kept = language.keep_identified(docs_of(spark, [*mixed, "12 34", None]), model)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
+
+
 def test_nothing_learned(spark):
     got = language.language_report(docs_of(spark, ["some text", None])).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
