@@ -71,24 +71,25 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
 
 
 def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> dict:
-    """Fit the model on docs(text, lang): at most ``sample_per_language`` texts a language.
+    """Fit the model on docs(text, lang): at most ``sample_per_language`` distinct texts a language.
 
-    The sample is chosen by the hash of the text, so reruns agree.
+    The sample is chosen by the 64-bit hash of the text, which also tells texts apart, so
+    reruns agree. The prior counts all rows.
     """
-    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    sizes = docs.groupBy("lang").count().limit(max_languages + 1).collect()
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").withColumn("mark", F.xxhash64("text"))
+    sizes = docs.groupBy("lang", "mark").count().groupBy("lang").agg(
+        F.sum("count").alias("count"), F.count("*").alias("texts")).limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     names = sorted(r["lang"] for r in sizes)
-    number = {r["lang"]: r["count"] for r in sizes}
+    number, texts = {r["lang"]: r["count"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
     if not names:
         return {"names": [], "prior": np.zeros(0), "table": np.zeros((0, SLOTS), np.float32)}
     # Twice the wanted share comes through the filter; the rank cuts it to the bound.
-    shares = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, 2.0 * sample_per_language / number[k]))])
-    mark = F.xxhash64("text")
-    sample = docs.withColumn("mark", mark).where(
+    shares = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, 2.0 * sample_per_language / texts[k]))])
+    sample = docs.where(
         F.pmod(F.col("mark"), F.lit(1 << 20)) < F.lit(1 << 20) * shares[F.col("lang")]
-    )
+    ).dropDuplicates(["lang", "mark"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     sample = sample.withColumn("rank", rank).where(F.col("rank") <= sample_per_language)
     sample = kit.spread(sample, "lang", "rank")

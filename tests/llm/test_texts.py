@@ -163,6 +163,18 @@ def test_balanced_mixtures_are_whole_and_kept(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
 
 
+def test_language_of_copies_is_learned(spark):
+    rng = random.Random(12)
+    texts = [made_language(rng, "abcdefg", 20) for _ in range(12)]
+    rest = [made_language(rng, "mnopqrs", 20) for _ in range(12)]
+    for t in texts:
+        # One text, many times: its hash alone must not decide whether the language is learned.
+        rows = docs_of(spark, [t] * 400 + rest, ["aa"] * 400 + ["bb"] * 12)
+        model = language.learn(rows, sample_per_language=2)
+        assert model["prior"].round(6).tolist() == [round(400 / 412, 6), round(12 / 412, 6)]
+        assert (model["table"].max(axis=1) > model["table"].min(axis=1)).all()
+
+
 def test_nothing_learned(spark):
     got = language.language_report(docs_of(spark, ["some text", None])).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
