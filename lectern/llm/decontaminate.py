@@ -14,7 +14,9 @@ document. Words are compared by 64-bit hashes, all words of a window at once.
 
 Null or empty texts have no words and no hits. An item without words has no window.
 Repeated documents are reported once per row; repeated items by their item_id.
-A single item above ``block_bytes`` raises an error.
+An item above ``block_bytes`` is cut into parts that overlap by ``window`` - 1 words, so
+it keeps all its windows; only a single window above the bound raises an error. Items
+with a null item_id count in ``keep_clean``; the report, as its SQL, leaves them out.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class WindowIndex:
         item = np.repeat(np.arange(len(texts)), per_item)
         start = kit.ragged(begins, per_item)
         self.vocabulary = np.unique(words)
-        self.words, self.ids = words, ids
+        self.words, self.ids = words, [x if isinstance(x, str) else None for x in ids]
         self.start, self.size, self.item = start, sizes[item], item
 
     @classmethod
@@ -109,13 +111,43 @@ class WindowIndex:
         return begin, self.size[which], self.item[which]
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
+def _parts(items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """Items above the bound in overlapping parts that together have all windows; the rest of one that can't be cut stays whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = text.encode()
+                if len(data) > block_bytes:
+                    starts, ends, _ = kit.word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]), kit.NOT_ALPHANUMERIC)
+                    i = 0
+                    while i < len(starts):
+                        j = int(np.searchsorted(ends, starts[i] + block_bytes, "right")) - 1
+                        if j - i + 1 < window:
+                            j = len(starts) - 1
+                        ids.append(name)
+                        texts.append(data[starts[i] : ends[j]].decode())
+                        i = j - window + 2 if j < len(starts) - 1 else len(starts)
+                else:
+                    ids.append(name)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["item_id", "item_text"])
+
+    return kit.map_arrow(items.select("item_id", "item_text"), run, "item_id string, item_text string")
+
+
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> list[DataFrame]:
     """Deal items out so that the text of no block exceeds the bound."""
     total, largest = items.agg(F.sum(F.octet_length("item_text")), F.max(F.octet_length("item_text"))).first()
     if not total:
         return []
     if largest > block_bytes:
-        raise ValueError(f"an item has {largest} bytes; block_bytes is {block_bytes}")
+        items = _parts(items, window, block_bytes)
+        total, largest = items.agg(F.sum(F.octet_length("item_text")), F.max(F.octet_length("item_text"))).first()
+        if not total:
+            return []
+        if largest > block_bytes:
+            raise ValueError(f"a window or its item has {largest} bytes; block_bytes is {block_bytes}")
     n = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
     while True:
         block = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n))
@@ -151,7 +183,7 @@ def _token_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
 def _indexes(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> list:
     """Broadcast index of each block of items; docs(text), items(item_id, item_text)."""
     found = []
-    for block in _blocks(items, block_bytes):
+    for block in _blocks(items, window, block_bytes):
         rows = block.toPandas()
         index = WindowIndex(list(rows["item_id"]), list(rows["item_text"]), window)
         index.order(*_token_counts(docs, index.vocabulary))
@@ -160,10 +192,10 @@ def _indexes(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -
     return found
 
 
-def _items(items: DataFrame, item_column: str, item_text: str) -> DataFrame:
+def _items(items: DataFrame, item_column: str, item_text: str, null_ids: bool) -> DataFrame:
     return items.select(
         items[item_column].cast("string").alias("item_id"), kit.null_text(items[item_text]).alias("item_text"),
-    ).where(F.col("item_id").isNotNull() & (F.col("item_text") != "")).distinct()
+    ).where((F.col("item_id").isNotNull() | F.lit(null_ids)) & (F.col("item_text") != "")).distinct()
 
 
 def _judged(column: pa.Array, indexes: list):
@@ -177,7 +209,8 @@ def _judged(column: pa.Array, indexes: list):
             np.add.at(edges, begin, 1)
             np.add.at(edges, begin + size, -1)
             for row, i in set(zip(rows[begin].tolist(), item.tolist())):
-                found[row].add(index.ids[i])
+                if index.ids[i] is not None:
+                    found[row].add(index.ids[i])
         yield a, b, kit.row_counts(rows, b - a), kit.row_counts(rows[np.cumsum(edges[:-1]) > 0], b - a), [sorted(x) for x in found]
 
 
@@ -191,7 +224,7 @@ def contamination(
     are computed when it is called.
     """
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    indexes = _indexes(docs, _items(items, item_column, item_text), window, block_bytes)
+    indexes = _indexes(docs, _items(items, item_column, item_text, null_ids=False), window, block_bytes)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -213,7 +246,7 @@ def contamination(
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of an item occurs."""
     at = docs.columns.index(text_column)
-    indexes = _indexes(docs.select(docs[text_column].alias("text")), _items(items, "item_id", "text"), window, block_bytes)
+    indexes = _indexes(docs.select(docs[text_column].alias("text")), _items(items, "item_id", "text", null_ids=True), window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,6 +101,19 @@ def test_contamination_equals_plain_search(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if not got[i].contaminated)
 
 
+def test_items_without_id_and_large_items(spark):
+    rng = random.Random(21)
+    large = " ".join("w%d" % rng.randrange(10**6) for _ in range(200))
+    words = large.split()
+    bench = spark.createDataFrame([(None, "secret words of nobody"), (7, large)], "item_id long, text string")
+    texts = ["has secret words of nobody in it", "clean", *[" ".join(words[i : i + 10]) for i in range(191)], " ".join(words[:9])]
+    kept = decontaminate.keep_clean(docs_of(spark, texts), bench, block_bytes=300)
+    assert sorted(r.text for r in kept.collect()) == sorted(["clean", texts[-1]])
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs_of(spark, texts), bench, block_bytes=300).collect()}
+    assert sum(r.n_hit == 10 and r.item_ids == ["7"] for r in rows.values()) == 191
+    assert not rows[0].contaminated and not rows[len(texts) - 1].contaminated
+
+
 def test_no_items_and_no_documents(spark, texts):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.contamination(docs_of(spark, texts), bench).where("contaminated or n_hit > 0").count()
