@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kit, language, licences, maintext, mixing, neardup, quality, sharding, suffixdup, tokens
+from . import (
+    decontaminate, kit, language, licences, maintext, mixing, neardup, quality, ranked, sharding, suffixdup, tokencount, tokens, whitening,
+)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,20 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(kit.read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(kit.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(kit.read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(kit.read_table(spark, sf_dir, "documents"), kit.read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -64,6 +80,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_main_text": op9_main_text,
     "op10_extendible_shards": op10_extendible_shards,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 OP2_SQL = r"""
@@ -190,9 +209,38 @@ with keyed as (
 select doc_id, shard, depth, bytes, shard_bytes, shard_bytes > 1048576 as oversized from fits
 """
 
+OP13_SQL = r"""
+with docs as (
+    select doc_id, row_number() over () as nr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), items as (
+    select item_id, row_number() over () as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark
+), totals as (
+    select count(*)::bigint as n_docs, sum(len(w))::bigint as n_terms from docs where len(w) > 0
+), asked as (
+    select item, term, count(*)::bigint as times from (select item, unnest(w) as term from items) group by item, term
+), postings as (
+    select nr, term, count(*)::bigint as tf from (select nr, unnest(w) as term from docs) group by nr, term
+), weighed as (
+    select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+    from postings, totals group by term, n_docs
+), lengths as (
+    select nr, doc_id, 25 + (75 * len(w)::bigint * n_docs) // n_terms as m from docs, totals where len(w) > 0
+), scored as (
+    select item, nr, doc_id, sum(times * weighed.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from asked join postings using (term) join weighed using (term) join lengths using (nr) group by item, nr, doc_id
+), ranked as (
+    select item_id, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank, doc_id, score
+    from scored join items using (item) where score > 0
+)
+select * from ranked where rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op2_mix_sources": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_extendible_shards": OP10_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
