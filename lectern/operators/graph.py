@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 DEFAULT_LABEL = "Entity"
 DEFAULT_RELATION = "RELATED_TO"
 
@@ -129,6 +133,23 @@ def subtree(roots: DataFrame, edges: DataFrame, relations: tuple[str, ...] = TRE
     return chain.select(F.explode(F.array(*levels)).alias("id")).where("id is not null").distinct()
 
 
+def descendants(roots: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame],
+                relations: tuple[str, ...] = TREE_RELATIONS) -> DataFrame:
+    """Ids of ``roots(id)`` and of everything below along the relations, at any depth and in any order.
+
+    Each round follows the ids found last and ends in a written table; ids found before are
+    left out, so rings end. ``edges`` may be a function from the ids to follow to the edges
+    that can start there, so that a stored table is read by folders.
+    """
+    found = last = stage(roots.select("id").where("id is not null").distinct(), "found")
+    while last.limit(1).count():
+        here = edges(last) if callable(edges) else edges
+        below = here.where(F.col("type").isin(*relations)).select(F.col("source").alias("id"), "target").join(last, "id", "left_semi")
+        last = stage(below.select(F.col("target").alias("id")).distinct().join(found, "id", "left_anti"), "found")
+        found = found.unionByName(last)
+    return found
+
+
 def remove_subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Detach-delete: the subtree's nodes and every edge that touches one."""
     gone = subtree(roots, edges)

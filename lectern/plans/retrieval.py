@@ -10,7 +10,8 @@ from ..functions import intents as it
 from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import vectors as ve
-from ..operators.contains import contains_join
+from ..operators.contains import contains_join, look_up_names
+from ..session import stage
 
 COURSE = "HocPhan"
 PREREQUISITE = "YEU_CAU_TIEN_QUYET"
@@ -28,23 +29,31 @@ def courses_of(nodes: DataFrame) -> DataFrame:
     )
 
 
-def route(questions: DataFrame, whole_words: bool = False) -> DataFrame:
-    """Add intent and entity; drop short questions and small talk."""
+def routed_all(questions: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Add intent and entity; both are null for short questions and small talk."""
     text = tx.strip(F.col("text"))
-    return (
-        questions.withColumn("text", text)
-        .where(it.long_enough(F.col("text")))
-        .withColumn("intent", it.retrieval_intent(F.col("text"), whole_words))
-        .where(~F.col("intent").isin(*it.SMALL_TALK))
-        .withColumn("entity", it.entity(F.col("text")))
+    found = questions.withColumn("text", text).withColumn(
+        "intent", F.when(it.long_enough(F.col("text")), it.retrieval_intent(F.col("text"), whole_words))
+    )
+    asked = ~F.col("intent").isin(*it.SMALL_TALK)
+    return found.withColumn("intent", F.when(asked, F.col("intent"))).withColumn(
+        "entity", F.when(F.col("intent").isNotNull(), it.entity(F.col("text")))
     )
 
 
-def matching_courses(entities: DataFrame, courses: DataFrame, match_codes: bool = False) -> DataFrame:
-    """``entities(entity)`` to ``(entity, id, name, credits)`` of courses named like it."""
-    found = contains_join(
-        entities.select(F.col("entity").alias("needle")), courses.select("id", "name")
-    ).select(F.col("needle").alias("entity"), "id")
+def route(questions: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Add intent and entity; drop short questions and small talk."""
+    return routed_all(questions, whole_words).where("intent is not null")
+
+
+def matching_courses(entities: DataFrame, courses: DataFrame, match_codes: bool = False, index: str | None = None) -> DataFrame:
+    """``entities(entity)`` to ``(entity, id, name, credits)`` of courses named like it.
+
+    ``index`` is the path of a stored name index of the courses (``contains.append_names``).
+    """
+    needles, names = entities.select(F.col("entity").alias("needle")), courses.select("id", "name")
+    found = contains_join(needles, names) if index is None else look_up_names(needles, names, index)
+    found = found.select(F.col("needle").alias("entity"), "id")
     if match_codes:
         by_code = entities.withColumn("code", F.upper("entity")).join(courses.select("code", "id"), "code")
         found = found.unionByName(by_code.select("entity", "id")).distinct()
@@ -76,14 +85,15 @@ def credit_answers(matches: DataFrame) -> DataFrame:
     return chosen.select("entity", an.credit_sentence(F.col("c.name"), F.col("c.credits")).alias("graph_text"))
 
 
-def graph_answers(routed: DataFrame, nodes: DataFrame, edges: DataFrame, match_codes: bool = False) -> DataFrame:
+def graph_answers(routed: DataFrame, nodes: DataFrame, edges: DataFrame, match_codes: bool = False,
+                  index: str | None = None) -> DataFrame:
     """``(intent, entity, graph_text)`` for the two intents the graph can answer.
 
-    Equal questions are looked up once, and the matches are found once for both.
+    Equal questions are looked up once, and the matches are found and written once for both.
     """
-    asked = routed.where(F.col("intent").isin("PREREQUISITE", "CREDIT")).select("intent", "entity").distinct()
+    asked = stage(routed.where(F.col("intent").isin("PREREQUISITE", "CREDIT")).select("intent", "entity").distinct(), "asked")
     courses = courses_of(nodes)
-    found = matching_courses(asked.select("entity").distinct(), courses, match_codes)
+    found = stage(matching_courses(asked.select("entity").distinct(), courses, match_codes, index), "matches")
     matches = asked.join(found, "entity")
     of = lambda intent: matches.where(F.col("intent") == intent)
     pre = prerequisite_answers(of("PREREQUISITE"), courses, edges)
@@ -103,25 +113,28 @@ def contexts(
     limit: int = TOP_LIMIT,
     whole_words: bool = False,
     match_codes: bool = False,
+    index: str | None = None,
 ) -> DataFrame:
     """``questions(qid, text, vector)`` to ``(qid, intent, graph_text, vector_text, context)``.
 
     ``corpus(id, text, vector)`` is searched only for questions the graph left
     without an answer. Questions that are too short or small talk have no context.
+
+    Each step that others build on is written once: the routed questions, the courses they
+    name (looked up in the stored ``index`` if there is one) and the answers of the graph.
     """
-    routed = route(questions, whole_words)
-    answers = graph_answers(routed, nodes, edges, match_codes)
-    looked_up = routed.drop("text").join(answers, ["intent", "entity"], "left")
-    rest = looked_up.where("graph_text is null and vector is not null").select("qid", "vector")
+    routed = stage(routed_all(questions, whole_words).select("qid", "intent", "entity", "vector"), "routed")
+    answers = graph_answers(routed.where("intent is not null"), nodes, edges, match_codes, index)
+    looked_up = stage(routed.join(answers, ["intent", "entity"], "left"), "looked-up")
+    rest = looked_up.where("intent is not null and graph_text is null and vector is not null").select("qid", "vector")
     matches = ve.top_matches(
         rest, corpus.select("id", "vector"), k=min(k, limit), min_cosine=ve.cosine_floor(threshold)
     )
     texts = ve.nearest_texts(matches, corpus.select("id", "text"), limit)
-    found = looked_up.join(texts, "qid", "left").select(
+    return looked_up.join(texts, "qid", "left").select(
         "qid", "intent", "graph_text", "vector_text",
         an.context(F.col("graph_text"), F.col("vector_text")).alias("context"),
     )
-    return questions.select("qid").join(found, "qid", "left")
 
 
 def replies(questions: DataFrame, contexts_found: DataFrame, institution: str = "") -> DataFrame:

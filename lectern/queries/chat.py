@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import answers as an
 from ..functions import intents as it
 from ..plans import retrieval as ret
-from ..session import work_folder
+from ..operators.contains import new_index
+from ..session import stage, work_folder
 from ..streaming.ingest import answer_stream
 from .derive import EDGES_SQL, NODES_SQL, stream, table, trade_graph
 
@@ -126,9 +127,16 @@ def _knowledge(spark, d):
     return courses, edges, corpus
 
 
+def _stored_knowledge(spark, d):
+    """The graph and the courses' name index are stored first, as by ingestion; questions only read them."""
+    courses, edges, corpus = _knowledge(spark, d)
+    courses, edges = stage(courses, "courses"), stage(edges, "edges")
+    return courses, edges, corpus, new_index(spark, ret.courses_of(courses))
+
+
 def _contexts(spark, d):
-    questions = _questions(spark, d)
-    return questions, ret.contexts(questions, *_knowledge(spark, d), threshold=0.6)
+    questions, (courses, edges, corpus, index) = _questions(spark, d), _stored_knowledge(spark, d)
+    return questions, ret.contexts(questions, courses, edges, corpus, threshold=0.6, index=index)
 
 
 def contexts(spark, d):
@@ -143,7 +151,8 @@ def streamed_contexts(spark, d):
     """The same questions and answers as ``retrieval_contexts``, arriving as a stream."""
     out = work_folder(spark, "question-stream")
     questions = _questions(spark, d, stream(spark, d, "part"))
-    answer_stream(questions, *_knowledge(spark, d), out=out, threshold=0.6).awaitTermination()
+    courses, edges, corpus, index = _stored_knowledge(spark, d)
+    answer_stream(questions, courses, edges, corpus, out=out, threshold=0.6, index=index).awaitTermination()
     return spark.read.parquet(f"{out}/answers").select("qid", "context")
 
 

@@ -237,7 +237,8 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     edges = [
         edge(customer, "THUOC_VE", _lit("C", F.col("c_custkey")), _lit("N", F.col("c_nationkey"))),
         edge(supplier, "THUOC_VE", _lit("S", F.col("s_suppkey")), _lit("N", F.col("s_nationkey"))),
-        edge(lineitem, "YEU_CAU_TIEN_QUYET", _lit("P", F.col("l_partkey")), _lit("P", F.col("l_suppkey"))).distinct(),
+        edge(lineitem.select("l_partkey", "l_suppkey").distinct(), "YEU_CAU_TIEN_QUYET",
+             _lit("P", F.col("l_partkey")), _lit("P", F.col("l_suppkey"))),
     ]
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     return union(nodes), union(edges)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Runtime settings the operators rely on. Adaptive execution splits hot join
 # keys; the force flag lets it do so even when that costs one more exchange.
@@ -53,3 +55,23 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    Its plan is then computed once, and a lost executor costs a re-read.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a folder, empty where the folder does not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T._parse_datatype_string(schema))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
 from ..operators import graph as gr
+from ..operators.contains import append_names
 from ..plans import ingestion as ing
 from ..plans import retrieval as ret
 from ..sources import readers, writers
@@ -52,10 +53,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
         submitted.append(spark.read.schema(rows.schema).parquet(path))
     nodes, edges = submitted
     path = f"{out}/replaced/batch_id={batch_id}"
-    gr.subtree(ing.replaced_roots(nodes), writers.read_edges(spark, f"{out}/edges")).write.mode("overwrite").parquet(path)
+    below = lambda ids: writers.read_edges(spark, f"{out}/edges", ids)
+    gr.descendants(ing.replaced_roots(nodes), below).write.mode("overwrite").parquet(path)
     replaced = spark.read.schema("id string").parquet(path)
     writers.upsert_nodes(nodes, f"{out}/nodes", replaced)
-    writers.upsert_edges(edges, f"{out}/edges", writers.read_nodes(spark, f"{out}/nodes"), replaced)
+    writers.upsert_edges(edges, f"{out}/edges", replaced=replaced, nodes_path=f"{out}/nodes")
+    append_names(ret.courses_of(nodes), f"{out}/names", str(batch_id))
 
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     done = docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(

@@ -134,3 +134,113 @@ def test_replacing_documents_leaves_the_others(spark):
     for _ in range(2):
         writers.replace_documents(rows(("a", "9")), path)
         assert {tuple(r) for r in spark.read.parquet(path).select("doc_id", "id").collect()} == {("a", "9"), ("b", "3")}
+
+
+# --- the stored name index ------------------------------------------------------------
+
+
+def test_stored_index_equals_the_full_comparison(spark):
+    from lectern.operators import contains as co
+
+    path = work_folder(spark, "names")
+    texts = ["Toán rời rạc", "an", "", "zzz", "CẤU trúc", "a", "nin", "rời rạc 1", None]
+    names = [(1, "toán rời rạc 1"), (2, "Cấu trúc dữ liệu"), (3, "An ninh"), (4, ""), (5, "an"), (6, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, name string")
+    needles = spark.createDataFrame([(t,) for t in texts + texts], "needle string")
+    want = lambda rows: {(t, i) for t in texts for i, n in rows if t is not None and n is not None and t.lower() in n.lower()}
+    got = lambda rows: sorted((r.needle, r.id) for r in co.look_up_names(needles, frame(rows), path).collect())
+    co.append_names(frame(names), path, "0")
+    assert got(names) == sorted(want(names))
+    # Renamed and new ids are appended; what the old names were is checked away.
+    later = [(1, "Đại số"), (7, "Toán rời rạc 1 nâng cao"), (2, "Cấu trúc dữ liệu")]
+    for _ in range(2):
+        co.append_names(frame(later), path, "1")
+        now = [n for n in names if n[0] not in (1, 2)] + later
+        assert got(now) == sorted(want(now))
+    assert co.look_up_names(needles.limit(0), frame(names), path).count() == 0
+    assert co.look_up_names(needles, frame(names), work_folder(spark, "no-index")).where("length(needle) >= 3").count() == 0
+
+
+def test_lookup_reads_only_the_folders_of_its_grams(spark):
+    from lectern.operators import contains as co
+
+    names = spark.range(400).selectExpr("cast(id as int) id", "concat(md5(cast(id as string)), ' môn') name")
+    path = co.new_index(spark, names)
+    one = spark.createDataFrame([("zzq",)], "needle string")
+    plan = co.look_up_names(one, names, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+
+
+# --- tables by folders ------------------------------------------------------------------
+
+
+def document(doc, chapters=2, articles=3):
+    """Nodes and edges of a regulation whose ids begin with its own."""
+    nodes, edges = [("VanBan", doc, None, {"ten": doc}, doc, 0)], []
+    for c in range(chapters):
+        chapter = f"{doc}_C{c}"
+        nodes.append(("Chuong", chapter, None, {"ten": f"C{c}"}, doc, len(nodes)))
+        edges.append((doc, "co_chuong", chapter, {}, doc, len(edges)))
+        for a in range(articles):
+            article = f"{chapter}_D{a}"
+            nodes.append(("Dieu", article, f"text {a}", {"so": str(a)}, doc, len(nodes)))
+            edges.append((chapter, "co_dieu", article, {}, doc, len(edges)))
+            if a:
+                edges.append((article, "tham_chieu", f"{chapter}_D{a - 1}", {}, doc, len(edges)))
+    edges.append((doc, "tham_chieu", "nowhere", {}, doc, len(edges)))
+    return nodes, edges
+
+
+def test_a_new_document_rewrites_few_folders(spark):
+    import glob
+
+    path = work_folder(spark, "folders")
+    base = path.removeprefix("file:")
+    many = [document(f"doc{i}") for i in range(150)]
+    nodes = nodes_of(spark, [n for d in many for n in d[0]])
+    edges = edges_of(spark, [e for d in many for e in d[1]])
+    writers.upsert_nodes(nodes, f"{path}/nodes")
+    writers.upsert_edges(edges, f"{path}/edges", nodes_path=f"{path}/nodes")
+    kept = {(r.source, r.type, r.target) for r in writers.read_edges(spark, f"{path}/edges").collect()}
+    assert kept == {(e[0], e[1], e[2]) for d in many for e in d[1] if e[2] != "nowhere"}
+    files = lambda: {t: {f.rsplit("/", 1)[0]: f for f in glob.glob(f"{base}/{t}/*/*/*.parquet")} for t in ("nodes", "edges")}
+    before = files()
+    more = document("new", 3, 9)
+    writers.upsert_nodes(nodes_of(spark, more[0]), f"{path}/nodes")
+    writers.upsert_edges(edges_of(spark, more[1]), f"{path}/edges", nodes_path=f"{path}/nodes")
+    after = files()
+    for table, bound in (("nodes", 3), ("edges", 3)):
+        changed = [f for f in after[table] if before[table].get(f) != after[table][f]]
+        assert 0 < len(changed) <= bound and len(changed) < 0.05 * len(after[table])
+    got = {(r.label, r.id): r.props for r in writers.read_nodes(spark, f"{path}/nodes").collect()}
+    assert len(got) == 150 * 9 + len(more[0]) and got["Dieu", "new_C2_D8"] == {"so": "8", "text": "text 8"}
+    # A lookup by ids reads their folders only, however many documents there are.
+    one = spark.createDataFrame([("new",), ("new_C1",)], "id string")
+    some = writers.read_nodes(spark, f"{path}/nodes", one)
+    assert some.where("id = 'new_C1_D0'").count() == 1
+    assert some.selectExpr("_metadata.file_path p").distinct().count() <= 3
+
+
+def test_replaced_ids_lose_edges_from_other_folders(spark):
+    path = work_folder(spark, "routes")
+    ids = ["a", "b", "c", "d_1", "e_2"]
+    writers.upsert_nodes(nodes_of(spark, [("A", i, None, {}, "d", 1) for i in ids]), f"{path}/nodes")
+    pairs = [(x, y) for x in ids for y in ids if x != y]
+    writers.upsert_edges(edges_of(spark, [(x, "T", y, {}, "d", 1) for x, y in pairs]), f"{path}/edges", nodes_path=f"{path}/nodes")
+    gone = spark.createDataFrame([("d_1",)], "id string")
+    more = edges_of(spark, [("a", "U", "b", {}, "d", 1)])
+    writers.upsert_edges(more, f"{path}/edges", replaced=gone, nodes_path=f"{path}/nodes")
+    got = {(r.source, r.type, r.target) for r in writers.read_edges(spark, f"{path}/edges").collect()}
+    assert got == {(x, "T", y) for x, y in pairs if "d_1" not in (x, y)} | {("a", "U", "b")}
+
+
+def test_descendants_at_any_depth(spark):
+    relations = ("co_chuong", "co_dieu", "co_khoan", "co_diem")
+    chain = [(f"n{i}", relations[i % 4], f"n{i + 1}", {}, "d", i) for i in range(7)]
+    ring = [("n7", "co_dieu", "n3", {}, "d", 9), ("n2", "tham_chieu", "x", {}, "d", 10), ("y", "co_dieu", "z", {}, "d", 11)]
+    edges = edges_of(spark, chain + ring)
+    roots = spark.createDataFrame([("n0",), ("n0",), (None,)], "id string")
+    assert sorted(r.id for r in gr.descendants(roots, edges).collect()) == [f"n{i}" for i in range(8)]
+    assert gr.descendants(roots.limit(0), edges).count() == 0
+    four = edges_of(spark, chain[:4])
+    assert {r.id for r in gr.descendants(roots, four).collect()} == {r.id for r in gr.subtree(roots.where("id is not null"), four).collect()}
