@@ -84,4 +84,6 @@ JOB_EVENTS = T.StructType([
     T.StructField("error", T.StringType()),
     T.StructField("extracted_text_length", T.IntegerType()),
     T.StructField("extracted_preview", T.StringType()),
+    T.StructField("extraction_source", T.StringType()),
+    T.StructField("section_count", T.LongType()),
 ])

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import curriculum as cu
+from ..functions import sections as sc
 from ..functions import text as tx
 from ..operators import regulations as rg
 from ..operators import vectors as ve
+from ..session import stage
 from ..sources.readers import CATEGORIES
 
 # Categories with a pipeline, states of a job and of a list item.
@@ -44,11 +48,72 @@ def has_pipeline(category: Column, pipelines: Mapping[str, Pipeline] = PIPELINES
     return category.isin(*pipelines)
 
 
+ERRORS = "doc_id string, error string"
+_PROPS = "map<string,string>"
+_RESULT = (
+    f"doc_id string, nodes array<struct<label:string,id:string,text:string,props:{_PROPS}>>, "
+    f"edges array<struct<source:string,type:string,target:string,props:{_PROPS}>>, error string"
+)
+
+
+def guarded(process: Callable[[dict], tuple[list[dict], list[dict]]]) -> Pipeline:
+    """A pipeline from a Python function of one document; a document it raises on does not stop the others.
+
+    ``process`` gets the document's columns as a dict and returns its nodes
+    ``(label, id[, text, props])`` and edges ``(source, type, target[, props])`` as dicts. The
+    pipeline returns a third frame ``(doc_id, error)`` of the documents that failed; they have
+    no nodes and edges. Results are written once, so each document is processed once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One document a step: what is done so far is not held with what comes.
+            for document in batch.to_pylist():
+                row = {"doc_id": str(document["doc_id"]), "nodes": [], "edges": [], "error": None}
+                try:
+                    nodes, edges = process(document)
+                    row["nodes"] = [_whole(n, "label", "id", "text") for n in nodes]
+                    row["edges"] = [_whole(e, "source", "type", "target") for e in edges]
+                except Exception as error:  # noqa: BLE001 - a document's own failure is its result
+                    row.update(nodes=[], edges=[], error=f"{type(error).__name__}: {error}")
+                yield pa.RecordBatch.from_pylist([row], schema=_arrow_result())
+
+    def pipeline(docs: DataFrame, course_rows: DataFrame | None = None):
+        done = stage(docs.mapInArrow(run, _RESULT), "processed")
+        props = lambda: F.coalesce("r.props", F.create_map().cast(_PROPS)).alias("props")
+
+        def rows(kind: str, *fields: str) -> DataFrame:
+            each = done.select("doc_id", F.posexplode(kind).alias("at", "r"))
+            seq = F.array(F.col("at").cast("bigint")).alias("seq")
+            return each.select(*[f"r.{f}" for f in fields], props(), "doc_id", seq)
+
+        failed = done.where("error is not null").select("doc_id", "error")
+        return rows("nodes", "label", "id", "text"), rows("edges", "source", "type", "target"), failed
+
+    return pipeline
+
+
+def _whole(item: dict, *fields: str) -> dict:
+    props = {str(k): None if v is None else str(v) for k, v in (item.get("props") or {}).items()}
+    return {**{f: item.get(f) for f in fields}, "props": list(props.items())}
+
+
+def _arrow_result() -> pa.Schema:
+    of = lambda *names: pa.list_(pa.struct([*[(n, pa.string()) for n in names], ("props", pa.map_(pa.string(), pa.string()))]))
+    return pa.schema([
+        ("doc_id", pa.string()), ("nodes", of("label", "id", "text")), ("edges", of("source", "type", "target")), ("error", pa.string()),
+    ])
+
+
 def run_pipelines(docs: DataFrame, pipelines: Mapping[str, Pipeline] = PIPELINES) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, file_name, category, text[, table_rows])`` to the nodes and edges of all pipelines.
 
     ``table_rows`` are the rows of a document's course tables, each an array of cells.
     """
+    return run_guarded(docs, pipelines)[:2]
+
+
+def run_guarded(docs: DataFrame, pipelines: Mapping[str, Pipeline] = PIPELINES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``run_pipelines``, and the documents ``(doc_id, error)`` that guarded pipelines failed on."""
     def course_rows(part: DataFrame) -> DataFrame | None:
         if "table_rows" not in docs.columns:
             return None
@@ -58,10 +123,22 @@ def run_pipelines(docs: DataFrame, pipelines: Mapping[str, Pipeline] = PIPELINES
 
     parts = {c: docs.where(F.col("category") == c) for c in pipelines}
     graphs = [p(parts[c], course_rows(parts[c])) for c, p in pipelines.items()]
-    nodes, edges = graphs[0]
-    for more_nodes, more_edges in graphs[1:]:
+    nodes, edges = graphs[0][:2]
+    for more_nodes, more_edges, *_ in graphs[1:]:
         nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
-    return nodes, edges
+    failed = docs.sparkSession.createDataFrame([], ERRORS)
+    for _, _, *errors in graphs:
+        failed = reduce(DataFrame.unionByName, errors, failed)
+    return nodes, edges, failed
+
+
+def section_counts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, section_count)``: numbered sections of a programme, articles of a regulation."""
+    programme = docs.where(F.col("category") == PIPELINE_CATEGORIES[0]).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.size(sc.sections(tx.refine(F.col("text")))).cast("bigint").alias("section_count")
+    )
+    articles = nodes.where("label = 'Dieu'").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.count("*").alias("section_count"))
+    return programme.unionByName(articles)
 
 
 # Why a document of a category with a pipeline left nothing in the graph.

@@ -176,13 +176,19 @@ def last_messages(conversations: DataFrame) -> DataFrame:
 def prompt_rows(conversations: DataFrame, contexts_found: DataFrame, institution: str = "") -> DataFrame:
     """System text, history and question as rows ``(conv_id, position, role, content)``.
 
-    Rows are left unnested, so no task gathers a conversation; positions order them.
+    Rows are left unnested, so no task gathers a conversation; positions order them. Where
+    ``contexts_found`` has a column ``asked``, it takes the place of the last message.
     """
     last = conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    turns = conversations.join(last, "conv_id").select(
+    is_last = F.col("turn") == F.col("last_turn")
+    marked = conversations.join(last, "conv_id")
+    content = F.col("text")
+    if "asked" in contexts_found.columns:
+        marked = marked.join(contexts_found.select("conv_id", "asked"), "conv_id", "left")
+        content = F.when(is_last, F.coalesce("asked", "text")).otherwise(content)
+    turns = marked.select(
         "conv_id", (F.col("turn") + 1).alias("position"),
-        F.when(F.col("turn") == F.col("last_turn"), F.lit("user")).otherwise(F.col("role")).alias("role"),
-        F.col("text").alias("content"),
+        F.when(is_last, F.lit("user")).otherwise(F.col("role")).alias("role"), content.alias("content"),
     )
     system = last.join(contexts_found, "conv_id", "left").select(
         "conv_id", F.lit(0).cast("bigint").alias("position"), F.lit("system").alias("role"),
@@ -191,6 +197,36 @@ def prompt_rows(conversations: DataFrame, contexts_found: DataFrame, institution
     return system.unionByName(turns)
 
 
+def answer_requests(conversations: DataFrame, rewrites: DataFrame, nodes: DataFrame, edges: DataFrame, corpus: DataFrame,
+                    institution: str = "", follow_corrections: bool = False, **options) -> DataFrame:
+    """Chat requests to what follows: ``(conv_id, position, role, content)``.
+
+    ``conversations(conv_id, turn, role, text)``, the last turn being the question;
+    ``rewrites(conv_id, rewritten, vector)`` holds a proposed rewrite and the vector of the
+    text that is searched (either may be null or missing). The original question is routed;
+    where it falls to the search, its accepted rewrite is searched and asked. A greeting, or a
+    question without a context, has one row of role assistant with the fixed reply, after all
+    turns; any other request has the rows of its prompt. ``options`` go to ``contexts``.
+    """
+    question, router = F.col("question"), it.router_intent(F.col("question"))
+    last = last_messages(conversations).join(rewrites.select("conv_id", "rewritten", "vector"), "conv_id", "left")
+    routed = last.withColumn("router_intent", router).select(
+        "conv_id", "router_intent", "vector",
+        it.effective_question(question, F.col("router_intent"), F.col("rewritten"), F.col("previous"), follow_corrections).alias("asked"),
+    )
+    requests = stage(routed, "requests")
+    questions = requests.where("router_intent <> 'GREETING'").select(F.col("conv_id").alias("qid"), F.col("asked").alias("text"), "vector")
+    found = contexts(questions, nodes, edges, corpus, **options).select(F.col("qid").alias("conv_id"), "context")
+    outcome = stage(requests.drop("vector").join(found, "conv_id", "left").withColumn(
+        "reply", an.fixed_reply(F.col("router_intent"), F.col("context"), institution)), "outcome")
+    to_model = outcome.where("reply is null").select("conv_id", "asked", "context")
+    prompts = prompt_rows(conversations.join(to_model.select("conv_id"), "conv_id", "left_semi"), to_model, institution)
+    ends = conversations.groupBy("conv_id").agg((F.max("turn") + 2).alias("position"))
+    fixed = outcome.where("reply is not null").join(ends, "conv_id").select(
+        "conv_id", "position", F.lit("assistant").alias("role"), F.col("reply").alias("content"))
+    return prompts.withColumn("position", F.col("position").cast("bigint")).unionByName(fixed.withColumn("position", F.col("position").cast("bigint")))
+
+
 # --- the three worked graph questions ------------------------------------------------
 
 

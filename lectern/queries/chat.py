@@ -156,7 +156,20 @@ def streamed_contexts(spark, d):
     return spark.read.parquet(f"{out}/answers").select("qid", "context")
 
 
+def answers(spark, d):
+    """Whole requests. A third of the rewrites name a part, the others are the message before."""
+    part = table(spark, d, "part").select(
+        F.col("p_partkey").alias("conv_id"), F.concat_ws(" ", F.lit("Học trước"), "p_name", "p_brand").alias("named"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
+    messages = stage(_messages(spark, d), "messages")
+    rewrites = ret.last_messages(messages).join(part, "conv_id", "left").join(vectors, "conv_id", "left").select(
+        "conv_id", F.when(F.col("conv_id") % 3 == 0, F.col("named")).otherwise(F.col("previous")).alias("rewritten"), "vector")
+    courses, edges, corpus, index = _stored_knowledge(spark, d)
+    return ret.answer_requests(messages, rewrites, courses, edges, corpus, "T", threshold=0.6, index=index)
+
+
 QUERIES = {
+    "chat_answers": answers,
     "stream_retrieval_contexts": streamed_contexts,
     "chat_router_intents": router_intents,
     "chat_retrieval_intents": retrieval_intents,
@@ -183,11 +196,29 @@ def _case(text: str, rules, fallback: str, words: bool = False, first: str = "")
     return f"case {first} {' '.join(whens)} else '{fallback}' end"
 
 
-_ROUTER = _case(
-    "trim(lower(text))", it.ROUTER_RULES, it.ROUTER_FALLBACK,
-    first="when length(trim(lower(text))) < 3 then 'SMALL_TALK' "
-          "when regexp_full_match(trim(lower(text)), '(xin chào|chào|hi|hello|hey)+') then 'GREETING'",
+# The expected routes, written out.
+_ROUTER = """case when length(trim(lower(text))) < 3 then 'SMALL_TALK'
+  when regexp_full_match(trim(lower(text)), '(xin chào|chào|hi|hello|hey)+') then 'GREETING'
+  when regexp_matches(trim(lower(text)), 'cảm ơn|thanks') then 'THANKS'
+  when regexp_matches(trim(lower(text)), 'tạm biệt|bye') then 'GOODBYE'
+  when regexp_matches(trim(lower(text)), 'sai|sai rồi|không đúng|nhầm') then 'CORRECTION'
+  when regexp_matches(trim(lower(text)), 'ý tôi là|tôi muốn hỏi|ý mình là') then 'REFINE'
+  when regexp_matches(trim(lower(text)), 'bao nhiêu tín chỉ|tín chỉ') then 'CREDIT'
+  when regexp_matches(trim(lower(text)), 'môn học|học phần') then 'COURSE'
+  when regexp_matches(trim(lower(text)), 'chương trình đào tạo|ctdt') then 'CURRICULUM'
+  when regexp_matches(trim(lower(text)), 'ngành|chuyên ngành') then 'MAJOR'
+  when regexp_matches(trim(lower(text)), 'học phí') then 'TUITION'
+  when regexp_matches(trim(lower(text)), 'điều kiện|yêu cầu|đầu vào') then 'REQUIREMENT'
+  when regexp_matches(trim(lower(text)), 'ở đâu|khoa nào|thuộc khoa') then 'FACULTY' else 'RAG' end"""
+_RETRIEVAL = (
+    ("GREETING", ("xin chào", "hello", "hi", "chào", "hey")), ("THANKS", ("cảm ơn", "thanks", "thank")), ("TUITION", ("học phí",)),
+    ("CREDIT", ("tín chỉ",)), ("PREREQUISITE", ("tiên quyết", "học trước")), ("PROGRAM", ("chương trình", "ctdt", "khung chương trình")),
+    ("MAJOR_INFO", ("ngành", "học gì", "mô tả", "giới thiệu")), ("CAREER", ("việc làm", "nghề", "ra trường", "làm gì")),
+    ("OUTCOME", ("chuẩn đầu ra", "plo")), ("TRAINING_FORM", ("chính quy", "tại chức", "online")),
+    ("DURATION", ("bao lâu", "mấy năm", "thời gian học")), ("FACULTY", ("khoa", "bộ môn")), ("DEGREE", ("bằng gì", "văn bằng")),
+    ("FURTHER_STUDY", ("học tiếp", "cao học", "thạc sĩ")),
 )
+_ENTITY = (("prerequisite", ("tiên quyết",)), ("tuition", ("học phí",)), ("credit", ("tín chỉ",)))
 _OPENINGS_SQL = "[" + ", ".join(f"'{o}'" for o in OPENINGS) + "]"
 _MESSAGES = f"""
 with opened as (
@@ -204,17 +235,22 @@ last_two as (
 ),
 requests as (select *, {_ROUTER.replace('text', 'question')} as intent from last_two)
 """
-_SYSTEM = ("'" + an.SYSTEM_TEXT.format(institution=" T").replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+_SYSTEM = """('Bạn là chatbot tư vấn T.' || chr(10) || 'Chỉ trả lời dựa trên dữ liệu được cung cấp.' || chr(10)
+  || 'Hãy trả lời sinh viên một cách thân thiện.' || chr(10) || 'Không được tự bịa.' || chr(10)
+  || 'Nếu không có dữ liệu → trả lời: ''Mình không tìm thấy thông tin chính xác.''' || chr(10))"""
+_GREETING = "Xin chào! Mình có thể giúp gì cho bạn về chương trình đào tạo T?"
+_NOT_FOUND = "Mình không tìm thấy thông tin chính xác trong hệ thống."
 _BAD_REWRITE = "contains(lower(trim(rw)), 'tín chỉ') or contains(lower(trim(rw)), 'là') or contains(lower(trim(rw)), 'bao gồm')"
-_CONTEXTS = f"""
-with {NODES_SQL}, {EDGES_SQL},
+_PART_QUESTIONS = """
 questions as (
   select p_partkey as qid, case when p_partkey % 11 = 0 then 'abc' else
     list_extract(['học trước', 'tín chỉ', 'văn bằng', 'hello'], p_partkey % 4 + 1) || ' ' || p_name || ' ' || p_brand end as text
   from part
-),
+)
+"""
+_FOUND = f"""
 routed as (
-  select *, {_case("lower(text)", it.RETRIEVAL_RULES, it.RETRIEVAL_FALLBACK)} as intent from questions where length(text) >= 5
+  select *, {_case("lower(text)", _RETRIEVAL, 'GENERAL')} as intent from questions where length(text) >= 5
 ),
 asked as (select *, text as entity from routed where intent not in ('GREETING', 'THANKS')),
 courses as (
@@ -252,14 +288,15 @@ found as (
   from looked l left join near n on n.qid = l.qid
 )
 """
+_CONTEXTS = f"with {NODES_SQL}, {EDGES_SQL}, {_PART_QUESTIONS}, {_FOUND}"
 SQL = {
     "chat_router_intents": _MESSAGES + f"select conv_id, turn, {_ROUTER} as intent from messages",
     "chat_retrieval_intents": _MESSAGES + f"""
-select conv_id, turn, {_case('lower(text)', it.RETRIEVAL_RULES, it.RETRIEVAL_FALLBACK)} as intent,
-  {_case('lower(text)', it.RETRIEVAL_RULES, it.RETRIEVAL_FALLBACK, words=True)} as intent_by_words from messages
+select conv_id, turn, {_case('lower(text)', _RETRIEVAL, 'GENERAL')} as intent,
+  {_case('lower(text)', _RETRIEVAL, 'GENERAL', words=True)} as intent_by_words from messages
 """,
     "chat_entities": _MESSAGES + f"""
-select conv_id, turn, {_case('lower(text)', it.ENTITY_RULES, it.ENTITY_FALLBACK)} as intent,
+select conv_id, turn, {_case('lower(text)', _ENTITY, 'general')} as intent,
   coalesce(nullif(regexp_extract(lower(text), 'ct[0-9]+'), ''), text) as entity
 from messages where length(trim(text)) >= 5
 """,
@@ -282,6 +319,24 @@ union all select conv_id, turn + 1, case when back = 1 then 'user' else role end
 select conv_id, 0 as position, 'system' as role, {_SYSTEM} as content from requests
 union all select conv_id, 1, 'assistant', coalesce(previous, '') from requests
 union all select conv_id, 2, 'user', question from requests
+""",
+    "chat_answers": _MESSAGES + f"""
+, asks as (
+  select conv_id, intent as router_intent, case when intent = 'RAG' and length(trim(question)) >= 5 and rw is not null and not ({_BAD_REWRITE})
+    then trim(rw) else question end as asked
+  from (select r.*, case when conv_id % 3 = 0 then 'Học trước ' || p_name || ' ' || p_brand else previous end as rw
+        from requests r left join part on p_partkey = conv_id)
+),
+questions as (select conv_id as qid, trim(asked) as text from asks where router_intent <> 'GREETING'), {NODES_SQL}, {EDGES_SQL}, {_FOUND},
+outcome as (
+  select a.conv_id, a.asked, f.context, case when router_intent = 'GREETING' then '{_GREETING}' when f.context is null then '{_NOT_FOUND}' end as reply
+  from asks a left join found f on f.qid = a.conv_id
+)
+select conv_id, 0 as position, 'system' as role, {_SYSTEM} || chr(10) || 'Dữ liệu:' || chr(10) || context || chr(10) as content
+from outcome where reply is null
+union all select b.conv_id, turn + 1, case when back = 1 then 'user' else role end, case when back = 1 then asked else text end
+from backs b join outcome o on o.conv_id = b.conv_id where reply is null
+union all select b.conv_id, turn + 2, 'assistant', reply from backs b join outcome o on o.conv_id = b.conv_id where reply is not null and back = 1
 """,
     "retrieval_contexts": _CONTEXTS + """
 select q.qid, f.intent, f.context from questions q left join found f on f.qid = q.qid
@@ -293,8 +348,8 @@ select q.qid, f.context from questions q left join found f on f.qid = q.qid
 , joined as (select q.qid, q.text, f.context, {_ROUTER.replace('text', 'q.text')} as router_intent
              from questions q left join found f on f.qid = q.qid)
 select qid, router_intent,
-  case when router_intent = 'GREETING' then '{an.GREETING_REPLY.format(institution=" T")}'
-       when context is null then '{an.NOT_FOUND_REPLY}' end as reply,
+  case when router_intent = 'GREETING' then '{_GREETING}'
+       when context is null then '{_NOT_FOUND}' end as reply,
   case when router_intent <> 'GREETING' and context is not null then
     {_SYSTEM} || chr(10) || 'Dữ liệu:' || chr(10) || context || chr(10) end as system_text
 from joined

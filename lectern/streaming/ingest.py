@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +18,13 @@ from ..sources import readers, writers
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str,
-                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None) -> None:
+                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None,
+                 candidates: tuple[str, ...] = ()) -> None:
     """Process one micro-batch of ``(doc_id, file_name, category, size, text, arrived[, job_id, table_rows])``.
 
+    ``candidates`` names columns with the texts of several extractors, best first: the first
+    that is not blank becomes the text, and its name the job's extraction source.
+
     ``model`` is a loader and its number of dimensions; with it, nodes are stored with
     the vectors of their texts.
 
@@ -28,24 +33,31 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     and step. A document stored before is replaced as a whole.
 
     Graph tables are merged, so a repeated batch changes nothing; the job events
-    of a batch overwrite their own folder for the same reason. A bad document is
-    recorded as failed and does not stop the others.
+    of a batch overwrite their own folder for the same reason. A document that is refused,
+    blank, or raises in a pipeline made by ``ingestion.guarded`` is recorded as failed with
+    its message and does not stop the others.
     """
     spark = batch.sparkSession
     # The batch is read by several writes; a written copy keeps them the same.
     staged = f"{out}/staged/batch_id={batch_id}"
     refused = readers.rejection(F.col("file_name"), F.col("category"), F.col("size"))
+    if candidates:
+        text, source = tx.first_nonblank([(c, F.col(c)) for c in candidates])
+        batch = batch.withColumns({"text": text, "extraction_source": source}).drop(*(c for c in candidates if c != "text"))
+    elif "extraction_source" not in batch.columns:
+        batch = batch.withColumn("extraction_source", F.lit(None).cast("string"))
     batch.withColumn("error", F.coalesce(refused, ing.failure(batch))).write.mode("overwrite").parquet(staged)
     docs = spark.read.parquet(staged)
     if "job_id" not in docs.columns:
         docs = docs.withColumn("job_id", F.col("doc_id").cast("string"))
     good = docs.where("error is null")
-    _record(docs.withColumns({"nodes": F.lit(None).cast("bigint"), "edges": F.lit(None).cast("bigint")}),
-            ("queued", "processing"), 0, batch_id, out, pipelines)
+    none = F.lit(None).cast("bigint")
+    _record(docs.withColumns({"nodes": none, "edges": none, "section_count": none}), ("queued", "processing"), 0, batch_id, out, pipelines)
 
     # Texts are parsed once for nodes and once for edges; merges and counts read the rows.
     submitted = []
-    for name, rows in zip(("nodes", "edges"), ing.run_pipelines(good, pipelines)):
+    *graph, failed = ing.run_guarded(good, pipelines)
+    for name, rows in zip(("nodes", "edges"), graph):
         if name == "nodes" and model is not None:
             rows = ing.with_vectors(rows, *model)
         path = f"{out}/submitted/{name}/batch_id={batch_id}"
@@ -63,10 +75,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     done = docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(
         per_doc(nodes, "nodes"), "doc_id", "left"
-    ).join(per_doc(edges, "edges"), "doc_id", "left")
+    ).join(per_doc(edges, "edges"), "doc_id", "left").join(
+        ing.section_counts(good, nodes), "doc_id", "left"
+    ).join(failed.withColumnRenamed("error", "raised"), "doc_id", "left")
     applied = ing.has_pipeline(F.col("category"), pipelines)
     empty = applied & F.col("nodes").isNull()
-    done = done.withColumn("error", F.coalesce("error", F.when(empty, F.lit(ing.NO_NODES))))
+    done = done.withColumn("error", F.coalesce("error", "raised", F.when(empty, F.lit(ing.NO_NODES)))).drop("raised")
     _record(done, (None,), 2, batch_id, out, pipelines)
 
 
@@ -92,28 +106,31 @@ def _record(jobs: DataFrame, states: tuple[str | None, ...], first_step: int, ba
         F.when(last, F.col("error")).alias("error"),
         F.when(last & fine, F.length("text")).alias("extracted_text_length"),
         F.when(last & fine, tx.preview(F.col("text"))).alias("extracted_preview"),
+        F.when(last & fine, F.col("extraction_source")).alias("extraction_source"),
+        F.when(last & fine & applied, F.coalesce("section_count", F.lit(0))).alias("section_count"),
     )
     events.write.mode("overwrite").parquet(f"{out}/job_events/batch_id={batch_id}/first_step={first_step}")
 
 
 def start_ingest(files: DataFrame, to_text: Callable[[DataFrame], DataFrame], out: str,
-                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None) -> StreamingQuery:
+                 pipelines: Mapping[str, ing.Pipeline] = ing.PIPELINES, model=None,
+                 candidates: tuple[str, ...] = ()) -> StreamingQuery:
     """Run over all files that are there, each once, then stop.
 
     ``files`` is a stream from ``landed_files``; ``to_text`` adds the ``text``
-    column and, for course tables, ``table_rows`` (PDF decoding is the caller's). ``out`` is
-    a folder on shared storage.
+    column (or the ``candidates``) and, for course tables, ``table_rows`` (PDF decoding is
+    the caller's). ``out`` is a folder on shared storage.
     """
     texts = to_text(files)
     docs = texts.select(
-        *[c for c in ("table_rows",) if c in texts.columns],
+        *[c for c in ("table_rows", *(candidates or ("text",))) if c in texts.columns],
         F.regexp_replace("filename", r"\.[^.]*$", "").alias("doc_id"), F.col("filename").alias("file_name"),
-        "category", F.col("length").alias("size"), "text", F.col("modificationTime").alias("arrived"),
+        "category", F.col("length").alias("size"), F.col("modificationTime").alias("arrived"),
         # A later upload of the same name is a job of its own.
         F.concat_ws("@", "path", F.unix_micros("modificationTime")).alias("job_id"),
     )
     return (
-        docs.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out, pipelines, model))
+        docs.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out, pipelines, model, candidates))
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -140,22 +157,55 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _answer_batch(batch: DataFrame, batch_id: int, out: str, graph: Callable[[], tuple], options: dict) -> None:
+    staged = f"{out}/questions/batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(staged)
+    fixed = batch.sparkSession.read.parquet(staged)
+    nodes, edges, corpus = graph()
+    found = ret.contexts(fixed, nodes, edges, corpus, **options)
+    ret.replies(fixed, found).join(found.drop("intent"), "qid").write.mode("overwrite").parquet(
+        f"{out}/answers/batch_id={batch_id}"
+    )
+
+
 def answer_stream(questions: DataFrame, nodes: DataFrame, edges: DataFrame, corpus: DataFrame, out: str,
                   **options) -> StreamingQuery:
-    """Contexts for ``questions(qid, text, vector)`` as they arrive.
+    """Contexts for ``questions(qid, text, vector)`` as they arrive, from a graph that does not change.
+
+    Ranking is not defined on a stream, so each micro-batch is answered on its own;
+    a repeated batch rewrites its own folder.
+    """
+    return _answers(questions, out, lambda df, n: _answer_batch(df, n, out, lambda: (nodes, edges, corpus), options))
+
 
-    Ranking is not defined on a stream, so each micro-batch is answered on its own
-    against the stored graph; a repeated batch rewrites its own folder.
+ATTEMPTS = 5
+
+
+def answer_stored(questions: DataFrame, store: str, out: str, **options) -> StreamingQuery:
+    """As ``answer_stream``, from the tables that ``ingest_batch`` keeps under ``store``.
+
+    Every micro-batch lists the tables anew, so it sees what was stored before it. Where an
+    ingestion replaces a folder under a running micro-batch, the batch is answered again from
+    the tables as they are then, ``ATTEMPTS`` times at most; its folder is rewritten.
     """
+    spark = questions.sparkSession
+
+    def graph() -> tuple[DataFrame, DataFrame, DataFrame]:
+        nodes = writers.read_nodes(spark, f"{store}/nodes")
+        return nodes, writers.read_edges(spark, f"{store}/edges"), writers.table_corpus(nodes)
+
     def answer(batch: DataFrame, batch_id: int) -> None:
-        staged = f"{out}/questions/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(staged)
-        fixed = batch.sparkSession.read.parquet(staged)
-        found = ret.contexts(fixed, nodes, edges, corpus, **options)
-        ret.replies(fixed, found).join(found.drop("intent"), "qid").write.mode("overwrite").parquet(
-            f"{out}/answers/batch_id={batch_id}"
-        )
+        for left in reversed(range(ATTEMPTS)):
+            try:
+                return _answer_batch(batch, batch_id, out, graph, {"index": f"{store}/names", **options})
+            except PySparkException as error:
+                if not left or "FILE_NOT_EXIST" not in str(error):
+                    raise
+
+    return _answers(questions, out, answer)
+
 
+def _answers(questions: DataFrame, out: str, answer: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return (
         questions.writeStream.foreachBatch(answer)
         .option("checkpointLocation", f"{out}/checkpoint")

@@ -190,3 +190,61 @@ def test_text_and_chat_readers(spark, tmp_path):
     assert tuple(readers.text_documents(spark, str(tmp_path / "t")).first()) == ("a", "a.md", "x\ny")
     (tmp_path / "c.json").write_text('{"id": "1", "messages": [{"role": "user", "parts": [{"type": "text", "text": "hi"}]}]}\n')
     assert readers.chat_requests(spark, str(tmp_path / "c.json")).first().messages[0].parts[0].text == "hi"
+
+
+UPLOADS = "doc_id string, file_name string, category string, size bigint, arrived timestamp"
+
+
+def test_a_processor_that_raises_fails_its_own_document_only(spark):
+    def process(document):
+        if document["doc_id"] == "bad":
+            raise KeyError("no heading")
+        words = document["text"].split()
+        nodes = [{"label": "Word", "id": w, "text": w, "props": {"n": i}} for i, w in enumerate(words)]
+        return nodes, [{"source": a, "type": "BEFORE", "target": b} for a, b in zip(words, words[1:])]
+
+    out = work_folder(spark, "guarded")
+    pipelines = {"huong_dan_thu_tuc": ing.guarded(process), **ing.PIPELINES}
+    rows = [(d, d + ".pdf", c, 10, dt.datetime(2024, 1, 1), t) for d, c, t in (
+        ("good", "huong_dan_thu_tuc", "a b c"), ("bad", "huong_dan_thu_tuc", "x y"), ("quydinh", "quy_che_hoc_vu", REGULATION),
+        ("blank", "huong_dan_thu_tuc", None))]
+    st.ingest_batch(spark.createDataFrame(rows, UPLOADS + ", text string"), 0, out, pipelines)
+    jobs = {r.job_id: r for r in st.job_table(spark, out).collect()}
+    assert {j: (r.status, r.nodes, r.edges) for j, r in jobs.items()} == {
+        "good": ("completed", 3, 2), "bad": ("failed", None, None), "quydinh": ("completed", 5, 5), "blank": ("failed", None, None)}
+    assert jobs["bad"].error == "KeyError: 'no heading'"
+    stored = {r.id: r.props for r in writers.read_nodes(spark, f"{out}/nodes").where("label = 'Word'").collect()}
+    assert stored == {w: {"n": str(i), "text": w} for i, w in enumerate("abc")}
+
+
+def test_text_source_and_sections_are_recorded_and_questions_see_later_uploads(spark, tmp_path):
+    out = work_folder(spark, "cascade")
+    names = ("markdown", "layer", "ocr")
+    text = PROGRAMME + "\n2. Khung chương trình đào tạo\nbảng"
+
+    def send(batch_id, *docs):
+        rows = [(d, d + ".pdf", c, 10, dt.datetime(2024, 1, 1), *texts, cells) for d, c, texts, cells in docs]
+        schema = UPLOADS + ", markdown string, layer string, ocr string, table_rows array<array<string>>"
+        st.ingest_batch(spark.createDataFrame(rows, schema), batch_id, out, candidates=names)
+
+    course = lambda code, name, credits: [["Khối kiến thức X"] * 10, ["1", code, name, credits, "3", "", "30", "", "", ""]]
+    send(0, ("toan", "chuyen_nganh_dao_tao", (" ", text, "other"), course("CT101", "Tín chỉ Giải tích", "3")),
+         ("quydinh", "quy_che_hoc_vu", (None, "", REGULATION), None), ("trong", "quy_che_hoc_vu", (None, " ", ""), None))
+    jobs = {r.job_id: r for r in st.job_table(spark, out).collect()}
+    assert {j: (r.status, r.extraction_source, r.section_count) for j, r in jobs.items()} == {
+        "toan": ("completed", "layer", 2), "quydinh": ("completed", "ocr", 2), "trong": ("failed", None, None)}
+    assert jobs["toan"].extracted_text_length == len(text)
+
+    folder = str(tmp_path / "asked")
+
+    def ask(qid, question):
+        spark.createDataFrame([(qid, question)], "qid string, text string").coalesce(1).write.mode("append").parquet(folder)
+        asked = spark.readStream.schema("qid string, text string").parquet(folder).withColumn("vector", F.lit(None).cast("array<float>"))
+        st.answer_stored(asked, out, f"{out}/asked").awaitTermination()
+        return {r.qid: r.context for r in spark.read.parquet(f"{out}/asked/answers").collect()}
+
+    assert ask("q1", "tín chỉ giải tích") == {"q1": "[GRAPH]\nMôn Tín chỉ Giải tích có 3 tín chỉ"}
+    assert ask("q2", "tín chỉ đại số")["q2"] is None
+    send(1, ("ly", "chuyen_nganh_dao_tao", (text.replace("Toán", "Lý").replace("7", "8"), None, None), course("CT102", "Tín chỉ Đại số", "4")))
+    got = ask("q3", "tín chỉ đại số")
+    assert got["q3"] == "[GRAPH]\nMôn Tín chỉ Đại số có 4 tín chỉ" and got["q2"] is None and "q1" in got
