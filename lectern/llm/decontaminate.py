@@ -16,7 +16,8 @@ Null or empty texts have no words and no hits. An item without words has no wind
 Repeated documents are reported once per row; repeated items by their item_id.
 An item above ``block_bytes`` is cut into parts that overlap by ``window`` - 1 words, so
 it keeps all its windows; only a single window above the bound raises an error. Items
-with a null item_id count in ``keep_clean``; the report, as its SQL, leaves them out.
+with a null item_id hit words and contaminate as all others; they have no name, so they
+are not in ``item_ids``, ``n_items`` and ``items_sha256``.
 """
 
 from __future__ import annotations
@@ -192,10 +193,10 @@ def _indexes(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -
     return found
 
 
-def _items(items: DataFrame, item_column: str, item_text: str, null_ids: bool) -> DataFrame:
+def _items(items: DataFrame, item_column: str, item_text: str) -> DataFrame:
     return items.select(
         items[item_column].cast("string").alias("item_id"), kit.null_text(items[item_text]).alias("item_text"),
-    ).where((F.col("item_id").isNotNull() | F.lit(null_ids)) & (F.col("item_text") != "")).distinct()
+    ).where(F.col("item_text") != "").distinct()
 
 
 def _judged(column: pa.Array, indexes: list):
@@ -224,7 +225,7 @@ def contamination(
     are computed when it is called.
     """
     docs = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    indexes = _indexes(docs, _items(items, item_column, item_text, null_ids=False), window, block_bytes)
+    indexes = _indexes(docs, _items(items, item_column, item_text), window, block_bytes)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -246,7 +247,7 @@ def contamination(
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of an item occurs."""
     at = docs.columns.index(text_column)
-    indexes = _indexes(docs.select(docs[text_column].alias("text")), _items(items, "item_id", "text", null_ids=True), window, block_bytes)
+    indexes = _indexes(docs.select(docs[text_column].alias("text")), _items(items, "item_id", "text"), window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -170,7 +170,7 @@ from judged
 OP8_SQL = r"""
 with items as (
     select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
 ), windows as (
     select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as gram
     from items, lateral (select unnest(range(1, len(w) - least(10, len(w)) + 2)) as i) where len(w) > 0
@@ -186,7 +186,7 @@ with items as (
     select doc_id, count(distinct k) as n_hit from (select doc_id, i + unnest(range(n)) as k from hits) group by doc_id
 ), hit_items as (
     select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
-    from (select distinct doc_id, item_id from hits) group by doc_id
+    from (select distinct doc_id, item_id from hits where item_id is not null) group by doc_id
 )
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated

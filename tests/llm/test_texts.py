@@ -111,7 +111,8 @@ def test_items_without_id_and_large_items(spark):
     assert sorted(r.text for r in kept.collect()) == sorted(["clean", texts[-1]])
     rows = {r.doc_id: r for r in decontaminate.contamination(docs_of(spark, texts), bench, block_bytes=300).collect()}
     assert sum(r.n_hit == 10 and r.item_ids == ["7"] for r in rows.values()) == 191
-    assert not rows[0].contaminated and not rows[len(texts) - 1].contaminated
+    # By the contract a word in any occurrence of a window is hit, whether the item has an id or not.
+    assert (rows[0].n_hit, rows[0].item_ids, rows[0].contaminated) == (4, [], True) and not rows[len(texts) - 1].contaminated
 
 
 def test_no_items_and_no_documents(spark, texts):
@@ -243,3 +244,10 @@ def test_word_hashes_do_not_depend_on_place():
     hashes = kit.span_hashes(kit.prefix_hashes(data), starts, ends)
     assert rows.tolist() == [0, 0, 0, 3, 3, 4]
     assert hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[5] and len(np.unique(hashes)) == 3
+
+
+def test_items_without_id_hit_words_in_the_report(spark):
+    bench = spark.createDataFrame([(None, "secret words of nobody"), (None, "secret words"), (7, "of nobody")], "item_id long, text string")
+    texts = ["has secret words of nobody in it", "secret words", "clean"]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontaminate.contamination(docs_of(spark, texts), bench).collect()}
+    assert got == {0: (4, 1, ["7"], True), 1: (2, 0, [], True), 2: (0, 0, [], False)}
