@@ -30,6 +30,8 @@ SHARE = 1.5
 MOST_COPIES = 2
 SEED = "0"
 MAX_PATTERNS = 100_000
+# Bytes of names that are sent to every task.
+MAX_BROADCAST = 16 << 20
 # Hexadecimal digits of the order key that one round looks at.
 DIGITS = 3
 
@@ -135,7 +137,8 @@ def _boundaries(sized: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[str
         open_ = spark.createDataFrame(rows, "pattern int, prefix string, rest long")
         depth += DIGITS
         digits = F.substring("key", 1, depth)
-        sums = sized.join(open_, ["pattern"]).where(F.col("key").startswith(F.col("prefix"))).groupBy(
+        # At most MAX_PATTERNS short rows, here and below: the documents stay where they are.
+        sums = sized.join(F.broadcast(open_), ["pattern"]).where(F.col("key").startswith(F.col("prefix"))).groupBy(
             "pattern", digits.alias("digits")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("rest").alias("rest"))
         before = F.sum("size").over(Window.partitionBy("pattern").orderBy("digits")) - F.col("size")
         hit = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size")))
@@ -187,7 +190,7 @@ def mix(
     cut = F.substring("key", 1, F.length("edge"))
     extra = F.when(cut < F.col("edge"), F.col("size")).when(cut == F.col("edge"), F.col("rest")).otherwise(0)
     taken = F.col("copies") * F.col("size") + F.coalesce(extra, F.lit(0))
-    return keyed.join(ends, "pattern", "left").select("doc_id", "sources", "size", taken.cast("long").alias("taken"), "row"), sizes, wanted
+    return keyed.join(F.broadcast(ends), "pattern", "left").select("doc_id", "sources", "size", taken.cast("long").alias("taken"), "row"), sizes, wanted
 
 
 def _same_sources(sized: DataFrame, pattern: DataFrame) -> DataFrame:
@@ -203,6 +206,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.createDataFrame(
         [(s, sizes[s], wanted[s]) for s in wanted], "name string, source_size long, target double",
     )
+    # One row a pattern; names of sources beyond the bound are left to Spark's choice of join.
+    if sum(len(s or "") + 64 for s in wanted) <= MAX_BROADCAST:
+        table = F.broadcast(table)
     source = F.col("sources")[0]
     return rows.select("doc_id", source.alias("source"), "size", "taken").join(
         table, F.col("source").eqNullSafe(table["name"])).select("doc_id", "size", "source_size", "target", "taken", "source")

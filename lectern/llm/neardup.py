@@ -272,13 +272,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component; texts without words stay."""
-    keys = {"__k1": F.xxhash64(docs[id_column], docs[text_column]), "__k2": F.xxhash64(docs[text_column], docs[id_column])}
+    # Names that no column of the caller has.
+    key = "k" * (max(map(len, docs.columns)) + 1)
+    names = [f"{key}1", f"{key}2"]
+    keys = {names[0]: F.xxhash64(docs[id_column], docs[text_column]), names[1]: F.xxhash64(docs[text_column], docs[id_column])}
     kept = near_duplicates(docs, id_column, text_column, percent).where("first_row and n_shingles > 0").select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    rows = docs.withColumns(keys).join(kept, ["__k1", "__k2"], "left_semi")
+        F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
+    rows = docs.withColumns(keys).join(kept, names, "left_semi")
     # Rows equal in id and text have equal keys: one stays, and all of those without words.
-    some = rows.where(_has_word(F.col(text_column))).dropDuplicates(["__k1", "__k2"])
-    return some.unionByName(docs.withColumns(keys).where(~_has_word(docs[text_column]))).drop("__k1", "__k2")
+    some = rows.where(_has_word(F.col(text_column))).dropDuplicates(names)
+    return some.unionByName(docs.withColumns(keys).where(~_has_word(docs[text_column]))).drop(*names)
 
 
 def _has_word(text: Column) -> Column:

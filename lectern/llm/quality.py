@@ -4,8 +4,8 @@ Rolling hashes of several n-gram lengths mark, in every text, the characters tha
 lie in an n-gram or a line seen before. All work is inside a row: no shuffle.
 
 Rows: a null or empty text has no words, fails the base rule and is not kept.
-Repeated rows are judged alike. Other columns pass through ``quality_report``
-untouched only if named in ``keep``.
+Repeated rows are judged alike. Texts of any length are measured whole; an empty table gives
+an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -424,3 +424,11 @@ def test_pipeline_stages_take_effect(spark, copies, tmp_path):
     assert set(seen[1][1]) - set(seen[2][1]) == {i for i in seen[1][1] if texts[i].startswith("Benchmark")}
     assert sorted(seen[3][1]) == sorted(seen[4][1])
     assert corpus_pipeline.run(spark, folder).count() == len(seen[4][1])
+
+
+def test_deduplication_keeps_every_column_name(spark, copies):
+    rows = [(i, t, -i, "x", "y", "z") for i, t in enumerate(copies[:12] + [copies[0], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k1 long, k1 string, kkkkkk1 string, root string")
+    got = neardup.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert all(r["__k1"] == -r.doc_id and (r.k1, r.kkkkkk1, r.root) == ("x", "y", "z") for r in got.collect())
