@@ -1,24 +1,33 @@
-"""Exact nearest vectors by cosine, in blocks.
-
-The corpus is dealt once into chunks; every chunk meets all queries, which stream past
-it in slices. Scores are matrix products inside tasks, and each chunk sends on at most k
-rows per query, so the final ranking shuffles little. One way serves one question and
-millions; nothing passes through the driver.
+"""Exact nearest vectors by cosine, in tiles.
+
+The corpus is cut into as few chunks as its measured bytes need (``CHUNK_BYTES`` each, so a
+chunk fits into a task) and the queries into as many groups as give every task work. A tile
+is one chunk and one group: the queries of the group stream past the chunk in slices. A
+query is sent once per chunk, not once per task; for a corpus of one chunk it is sent once.
+Scores are matrix products inside tasks, and each tile sends on at most k rows per query,
+so the final ranking shuffles little. One way serves one question and millions; nothing
+passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+from ..session import spread, stored
+
 # Queries and corpus rows of one product.
 QUERY_SLICE = 512
 CORPUS_SLICE = 4_096
+# Bytes of a chunk's matrix in a task.
+CHUNK_BYTES = 128 << 20
 # Products of equal vectors may differ in the last bits; this many decimals tie.
 TIE_DECIMALS = 9
 
@@ -98,6 +107,12 @@ def _out_schema(queries: DataFrame, corpus: DataFrame) -> tuple[T.StructType, pa
     return spark, arrow
 
 
+def _chunks(corpus: DataFrame) -> int:
+    """Parts of at most ``CHUNK_BYTES`` (as doubles, twice the mean to allow for uneven parts)."""
+    rows, dims = corpus.agg(F.count("vector"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    return max(1, -(-2 * rows * dims * 8 // CHUNK_BYTES)) if rows * dims * 8 > CHUNK_BYTES else 1
+
+
 def top_matches(
     queries: DataFrame,
     corpus: DataFrame,
@@ -110,24 +125,31 @@ def top_matches(
 
     ``score`` is the raw cosine; only scores strictly above ``min_cosine`` count,
     cut before ranking. ``skip_self`` leaves out the pair of equal ids. Rows with a null
-    vector take no part; all others must have one number of dimensions. A task holds one
-    of ``corpus_chunks`` parts of the corpus (the session's shuffle partitions if None),
-    so choose as many as make a part fit into a task.
+    vector take no part; all others must have one number of dimensions. The corpus is dealt
+    into ``corpus_chunks`` parts; if None, its bytes are measured when this is called and a
+    part has at most ``CHUNK_BYTES``.
     """
     floor = -np.inf if min_cosine is None else float(min_cosine)
     schema, arrow = _out_schema(queries, corpus)
-    chunks = corpus_chunks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = corpus_chunks or _chunks(corpus)
+    groups = max(1, -(-tasks // chunks))
     qid, cid = queries.schema["qid"].dataType, corpus.schema["id"].dataType
-    double = F.col("vector").cast("array<double>").alias("vector")
+    kind = "array<float>" if all(
+        df.schema["vector"].dataType.simpleString() == "array<float>" for df in (queries, corpus)) else "array<double>"
+    vector = F.col("vector").cast(kind).alias("vector")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = corpus.where("vector is not null").select(
-        F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"),
-        F.lit(None).cast(qid).alias("qid"), "id", double,
+        part("id", chunks).alias("c"), every(groups).alias("g"), F.lit(0).alias("side"),
+        F.lit(None).cast(qid).alias("qid"), "id", vector,
     )
     asked = queries.where("vector is not null").select(
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"),
-        "qid", F.lit(None).cast(cid).alias("id"), double,
+        every(chunks).alias("c"), part("qid", groups).alias("g"), F.lit(1).alias("side"),
+        "qid", F.lit(None).cast(cid).alias("id"), vector,
     )
-    dealt = held.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "side", "id")
+    tiles = held.unionByName(asked).select((F.col("c") * groups + F.col("g")).alias("chunk"), "side", "qid", "id", "vector")
+    dealt = tiles.repartitionById(chunks * groups, "chunk").sortWithinPartitions("chunk", "side", "id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, parts = None, [], []
@@ -190,8 +212,6 @@ def embed(texts: DataFrame, load_model, dims: int, keys: tuple[str, ...] = ("id"
     texts to a matrix of ``dims`` columns. Blank texts get no row, and vectors
     carry their key, so they cannot shift against their rows.
     """
-    from ..functions import text as tx
-
     filled = texts.select(*keys, tx.strip(F.col("text")).alias("text")).where("text <> ''")
     kinds = [T.StructField(k, texts.schema[k].dataType) for k in keys]
     schema = T.StructType([*kinds, T.StructField("vector", T.ArrayType(T.FloatType()))])
@@ -208,3 +228,51 @@ def embed(texts: DataFrame, load_model, dims: int, keys: tuple[str, ...] = ("id"
                 yield pa.RecordBatch.from_arrays([*[part[k] for k in keys], vectors], names=[*keys, "vector"])
 
     return filled.mapInArrow(run, schema)
+
+
+# --- stored vectors -----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """A model by name: ``load()`` runs once per task and gives a function from texts to a matrix of ``dims`` columns."""
+
+    name: str
+    load: Callable[[], Callable[[list[str]], np.ndarray]]
+    dims: int
+
+
+VECTOR_TABLE = "text_hash string, vector array<float>, model string, batch string"
+
+
+def text_hash(text: Column) -> Column:
+    """The key of a text in the vector table; leading and trailing white space does not count."""
+    return F.sha2(tx.strip(text).cast("binary"), 256)
+
+
+def stored_vectors(spark: SparkSession, path: str, model: TextModel) -> DataFrame:
+    """``(text_hash, vector)`` of all texts this model has embedded."""
+    return stored(spark, path, VECTOR_TABLE).where(F.col("model") == model.name).select("text_hash", "vector")
+
+
+def embed_missing(texts: DataFrame, path: str, model: TextModel, batch: str, batch_rows: int | None = None) -> None:
+    """Embed the texts of ``texts(text)`` that the table at ``path`` does not hold, each once.
+
+    Texts are dealt evenly over the tasks and go to the model in order of their length, so
+    that a batch holds texts of like length. Blank and null texts have no vector. A repeated
+    ``batch`` adds nothing.
+    """
+    spark = texts.sparkSession
+    keyed = texts.where(tx.strip(F.col("text")) != "").select(text_hash(F.col("text")).alias("text_hash"), tx.strip(F.col("text")).alias("text"))
+    fresh = keyed.groupBy("text_hash").agg(F.min("text").alias("text")).join(
+        stored_vectors(spark, path, model).select("text_hash"), "text_hash", "left_anti")
+    ordered = spread(fresh, "text_hash").sortWithinPartitions(F.length("text"))
+    made = embed(ordered, model.load, model.dims, keys=("text_hash",), batch_rows=batch_rows)
+    made.withColumns({"model": F.lit(model.name), "batch": F.lit(batch)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("model", "batch").parquet(path)
+
+
+def vector_corpus(nodes: DataFrame, path: str, model: TextModel) -> DataFrame:
+    """``(id, text, vector)`` of ``nodes(id, text)`` whose text is in the vector table."""
+    known = stored_vectors(nodes.sparkSession, path, model)
+    return nodes.select("id", "text", text_hash(F.col("text")).alias("text_hash")).join(known, "text_hash").select("id", "text", "vector")

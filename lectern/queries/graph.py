@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..plans import retrieval as ret
-from ..session import spread
+from ..session import spread, stage, work_folder
+from ..sources import writers
 from ..sources.readers import parse_catalogue
 from .derive import EDGES_SQL, NODES_SQL, table, trade_graph
 
@@ -200,7 +204,68 @@ def answers_as_json(spark, d):
     return ret.rows_as_json(rows, "source")
 
 
+def stored_in_batches(spark, d):
+    """Documents as small regulations, stored in three batches; every fifth is then replaced by a shorter one.
+
+    A document cites the next one; a citation is kept if its end is there when it is stored.
+    """
+    path = work_folder(spark, "batches")
+    docs = stage(table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") % 4).alias("articles")), "documents")
+    name = lambda key: F.concat(F.lit("doc"), key.cast("string"))
+    key, none = F.col("doc_id"), F.lit(None).cast("string")
+    seq = lambda n: F.array(n.cast("bigint")).alias("seq")
+    text_of = lambda **p: F.create_map(*[x for k, v in p.items() for x in (F.lit(k), v.cast("string"))]).alias("props")
+
+    def parts(rows):
+        article = rows.where("articles > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("articles"))).alias("k"))
+        part = F.concat(name(key), F.lit("_Dieu"), F.col("k").cast("string"))
+        heads = rows.select(F.lit("VanBan").alias("label"), name(key).alias("id"), none.alias("text"),
+                            text_of(ten=F.col("source"), so=F.col("articles")), name(key).alias("doc_id"), seq(F.lit(0)))
+        items = article.select(F.lit("Dieu").alias("label"), part.alias("id"), none.alias("text"), text_of(so=F.col("k")),
+                               name(key).alias("doc_id"), seq(F.col("k")))
+        edge = lambda df, kind, target: df.select(
+            name(key).alias("source"), F.lit(kind).alias("type"), target.alias("target"), F.create_map().cast("map<string,string>").alias("props"),
+            name(key).alias("doc_id"), seq(F.lit(0)))
+        return heads.unionByName(items), edge(article, "co_dieu", part).unionByName(edge(rows, "tham_chieu", name(key + 1)))
+
+    def send(rows, replaced=None):
+        nodes, edges = (stage(x, "submitted") for x in parts(rows))
+        gone = None
+        if replaced is not None:
+            gone = gr.descendants(replaced, lambda ids: writers.read_edges(spark, f"{path}/edges", ids))
+        writers.upsert_nodes(nodes, f"{path}/nodes", gone)
+        writers.upsert_edges(edges, f"{path}/edges", replaced=gone, nodes_path=f"{path}/nodes")
+
+    for batch in range(3):
+        send(docs.where(key % 3 == batch))
+    again = docs.where(key % 5 == 0).withColumns({"source": F.lit("new"), "articles": F.lit(0).cast("bigint")})
+    send(again, again.select(name(key).alias("id")))
+    nodes = writers.read_nodes(spark, f"{path}/nodes").select(
+        "label", "id", none.alias("target"), F.col("props")["ten"].alias("ten"), F.col("props")["so"].alias("so"))
+    return nodes.unionByName(writers.read_edges(spark, f"{path}/edges").select(
+        F.col("type").alias("label"), F.col("source").alias("id"), "target", none.alias("ten"), none.alias("so")))
+
+
+def deep_subtree(spark, d):
+    """All ids below one region, six levels down; the levels' relations are in no order."""
+    nation, customer, orders, lineitem = (table(spark, d, n) for n in ("nation", "customer", "orders", "lineitem"))
+    at = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    edge = lambda df, kind, source, target: df.select(source.alias("source"), F.lit(kind).alias("type"), target.alias("target")).distinct()
+    line = F.concat(at("L", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    links = [
+        edge(nation, "co_dieu", at("R", "n_regionkey"), at("N", "n_nationkey")),
+        edge(customer, "co_diem", at("N", "c_nationkey"), at("C", "c_custkey")),
+        edge(orders, "co_chuong", at("C", "o_custkey"), at("O", "o_orderkey")),
+        edge(lineitem, "co_dieu", at("O", "l_orderkey"), line), edge(lineitem, "co_khoan", line, at("P", "l_partkey")),
+        edge(lineitem, "tham_chieu", line, at("S", "l_suppkey")),
+    ]
+    edges = stage(reduce(DataFrame.unionByName, links), "links")
+    return gr.descendants(spark.createDataFrame([("R1",)], "id string"), edges)
+
+
 QUERIES = {
+    "graph_stored_in_batches": stored_in_batches,
+    "graph_deep_subtree": deep_subtree,
     "graph_prerequisite_answers": prerequisite_answers,
     "graph_credit_answers": credit_answers,
     "graph_course_name_or_code": course_name_or_code,
@@ -335,6 +400,25 @@ group by 1, 2, 3
     "graph_duplicate_ids": """
 select l_linenumber || '' as label, l_orderkey || '' as id, count(*) as copies
 from lineitem group by 1, 2 having count(*) > 1
+""",
+    "graph_stored_in_batches": """
+with d as (select doc_id, source, n_chars % 4 as articles from documents),
+k as (select doc_id, unnest(range(1, articles + 1)) as k from d where doc_id % 5 <> 0),
+cites as (select a.doc_id, b.doc_id as next from d a join d b on b.doc_id = a.doc_id + 1
+          where a.doc_id % 5 = 0 or (a.doc_id % 3 = 2 and b.doc_id % 5 <> 0))
+select 'VanBan' as label, 'doc' || doc_id as id, null as target, case when doc_id % 5 = 0 then 'new' else source end as ten,
+       case when doc_id % 5 = 0 then '0' else articles || '' end as so from d
+union all select 'Dieu', 'doc' || doc_id || '_Dieu' || k, null, null, k || '' from k
+union all select 'co_dieu', 'doc' || doc_id, 'doc' || doc_id || '_Dieu' || k, null, null from k
+union all select 'tham_chieu', 'doc' || doc_id, 'doc' || next, null, null from cites
+""",
+    "graph_deep_subtree": """
+with o as (select o_orderkey, c_custkey, n_nationkey from nation join customer on c_nationkey = n_nationkey
+           left join orders on o_custkey = c_custkey where n_regionkey = 1),
+l as (select o_orderkey, l_linenumber, l_partkey from o join lineitem on l_orderkey = o_orderkey)
+select 'R1' as id union select 'N' || n_nationkey from nation where n_regionkey = 1 union select 'C' || c_custkey from o
+union select 'O' || o_orderkey from o where o_orderkey is not null union select 'L' || o_orderkey || '-' || l_linenumber from l
+union select 'P' || l_partkey from l
 """,
     "graph_subtree_removal": _TREE_GONE + """
 select 'node' as kind, label as name, count(*) as kept from tree_nodes

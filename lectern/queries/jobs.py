@@ -8,7 +8,7 @@ from ..plans import ingestion as ing
 from ..session import work_folder
 from ..sources.readers import CATEGORIES, rejection
 from ..streaming import ingest as st
-from .derive import lines_of, programme_text, regulation_text, stream, table
+from .derive import LINES_SQL, lines_of, programme_text, regulation_text, stream, table
 
 
 def _pick(values, key):
@@ -139,7 +139,32 @@ def streamed_ingest(spark, d):
     )
 
 
+def lines_as_nodes(document):
+    """A processor for the query below: a node for each of the first word of every line; some documents raise."""
+    if int(document["doc_id"]) % 7 == 0:
+        raise ValueError("no structure in " + document["doc_id"])
+    words = [line.split(" ")[0] for line in document["text"].split("\n") if line]
+    ids = [f"{document['doc_id']}_{w}" for w in dict.fromkeys(words)]
+    return [{"label": "Word", "id": i} for i in ids], [{"source": a, "type": "NEXT", "target": b} for a, b in zip(ids, ids[1:])]
+
+
+def guarded_ingest(spark, d):
+    """Jobs of documents with two candidate texts, through a processor that raises on some of them."""
+    out = work_folder(spark, "guarded")
+    key = F.col("doc_id")
+    letters = F.array_join("ls", "\n")
+    batch = lines_of(table(spark, d, "documents")).select(
+        key.cast("string").alias("doc_id"), F.concat(F.lit("f"), key.cast("string"), F.lit(".pdf")).alias("file_name"),
+        F.lit(CATEGORIES[2]).alias("category"), F.col("n_chars").alias("size"), F.current_timestamp().alias("arrived"),
+        F.when(key % 2 == 0, letters).otherwise(F.lit(" ")).alias("markdown"),
+        F.when(key % 9 > 0, letters).alias("layer"),
+    )
+    st.ingest_batch(batch, 0, out, {CATEGORIES[2]: ing.guarded(lines_as_nodes)}, candidates=("markdown", "layer"))
+    return st.job_table(spark, out).select("job_id", "status", "error", "nodes", "edges", "extraction_source", "extracted_text_length")
+
+
 QUERIES = {
+    "jobs_guarded_ingest": guarded_ingest,
     "jobs_status_summary": status_summary,
     "jobs_busy": busy,
     "jobs_eligible": eligible,
@@ -185,6 +210,19 @@ select o_orderkey, shown, case shown
   when 'success' then case when o_orderkey % 5 > 0 then 'Xong: ' || o_orderkey || ' nodes, ' || o_orderkey || ' edges.' else 'Upload hoàn tất.' end
   when 'stored' then 'Đã lưu file, chưa có pipeline ingestion cho thể loại này.'
   when 'error' then case when o_orderkey % 7 = 0 then 'hỏng' else 'Ingestion thất bại.' end end as message from s
+""",
+    "jobs_guarded_ingest": f"""
+with {LINES_SQL},
+texts as (select doc_id, array_to_string(ls, chr(10)) as t, doc_id % 2 = 0 as first_one, doc_id % 9 > 0 as second_one from docs),
+picked as (select doc_id, case when first_one and t <> '' then 'markdown' when second_one and t <> '' then 'layer' end as source, t from texts),
+words as (select doc_id, count(distinct string_split(line, ' ')[1]) as n from lines group by doc_id)
+select doc_id || '' as job_id, case when source is null or doc_id % 7 = 0 then 'failed' else 'completed' end as status,
+  case when source is null then 'Khong trich xuat duoc noi dung text tu PDF.'
+       when doc_id % 7 = 0 then 'ValueError: no structure in ' || doc_id end as error,
+  case when source is not null and doc_id % 7 <> 0 then n end as nodes, case when source is not null and doc_id % 7 <> 0 then n - 1 end as edges,
+  case when doc_id % 7 <> 0 then source end as extraction_source,
+  case when source is not null and doc_id % 7 <> 0 then length(t) end as extracted_text_length
+from picked left join words using (doc_id)
 """,
     "jobs_states": _EVENTS + "select * from states",
     "jobs_lookup": _EVENTS + """

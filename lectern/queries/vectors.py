@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import vectors as ve
+from ..session import work_folder
 from .derive import table
 
 LETTERS = "etaoinsh"
@@ -72,7 +73,23 @@ def same_label_similarity(spark, d):
     )
 
 
+LETTER_MODEL = ve.TextModel("letters", letter_model, len(LETTERS))
+
+
+def stored_by_text(spark, d):
+    """Documents in two batches that share texts: each text is embedded once, every document has its vector."""
+    path = work_folder(spark, "text-vectors")
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).otherwise(F.col("text")).alias("text"))
+    ve.embed_missing(docs.where("id % 2 = 0"), path, LETTER_MODEL, "0", batch_rows=64)
+    ve.embed_missing(docs, path, LETTER_MODEL, "1", batch_rows=64)
+    stored = ve.stored_vectors(spark, path, LETTER_MODEL).groupBy("text_hash").agg(F.count("*").alias("times"))
+    found = ve.vector_corpus(docs, path, LETTER_MODEL).withColumn("text_hash", ve.text_hash(F.col("text"))).join(stored, "text_hash")
+    return found.select("id", "times", *[F.round(F.get("vector", F.lit(i)).cast("double"), 5).alias(f"v{i}") for i in range(len(LETTERS))])
+
+
 QUERIES = {
+    "vector_stored_by_text": stored_by_text,
     "vector_top_above_threshold": top_above_threshold,
     "vector_best_match": best_match,
     "vector_labelled_texts": labelled_texts,
@@ -116,6 +133,19 @@ select doc_id, label, case when x is null or x = '' then 0 else 8 end as dims,
   round(cast(cast((length(x) - length(replace(x, 's', ''))) / length(x) as float) as double), 5) as v6,
   round(cast(cast((length(x) - length(replace(x, 'h', ''))) / length(x) as float) as double), 5) as v7
 from t
+""",
+    "vector_stored_by_text": """
+with t as (select doc_id as id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x from documents where doc_id % 10 <> 0)
+select id, 1 as times,
+  round(cast(cast((length(x) - length(replace(x, 'e', ''))) / length(x) as float) as double), 5) as v0,
+  round(cast(cast((length(x) - length(replace(x, 't', ''))) / length(x) as float) as double), 5) as v1,
+  round(cast(cast((length(x) - length(replace(x, 'a', ''))) / length(x) as float) as double), 5) as v2,
+  round(cast(cast((length(x) - length(replace(x, 'o', ''))) / length(x) as float) as double), 5) as v3,
+  round(cast(cast((length(x) - length(replace(x, 'i', ''))) / length(x) as float) as double), 5) as v4,
+  round(cast(cast((length(x) - length(replace(x, 'n', ''))) / length(x) as float) as double), 5) as v5,
+  round(cast(cast((length(x) - length(replace(x, 's', ''))) / length(x) as float) as double), 5) as v6,
+  round(cast(cast((length(x) - length(replace(x, 'h', ''))) / length(x) as float) as double), 5) as v7
+from t where x <> ''
 """,
     "vector_pair_similarity": """
 select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as cosine

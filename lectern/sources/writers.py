@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import graph as gr
-from ..session import stored
+from ..session import stage, stored
 
 
 def write_json(docs: DataFrame, path: str) -> None:
@@ -23,20 +23,34 @@ def write_markdown(docs: DataFrame, path: str | None) -> None:
         ).text(path)
 
 
-def _replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
-    """Rewrite only the partitions present in ``df``; the job commits all at once.
+def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
+    """Rewrite only the partitions present in ``df``; the job commits all at once."""
+    # Rows of one partition value stay spread over tasks: no repartition by it.
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
-    Rows of a folder are brought together for few files; a folder with very many is split.
+
+def _replace_folders(df: DataFrame, path: str, kind: str, key: str) -> None:
+    """Rewrite the folders (``kind`` and bucket of ``key``) present in ``df``, all at once.
+
+    The rows are written aside and counted first: a folder is one file, a folder with many
+    rows as many as it needs, each dealt to its own task.
     """
-    df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *columns
-    ).parquet(path)
+    folder = [kind, "bucket"]
+    rows = stage(df.withColumn("bucket", bucket_of(key)), "merged")
+    # One row a folder.
+    files = rows.groupBy(*folder).agg(F.ceil(F.count("*") / FILE_ROWS).alias("files"))
+    dealt = rows.join(F.broadcast(files), folder).withColumn("file", F.pmod(F.xxhash64(key), F.col("files")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt.repartition(tasks, *folder, "file").drop("file", "files").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*folder).parquet(path)
 
 
 NODE_TABLE = "id string, props map<string,string>, label string"
 EDGE_TABLE = "source string, target string, props map<string,string>, type string"
 # Folders of one label or type. Changing it needs a new table.
-BUCKETS = 64
+BUCKETS = 32
+# Rows of a file; a folder with more is written by several tasks.
+FILE_ROWS = 1_000_000
 
 
 def bucket_of(id_column: str) -> Column:
@@ -116,7 +130,7 @@ def upsert_nodes(nodes: DataFrame, path: str, replaced: DataFrame | None = None)
         touched = incoming.select(*folder).unionByName(removed.select(*folder))
         kept = _touched(rows, touched, *folder).join(replaced, "id", "left_anti")
         merged = _with_removed(gr.upsert_nodes(_versions(kept, incoming), VERSION), removed, ["label", "id"])
-    _replace_partitions(merged.withColumn("bucket", bucket_of("id")), path, *folder)
+    _replace_folders(merged, path, "label", "id")
 
 
 ROUTES = "target_bucket int, bucket int"
@@ -171,7 +185,7 @@ def upsert_edges(edges: DataFrame, path: str, nodes: DataFrame | None = None, re
         merged = _with_removed(
             gr.upsert_edges(_versions(_touched(kept, touched, *folder), incoming), VERSION), removed, keys
         )
-    _replace_partitions(merged.withColumn("bucket", bucket_of("source")), path, *folder)
+    _replace_folders(merged, path, "type", "source")
 
 
 def clear(spark: SparkSession, path: str, schema: str) -> None:

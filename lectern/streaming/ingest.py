@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
 from ..operators import graph as gr
+from ..operators import vectors as ve
 from ..operators.contains import append_names
 from ..plans import ingestion as ing
 from ..plans import retrieval as ret
@@ -25,8 +26,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     ``candidates`` names columns with the texts of several extractors, best first: the first
     that is not blank becomes the text, and its name the job's extraction source.
 
-    ``model`` is a loader and its number of dimensions; with it, nodes are stored with
-    the vectors of their texts.
+    ``model`` is a ``vectors.TextModel``: the texts of nodes that it has not embedded before get
+    their vectors in the table ``vectors``, by the text's hash. Given as a loader and its number of
+    dimensions, nodes are stored with their vectors in the properties instead.
 
     A job is one upload: without ``job_id`` the document's id names it. That it waits and
     runs is recorded before the work, how it ended after it; events are ordered by batch
@@ -58,7 +60,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     submitted = []
     *graph, failed = ing.run_guarded(good, pipelines)
     for name, rows in zip(("nodes", "edges"), graph):
-        if name == "nodes" and model is not None:
+        if name == "nodes" and isinstance(model, tuple):
             rows = ing.with_vectors(rows, *model)
         path = f"{out}/submitted/{name}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
@@ -71,6 +73,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     writers.upsert_nodes(nodes, f"{out}/nodes", replaced)
     writers.upsert_edges(edges, f"{out}/edges", replaced=replaced, nodes_path=f"{out}/nodes")
     append_names(ret.courses_of(nodes), f"{out}/names", str(batch_id))
+    if isinstance(model, ve.TextModel):
+        ve.embed_missing(nodes.select("text"), f"{out}/vectors", model, str(batch_id))
 
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     done = docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(
@@ -181,9 +185,11 @@ def answer_stream(questions: DataFrame, nodes: DataFrame, edges: DataFrame, corp
 ATTEMPTS = 5
 
 
-def answer_stored(questions: DataFrame, store: str, out: str, **options) -> StreamingQuery:
+def answer_stored(questions: DataFrame, store: str, out: str, model: ve.TextModel | None = None, **options) -> StreamingQuery:
     """As ``answer_stream``, from the tables that ``ingest_batch`` keeps under ``store``.
 
+    With ``model`` the corpus is what the vector table holds of the nodes' texts.
+
     Every micro-batch lists the tables anew, so it sees what was stored before it. Where an
     ingestion replaces a folder under a running micro-batch, the batch is answered again from
     the tables as they are then, ``ATTEMPTS`` times at most; its folder is rewritten.
@@ -192,7 +198,8 @@ def answer_stored(questions: DataFrame, store: str, out: str, **options) -> Stre
 
     def graph() -> tuple[DataFrame, DataFrame, DataFrame]:
         nodes = writers.read_nodes(spark, f"{store}/nodes")
-        return nodes, writers.read_edges(spark, f"{store}/edges"), writers.table_corpus(nodes)
+        corpus = writers.table_corpus(nodes) if model is None else ve.vector_corpus(writers.table_nodes(nodes), f"{store}/vectors", model)
+        return nodes, writers.read_edges(spark, f"{store}/edges"), corpus
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         for left in reversed(range(ATTEMPTS)):

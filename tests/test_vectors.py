@@ -81,3 +81,44 @@ def test_thousands_of_queries_take_the_same_way(spark, data):
     for r in got.collect():
         found.setdefault(r.qid, set()).add((r.id, r["rank"]))
     assert len(found) == 5000 and all(found[q] == best[q % 60] for q in found)
+
+
+def test_stored_texts_are_embedded_once(spark, tmp_path):
+    from lectern.session import work_folder
+
+    calls = str(tmp_path / "calls")
+
+    def load():
+        def run(texts):
+            with open(calls, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return np.array([[len(t), 1.0] for t in texts])
+        return run
+
+    seen = lambda: sorted(open(calls).read().split("\n")[:-1])
+    model, path = ve.TextModel("lengths/1", load, 2), work_folder(spark, "vectors")
+    rows = lambda *ts: spark.createDataFrame([(str(i), t) for i, t in enumerate(ts)], "id string, text string").repartition(3)
+    first = rows("a", "bb", " a ", "a", None, " ", "ccc")
+    for _ in range(2):  # a repeated batch calls the model for nothing
+        ve.embed_missing(first, path, model, "0")
+        assert seen() == ["a", "bb", "ccc"]
+    ve.embed_missing(rows("bb", "dddd", "a"), path, model, "1")
+    assert seen() == ["a", "bb", "ccc", "dddd"]
+    got = {r.id: (r.text, r.vector) for r in ve.vector_corpus(first, path, model).collect()}
+    assert got == {"0": ("a", [1.0, 1.0]), "1": ("bb", [2.0, 1.0]), "2": (" a ", [1.0, 1.0]), "3": ("a", [1.0, 1.0]), "6": ("ccc", [3.0, 1.0])}
+    # Another model starts anew and leaves the first one's vectors.
+    ve.embed_missing(rows("a"), path, ve.TextModel("other", load, 2), "0")
+    assert len(seen()) == 5 and ve.stored_vectors(spark, path, model).count() == 4
+
+
+@pytest.mark.parametrize("bound", [300, 1 << 30])
+def test_chunks_follow_the_bytes_of_the_corpus(data, bound, monkeypatch):
+    monkeypatch.setattr(ve, "CHUNK_BYTES", bound)
+    rows, corpus = data
+    got = ve.top_matches(corpus.where("id < 9").withColumnRenamed("id", "qid"), corpus.where("id < 30"), 3)
+    assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == brute(rows[:9], rows[:30], 3, None, False)
+
+
+def test_no_corpus(data):
+    _, corpus = data
+    assert ve.top_matches(corpus.withColumnRenamed("id", "qid"), corpus.limit(0), 3).count() == 0
