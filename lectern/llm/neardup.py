@@ -10,11 +10,15 @@
    frequent, the centre of a group of copies. Collisions are counted over the whole
    signatures (the other lists are skipped), and what reaches the number needed is
    confirmed on the full sets. That gives at most a pair for each value in the prefix of
-   a class, and one component for most groups, however large.
+   a class, and one component for most groups, however large. Of several members with
+   equally frequent values one can be far from the group, though. So members that stay
+   outside the largest component of a list are tried against other members of it, one a
+   list, in rounds, while rounds find links.
 4. What may still be linked lies in lists with members of several components. These open
    classes are joined by the rarest of their shingles (prefix, size and place bounds on the
    full sets), without the pairs inside one component. Pairs that remain are counted and
-   confirmed as before.
+   confirmed as before, so the rounds before decide how many pairs there are, never which
+   documents are linked.
 
 The similarity that links, ``percent``, is a parameter of the caller.
 
@@ -45,6 +49,9 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 48
 MISS = 1e-9  # chance that a linked pair has fewer equal coordinates than needed
+FEW_PAIRS = 64  # lists that can give so few pairs with their largest component go straight to the last step
+LIKELY_MARGIN = 10  # rounds try pairs whose estimated similarity is at most so much below the percent that links
+FRUITFUL = 50  # another round follows while one in so many pairs tried is a link
 
 _ODD = kit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _FLIP = kit.mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -150,9 +157,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return kit.map_arrow(joined, run, "a long, b long")
 
 
-def _colliding(pairs: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
-    """Pairs that agree in enough coordinates of their whole signatures."""
-    least = needed(percent)
+def _colliding(pairs: DataFrame, suspects: DataFrame, least: int) -> DataFrame:
+    """Pairs that agree in at least ``least`` coordinates of their whole signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +197,47 @@ def _stars(suspects: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rid", "centre").alias("a"), F.least("rid", "centre").alias("b")).distinct()
 
 
-def _open_classes(suspects: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, root) of the classes in posting lists with members of several components."""
+def _open_posts(suspects: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, root, key) of the posting lists with members of several components."""
     labelled = suspects.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select(
         "rid", F.coalesce("root", "rid").alias("root"), F.explode("keys").alias("key"))
     several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return labelled.join(several.select("key"), "key").select("rid", "root").distinct()
+    return labelled.join(several.select("key"), "key").select("rid", "root", "key")
+
+
+def _further_stars(posts: DataFrame, turn: int) -> DataFrame:
+    """Members of open lists outside the list's largest component, each with a member of that component.
+
+    The member changes with the list and the turn. Members are counted per list and component first.
+    """
+    order = F.struct(F.xxhash64("key", "rid", F.lit(turn)).alias("h"), "rid")
+    parts = posts.groupBy("key", "root").agg(F.count("*").alias("members"), F.max(order).alias("pick"))
+    main = parts.groupBy("key").agg(F.sum("members").alias("length"), F.max(F.struct("members", "root", "pick")).alias("c"))
+    members = F.col("c.members")
+    main = main.where((F.col("length") - members) * members > FEW_PAIRS).select("key", F.col("c.root").alias("main"), F.col("c.pick.rid").alias("centre"))
+    pairs = posts.join(main, "key").where("root <> main")
+    return pairs.select(F.greatest("rid", "centre").alias("a"), F.least("rid", "centre").alias("b")).distinct()
+
+
+def _linked_by_stars(suspects: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs tried, links among them, and (rid, root) of the classes that are still open."""
+    tried = kit.stage(_colliding(_stars(suspects), suspects, needed(percent)), "stars", narrow=True)
+    links = kit.stage(_confirmed(tried, texts, percent), "star-links", narrow=True)
+    posts = kit.stage(_open_posts(suspects, links), "open", narrow=True)
+    likely = max(needed(percent), COORDINATES * (percent - LIKELY_MARGIN) // 100)
+    turn, fruitful = 0, True
+    while fruitful:
+        turn += 1
+        fresh = _further_stars(posts, turn).join(tried, ["a", "b"], "left_anti")
+        more = kit.stage(_colliding(fresh, suspects, likely), "stars", narrow=True)
+        found = kit.stage(_confirmed(more, texts, percent), "star-links", narrow=True)
+        n_tried, n_found = more.count(), found.count()
+        tried = tried.unionByName(more)
+        if n_found:
+            links = links.unionByName(found)
+            posts = kit.stage(_open_posts(suspects, links), "open", narrow=True)
+        fruitful = n_found * FRUITFUL > n_tried
+    return tried, links, posts.select("rid", "root").distinct()
 
 
 def _probes(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -252,10 +293,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     suspects = kit.stage(_suspects(reps, percent), "suspects", narrow=True)
     keys = suspects.select("rid", "k1", "k2")
     texts = kit.stage(keyed.join(keys, ["k1", "k2"]).select("rid", "text").dropDuplicates(["rid"]), "texts")
-    tried = kit.stage(_colliding(_stars(suspects), suspects, percent), "stars", narrow=True)
-    links = kit.stage(_confirmed(tried, texts, percent), "star-links", narrow=True)
-    open_ = kit.stage(_open_classes(suspects, links), "open", narrow=True)
-    probes = kit.stage(_colliding(_probes(open_, texts, percent).join(tried, ["a", "b"], "left_anti"), suspects, percent), "probes", narrow=True)
+    tried, links, open_ = _linked_by_stars(suspects, texts, percent)
+    open_ = kit.stage(open_, "open-classes", narrow=True)
+    probes = kit.stage(_colliding(_probes(open_, texts, percent).join(tried, ["a", "b"], "left_anti"), suspects, needed(percent)), "probes", narrow=True)
     links = links.unionByName(_confirmed(probes, texts, percent))
     roots = components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(

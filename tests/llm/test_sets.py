@@ -432,3 +432,26 @@ def test_deduplication_keeps_every_column_name(spark, copies):
     got = neardup.deduplicate(docs)
     assert got.columns == docs.columns
     assert all(r["__k1"] == -r.doc_id and (r.k1, r.kkkkkk1, r.root) == ("x", "y", "z") for r in got.collect())
+
+
+def test_members_far_from_the_centre_join_their_group_before_probes(spark):
+    # A group around one text that is not in the table: members are close to some others, not to all.
+    rng = random.Random(21)
+    base = ["g%d" % i for i in range(300)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        at = rng.randrange(0, 270)
+        t[at : at + rng.randrange(6, 22)] = ["e%d" % rng.randrange(10**6) for _ in range(12)]
+        texts.append(" ".join(t))
+    want = plain_components(sets_of(texts))
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    # Rounds only pair members outside a list's largest component with one member of it for each list.
+    posts = spark.createDataFrame([(i, 0 if i < 60 else i, k) for i in range(100) for k in (7, 8)] + [(200 + i, 200 + i, 9) for i in range(3)],
+                                  "rid long, root long, key long")
+    for turn in (1, 2):
+        pairs = [(r.a, r.b) for r in neardup._further_stars(posts, turn).collect()]
+        assert len(set(pairs)) == len(pairs) and {a for a, _ in pairs} == set(range(60, 100))
+        assert all(b < 60 for _, b in pairs) and len({b for _, b in pairs}) <= 2
