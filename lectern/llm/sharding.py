@@ -23,6 +23,7 @@ from . import kit
 SHARD_BYTES = 1 << 20
 MARGIN_BITS = 6
 ROUND_BITS = 10
+STEP_BITS = 6  # levels that one pass over the sizes of prefixes adds up
 HASH_BITS = 60
 
 
@@ -68,16 +69,46 @@ def shard(
     return placed.select("shard", F.length("shard").alias("depth"), "bytes", "shard_bytes", (F.col("shard_bytes") > shard_bytes).alias("oversized"), "row")
 
 
+def _prefix_sums(buckets: DataFrame, low: int, depth: int) -> DataFrame:
+    """(prefix, size, docs) of every prefix of ``low`` to ``depth`` bits that has documents.
+
+    Some levels at a time, from the longest prefixes up: the shortest of one step are the
+    rows of the next, so a bucket is not repeated for every level.
+    """
+    rows, sums = buckets.select(F.col("bucket").alias("prefix"), F.col("bytes").alias("size"), F.col("n").alias("docs")), None
+    while depth >= low:
+        top = max(low, depth - STEP_BITS + 1)
+        levels = F.explode(F.transform(F.sequence(F.lit(top), F.lit(depth)), lambda d: F.substring("prefix", 1, d)))
+        step = kit.stage(rows.select(levels.alias("prefix"), "size", "docs").groupBy("prefix").agg(
+            F.sum("size").alias("size"), F.sum("docs").alias("docs")), "prefixes", narrow=True)
+        sums = step if sums is None else sums.unionByName(step)
+        rows = step.where(F.length("prefix") == top).withColumn("prefix", F.substring("prefix", 1, top - 1))
+        depth = top - 1
+    return sums
+
+
 def _directory(rows: DataFrame, low: int, depth: int, limit: int) -> DataFrame:
-    """bucket (``depth`` bits) with its shard: the shortest prefix, from ``low`` bits on, that fits."""
-    buckets = rows.groupBy(F.substring("bits", 1, depth).alias("bucket")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    prefix = F.explode(F.transform(F.sequence(F.lit(low), F.lit(depth)), lambda d: F.substring("bucket", 1, d)))
-    levels = buckets.withColumn("prefix", prefix)
-    sums = levels.groupBy("prefix").agg(F.sum("bytes").alias("size"), F.sum("n").alias("docs"))
-    fits = sums.where((F.col("size") <= limit) | (F.col("docs") == 1))
-    best = levels.join(fits, "prefix").groupBy("bucket").agg(
-        F.min(F.struct(F.length("prefix").alias("d"), F.col("prefix"), F.col("size"))).alias("best"))
-    return buckets.join(best, "bucket", "left").select("bucket", F.col("best.prefix").alias("shard"), F.col("best.size").alias("shard_bytes"))
+    """bucket (``depth`` bits) with its shard: the shortest prefix, from ``low`` bits on, that fits.
+
+    A shard is a prefix that fits although its parent, one bit shorter, does not. Each prefix
+    asks for its own parent only, and each bucket for its own shard: no key of these joins has
+    more rows than two children, or the buckets of one shard.
+    """
+    buckets = kit.stage(rows.groupBy(F.substring("bits", 1, depth).alias("bucket")).agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "buckets", narrow=True)
+    sums = _prefix_sums(buckets, low, depth)
+    fits = (F.col("size") <= limit) | (F.col("docs") == 1)
+    length = F.length("prefix")
+    # Prefixes at the lowest level come from parents that were found too large before.
+    split = sums.where(~fits).select(F.col("prefix").alias("parent"))
+    children = sums.where(fits & (length > low)).withColumn("parent", F.substring("prefix", 1, length - 1))
+    leaves = kit.stage(children.join(split, "parent").drop("parent").unionByName(sums.where(fits & (length == low))), "leaves", narrow=True)
+    found = leaves.where("false").select("prefix", "size", F.col("prefix").alias("bucket"), F.col("size").alias("bytes"), F.col("docs").alias("n"))
+    for (width,) in sorted(leaves.select(F.length("prefix")).distinct().collect()):
+        here = leaves.where(length == width).select("prefix", "size")
+        found = found.unionByName(buckets.join(here, F.substring("bucket", 1, width) == F.col("prefix")))
+    named = found.select("bucket", F.col("prefix").alias("shard"), F.col("size").alias("shard_bytes"))
+    return buckets.select("bucket").join(named, "bucket", "left")
 
 
 def shard_report(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
