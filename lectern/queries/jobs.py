@@ -8,6 +8,7 @@ from ..plans import ingestion as ing
 from ..session import work_folder
 from ..sources.readers import CATEGORIES, rejection
 from ..streaming import ingest as st
+from ..streaming import jobs as sj
 from .derive import LINES_SQL, lines_of, programme_text, regulation_text, stream, table
 
 
@@ -50,12 +51,12 @@ def display(spark, d):
 _STATE_OF = {"signup": "queued", "click": "processing", "purchase": "completed", "error": "failed", "view": "processing"}
 
 
-def _events(spark, d):
+def _events(spark, d, source=table):
     kind = F.col("event_type")
     status = F
     for name, state in _STATE_OF.items():
         status = status.when(kind == name, F.lit(state))
-    return table(spark, d, "events").select(
+    return source(spark, d, "events").select(
         F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("event_seq"),
         status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("size"),
     )
@@ -163,7 +164,19 @@ def guarded_ingest(spark, d):
     return st.job_table(spark, out).select("job_id", "status", "error", "nodes", "edges", "extraction_source", "extracted_text_length")
 
 
+def tracked_jobs(spark, d):
+    """Job events as a stream: states kept by job, and jobs that have been running for 3 days fail."""
+    out = work_folder(spark, "tracked-jobs")
+    events = _events(spark, d, stream)
+    sj.start_tracking(events, out, "1 hour", lost_after=3 * 86400, keep_for=86400).awaitTermination()
+    second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sj.tracked_jobs(spark, out).select(
+        "job_id", "status", "error", "size", second("created_at"), second("started_at"), second("completed_at")
+    )
+
+
 QUERIES = {
+    "stream_tracked_jobs": tracked_jobs,
     "jobs_guarded_ingest": guarded_ingest,
     "jobs_status_summary": status_summary,
     "jobs_busy": busy,
@@ -225,6 +238,15 @@ select doc_id || '' as job_id, case when source is null or doc_id % 7 = 0 then '
 from picked left join words using (doc_id)
 """,
     "jobs_states": _EVENTS + "select * from states",
+    "stream_tracked_jobs": _EVENTS + """,
+last as (select job_id, arg_max(status, event_id) = 'processing'
+    and epoch_ms(arg_max(ts, event_id)) + 259200000 < (select epoch_ms(max(ts)) from ev) - 3600000 as lost,
+  arg_max(ts, event_id) + interval 3 day as over from ev group by job_id)
+select job_id, case when lost then 'failed' else status end as status,
+  case when lost then 'No result within the time limit.' end as error, size, created_at, started_at,
+  case when lost then least(completed_at, strftime(over, '%Y-%m-%d %H:%M:%S')) else completed_at end as completed_at
+from states join last using (job_id)
+""",
     "jobs_lookup": _EVENTS + """
 select 'job' || c_custkey as job_id, coalesce(s.status, 'Job not found') as status, case when s.job_id is null then 0 else 1 end as known
 from customer left join states s on s.job_id = 'job' || c_custkey
