@@ -165,10 +165,10 @@ def guarded_ingest(spark, d):
 
 
 def tracked_jobs(spark, d):
-    """Job events as a stream: states kept by job, and jobs that have been running for 3 days fail."""
+    """Job events as a stream: states kept by job, and jobs that have been running for 6 hours fail."""
     out = work_folder(spark, "tracked-jobs")
     events = _events(spark, d, stream)
-    sj.start_tracking(events, out, "1 hour", lost_after=3 * 86400, keep_for=86400).awaitTermination()
+    sj.start_tracking(events, out, "1 hour", lost_after=6 * 3600, keep_for=86400).awaitTermination()
     second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return sj.tracked_jobs(spark, out).select(
         "job_id", "status", "error", "size", second("created_at"), second("started_at"), second("completed_at")
@@ -240,8 +240,8 @@ from picked left join words using (doc_id)
     "jobs_states": _EVENTS + "select * from states",
     "stream_tracked_jobs": _EVENTS + """,
 last as (select job_id, arg_max(status, event_id) = 'processing'
-    and epoch_ms(arg_max(ts, event_id)) + 259200000 < (select epoch_ms(max(ts)) from ev) - 3600000 as lost,
-  arg_max(ts, event_id) + interval 3 day as over from ev group by job_id)
+    and epoch_ms(arg_max(ts, event_id)) + 21600000 < (select epoch_ms(max(ts)) from ev) - 3600000 as lost,
+  arg_max(ts, event_id) + interval 6 hour as over from ev group by job_id)
 select job_id, case when lost then 'failed' else status end as status,
   case when lost then 'No result within the time limit.' end as error, size, created_at, started_at,
   case when lost then least(completed_at, strftime(over, '%Y-%m-%d %H:%M:%S')) else completed_at end as completed_at
