@@ -34,3 +34,12 @@ def both(spark, folder, name, texts, files=1):
 def test_more_than_99_outcomes_without_a_code(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, ["mot dong\n" * 640, "mot\nhai\nba"])
     assert got == want
+
+
+def test_first_line_that_reads_like_a_heading(spark, tmp_path):
+    """A Roman number and a title of at most 100 characters; longer lines and other words stay."""
+    texts = ["VI OUREOI ENIERPA\nhai", "Chương II mot hai\nba", "VI " + "a" * 100 + "\nb", "VI " + "a" * 101 + "\nb",
+             "VIA mot\nhai", "X", "Muc I mot", "MụcV mot", "", "12 VI mot", "vi mot", "I VI mot"]
+    got, want = both(spark, tmp_path, "programme_objectives", texts)
+    assert got == want
+    assert sum("## " in str(row) for row in got[1]) == 6
