@@ -43,3 +43,9 @@ def test_first_line_that_reads_like_a_heading(spark, tmp_path):
     got, want = both(spark, tmp_path, "programme_objectives", texts)
     assert got == want
     assert sum("## " in str(row) for row in got[1]) == 6
+
+
+def test_a_folder_of_files_streams_like_one_file(spark, tmp_path):
+    got, want = both(spark, tmp_path, "stream_ingest_jobs", [f"mot dong {c}\nhai" for c in "abcdefghijklmno"] + ["1 2"], files=3)
+    assert got == want
+    assert len(got[1]) == 16
