@@ -155,3 +155,17 @@ def test_date_digits_are_the_second_choice(one):
     assert one(fd.decision_date(words, F.col("a")), a="ngày 3/4/2020", b="") == "03/04/2020"
     assert one(fd.decision_date(words, F.col("a")), a="3-4-2020", b="ngày 1 tháng 12 năm 2021") == "01/12/2021"
     assert one(fd.decision_date(words, F.col("a")), a="", b="") == "01/01/1900"
+
+
+def test_programme_metrics_parse_once(spark):
+    """The same figures as from the rows, from one pass over the texts."""
+    texts = ["", "không có mục nào", "1. Thông tin chung\nMã ngành: 1\n2. Mục tiêu đào tạo\nabc\n3. Chuẩn đầu ra\n- x\n- y\n4. Việc làm\n- z",
+             "1. Tài liệu tham khảo\n- Thông tư số 1/TT ban hành a\n- b\n2. Thông tin chung\nĐơn vị quản lý: Khoa A\nPhương thức tổ chức đào tạo: trực tuyến"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, extraction_source string")
+    sections = cu.sections_with_context(cu.refine(docs))
+    records = cu.section_records(sections)
+    want = cu.ingestion_metrics(docs, cu.record_nodes(records), cu.record_edges(records), sections)
+    got = cu.programme_metrics(docs)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    assert max(r.edges for r in want.collect()) > 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
