@@ -122,3 +122,15 @@ def test_chunks_follow_the_bytes_of_the_corpus(data, bound, monkeypatch):
 def test_no_corpus(data):
     _, corpus = data
     assert ve.top_matches(corpus.withColumnRenamed("id", "qid"), corpus.limit(0), 3).count() == 0
+
+
+def test_few_bytes_are_sent(data, monkeypatch):
+    """Neither side goes to every task: a corpus row is sent once per group, a query once per chunk."""
+    _, corpus = data
+    queries = corpus.withColumnRenamed("id", "qid")
+    chunks, groups = ve._grid(queries, corpus, 48, 3, None)
+    assert chunks * groups >= 48 and 3 <= chunks <= 16 and 3 <= groups <= 16
+    assert ve._grid(queries.limit(1), corpus, 48, 3, None)[1] <= 2
+    rows, dims = corpus.count(), len(corpus.first()["vector"])
+    monkeypatch.setattr(ve, "CHUNK_BYTES", rows * dims)
+    assert ve._grid(queries, corpus, 4, 3, None)[0] == 16
