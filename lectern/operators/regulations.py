@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regulation as rg
+from ..session import stage
 from .graph import entries_map
 
 
@@ -152,10 +153,11 @@ def citation_edges(flat: DataFrame, keep_unresolved: bool = False) -> DataFrame:
     """``tham_chieu`` edges: the point if it exists, else the clause, else the article.
 
     Citations are made distinct, then looked up by
-    (document, address), so no task gathers a whole document.
+    (document, address), so no task gathers a whole document. The addresses are written when
+    this is called, so the texts are parsed once for citing and cited nodes.
     ``keep_unresolved`` returns a null target for citations that lead nowhere.
     """
-    addressed = addresses(flat)
+    addressed = stage(addresses(flat), "addresses")
     index = citation_index(addressed)
     sources = index.withColumnRenamed("key", "source_key").withColumnRenamed("id", "source")
     hits = (

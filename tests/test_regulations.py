@@ -149,3 +149,10 @@ def test_tree_matches_a_walk_on_random_texts(spark):
         got = shape(reg["quyet_dinh_ban_hanh"]["cac_dieu"]), [[c["ten"], shape(c["cac_dieu"])] for c in reg["quy_dinh_chi_tiet"]]
         want = walk(docs[row["doc_id"]])
         assert got == (want[0], want[1]), docs[row["doc_id"]]
+
+
+def test_texts_are_parsed_once_for_citations(spark):
+    docs = spark.createDataFrame([(1, "q.pdf", "Chương I\nA\nĐiều 1. x\n1. Xem Điều 2\nĐiều 2. y")], "doc_id long, file_name string, text string")
+    edges = rg.citation_edges(rg.flatten_trees(rg.parse_regulations(docs)))
+    assert "regexp_replace" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.count() == 1
