@@ -248,7 +248,10 @@ def course_nodes(table: DataFrame) -> DataFrame:
         )),
         F.transform(fd.course_codes(F.col("code")), course),
     ))
-    rows = table.select("doc_id", "row_no", F.explode(found).alias("r")).select("doc_id", "row_no", "r.*").where(
+    # A row can become many nodes: rows are dealt out before, or few tasks would sort all of them.
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table.repartition(tasks, "doc_id", "row_no")
+    rows = dealt.select("doc_id", "row_no", F.explode(found).alias("r")).select("doc_id", "row_no", "r.*").where(
         "id is not null"
     )
     # The slot keeps courses apart; all other nodes meet without one.

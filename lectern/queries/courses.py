@@ -58,9 +58,9 @@ def many_codes(spark, d):
     rows = docs.select("doc_id", F.posexplode(cells).alias("row_no", "cells")).withColumn("row_no", F.col("row_no").cast("bigint") + 1)
     programmes = docs.select("doc_id", F.lit("P").alias("program_id"), F.lit("N").alias("ten_nganh"), F.lit("L").alias("loai_hinh"))
     nodes = co.course_nodes(co.with_ids(co.course_states(co.clean_rows(rows)), programmes)).where("label = 'HocPhan'")
-    return nodes.groupBy("doc_id", "id").agg(
-        F.count("*").alias("rows"), F.max_by(F.col("props")["ten_hp"], F.struct("row_no", "place", "item")).alias("ten_hp")
-    )
+    # The merge sorts its rows, so they hold the one property and not all.
+    named = nodes.select("doc_id", "id", F.struct("row_no", "place", "item").alias("at"), F.col("props")["ten_hp"].alias("ten_hp"))
+    return named.groupBy("doc_id", "id").agg(F.count("*").alias("rows"), F.max_by("ten_hp", "at").alias("ten_hp"))
 
 
 def edges(spark, d):

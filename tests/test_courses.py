@@ -124,3 +124,13 @@ def test_running_values_of_a_hot_key(spark):
             lasts={"s": carry_with_reset(F.col("v"), kind == "set", kind == "reset")}, chunk_rows=chunk_rows,
         )
         assert {r.seq: (r.total, r.s["value"] if r.s else None) for r in got.collect()} == want
+
+
+def test_rows_are_dealt_before_they_become_many_nodes(spark):
+    codes = ", ".join(f"AA{i:03d}" for i in range(1, 71))
+    rows = spark.createDataFrame(
+        [(d, 1, ["1", codes, "một", "3", "3", "", "30", "", "", ""]) for d in range(20)], "doc_id long, row_no long, cells array<string>")
+    programmes = rows.selectExpr("doc_id", "'P' program_id", "'N' ten_nganh", "'L' loai_hinh")
+    nodes = co.course_nodes(co.with_ids(co.course_states(co.clean_rows(rows)), programmes))
+    assert "RepartitionByExpression" in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert nodes.where("label = 'HocPhan'").count() == 20 * 70
