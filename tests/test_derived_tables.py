@@ -49,3 +49,10 @@ def test_a_folder_of_files_streams_like_one_file(spark, tmp_path):
     got, want = both(spark, tmp_path, "stream_ingest_jobs", [f"mot dong {c}\nhai" for c in "abcdefghijklmno"] + ["1 2"], files=3)
     assert got == want
     assert len(got[1]) == 16
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_edges_are_merged_without_a_deal_before(spark):
+    df = load("__spark_entry__.py").queries()["graph_edge_upsert"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() > 0
