@@ -1,7 +1,11 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern import model
+from lectern.operators import contains
 from lectern.operators import graph as gr
 from lectern.operators.contains import contains_join
 from lectern.session import work_folder
@@ -244,3 +248,31 @@ def test_descendants_at_any_depth(spark):
     assert gr.descendants(roots.limit(0), edges).count() == 0
     four = edges_of(spark, chain[:4])
     assert {r.id for r in gr.descendants(roots, four).collect()} == {r.id for r in gr.subtree(roots.where("id is not null"), four).collect()}
+
+
+def _shuffled_rows(spark):
+    context = spark.sparkContext
+    quantiles = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_lookup_shuffles_no_pairs_of_texts_and_hits(spark, stored):
+    """Every text's rarest run is in many names: hits times texts are ten times the postings."""
+    draw = random.Random(5)
+    names = [(i, "".join(draw.choice("xy") for _ in range(9))) for i in range(300)]
+    texts = ["".join(t) for t in itertools.product("XY", repeat=8)]
+    want = {(t, i) for t in texts for i, n in names if t.lower() in n}
+    frame = spark.createDataFrame(names, "id int, name string")
+    needles = spark.createDataFrame([(t,) for t in texts], "needle string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = contains.new_index(spark, frame) if stored else None
+        before = _shuffled_rows(spark)
+        found = contains.look_up_names(needles, frame, index) if stored else contains.contains_join(needles, frame)
+        assert {(r.needle, r.id) for r in found.collect()} == want
+        # Runs of three letters from two: eight of a name and a text at most.
+        assert _shuffled_rows(spark) - before < 6 * 8 * (len(names) + len(texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
