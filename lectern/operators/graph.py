@@ -139,7 +139,8 @@ def descendants(roots: DataFrame, edges: DataFrame | Callable[[DataFrame], DataF
 
     Each round follows the ids found last and ends in a written table; ids found before are
     left out, so rings end. ``edges`` may be a function from the ids to follow to the edges
-    that can start there, so that a stored table is read by folders.
+    that can start there, so that a stored table is read by folders. Where rounds are large,
+    store the edges by their source (``session.stage_by``): no round shuffles them then.
     """
     found = last = stage(roots.select("id").where("id is not null").distinct(), "found")
     while last.limit(1).count():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..plans import retrieval as ret
-from ..session import stage, work_folder
+from ..session import stage, stage_by, work_folder
 from ..sources import writers
 from ..sources.readers import parse_catalogue
 from .derive import EDGES_SQL, NODES_SQL, table, trade_graph
@@ -247,10 +247,13 @@ def stored_in_batches(spark, d):
 
 
 def deep_subtree(spark, d):
-    """All ids below one region, six levels down; the levels' relations are in no order."""
+    """All ids below one region, six levels down; the levels' relations are in no order.
+
+    The links are stored by their source, so that no round shuffles them; equal links may repeat.
+    """
     nation, customer, orders, lineitem = (table(spark, d, n) for n in ("nation", "customer", "orders", "lineitem"))
     at = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
-    edge = lambda df, kind, source, target: df.select(source.alias("source"), F.lit(kind).alias("type"), target.alias("target")).distinct()
+    edge = lambda df, kind, source, target: df.select(source.alias("source"), F.lit(kind).alias("type"), target.alias("target"))
     line = F.concat(at("L", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string"))
     links = [
         edge(nation, "co_dieu", at("R", "n_regionkey"), at("N", "n_nationkey")),
@@ -259,7 +262,7 @@ def deep_subtree(spark, d):
         edge(lineitem, "co_dieu", at("O", "l_orderkey"), line), edge(lineitem, "co_khoan", line, at("P", "l_partkey")),
         edge(lineitem, "tham_chieu", line, at("S", "l_suppkey")),
     ]
-    edges = stage(reduce(DataFrame.unionByName, links), "links")
+    edges = stage_by(reduce(DataFrame.unionByName, links), "links", "source")
     return gr.descendants(spark.createDataFrame([("R1",)], "id string"), edges)
 
 
