@@ -19,7 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 END_ID = 1
-# Pieces whose ids a task remembers; beyond it starts anew. Bytes encoded at a time.
+# Pieces whose ids a worker remembers, and their characters; beyond either it starts anew.
 REMEMBERED = 1 << 20
+REMEMBERED_CHARS = 1 << 24
+# Bytes encoded at a time.
 CHUNK_BYTES = 4 << 20
 HEADER = "<4sHHQII"
 MAGIC = b"PFOR"
@@ -126,7 +128,9 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
     That is between an ASCII letter and a following ASCII mark, and between a mark and a
     following letter, but not after an apostrophe, which may belong to what follows. Words
-    with ``<|`` stay as they are: they may hold a special token.
+    with ``<|`` stay as they are: they may hold a special token. A letter before a character
+    from U+0300 on (lead byte 0xCC) keeps its case: with a combining character a small letter
+    can be composed where the capital cannot.
     """
     kind = np.zeros(256, np.uint8)
     kind[list(LETTERS)], kind[list(MARKS)], kind[APOSTROPHE] = 1, 2, 3
@@ -134,6 +138,8 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = (kinds[:-1] == 1) & (kinds[1:] >= 2) | (kinds[:-1] == 2) & (kinds[1:] == 1)
     lower = kit.lower_ascii(data)
+    combined = np.flatnonzero(data[1:] >= 0xCC)
+    lower[combined] = data[combined]
     for at in np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)).tolist():
         row = int(np.searchsorted(offsets, at, "right")) - 1
         a, b = int(offsets[row]), int(offsets[row + 1])
@@ -155,7 +161,7 @@ class Encoder:
     """Encodes columns of texts.
 
     With ``by_word`` each distinct piece of ``word_pieces`` between ASCII white space is
-    encoded once. That equals encoding whole texts only for a tokenizer that ignores case,
+    encoded once, as long as it is remembered. That equals encoding whole texts only for a tokenizer that ignores case,
     drops white space and cuts between letters and marks.
     """
 
@@ -169,7 +175,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.slots.clear()
-        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.lengths, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,16 +190,19 @@ class Encoder:
         words = pc.ascii_split_whitespace(word_pieces(data, offsets))
         per_text = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.slots) > REMEMBERED:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.slots) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
-        known = self.slots
-        fresh = [w for w in distinct if w not in known]
-        if fresh:
+        slot = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            fresh = distinct[new].tolist()
             ids, lengths = self._encode(fresh)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            slot[new] = np.arange(len(self.lengths), len(self.lengths) + len(new))
             self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
-        slot = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+            self.slots.update(zip(fresh, slot[new].tolist()))
+            self.chars += sum(map(len, fresh))
+        slot = slot[coded.indices.to_numpy(zero_copy_only=False)]
         begins = np.cumsum(self.lengths) - self.lengths
         lengths = self.lengths[slot] if len(slot) else np.zeros(0, np.int64)
         ids = self.ids[kit.ragged(begins[slot], lengths)] if len(slot) else np.zeros(0, np.uint32)
@@ -201,6 +210,19 @@ class Encoder:
         return ids, np.diff(ends)
 
 
+def worker_encoder(path: str, by_word: bool) -> Encoder:
+    """The encoder of this worker process, with the pieces that its earlier tasks encoded.
+
+    Task functions travel by value, so what outlives a task hangs on an imported module.
+    """
+    import tokenizers
+
+    known = vars(tokenizers).setdefault("_remembered_encoders", {})
+    if (path, by_word) not in known:
+        known[path, by_word] = Encoder(path, by_word)
+    return known[path, by_word]
+
+
 def _with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, np.cumsum(lengths), end_id).astype(np.uint32), lengths + 1
 
@@ -223,7 +245,7 @@ def write_tokens(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, by_word)
+        encoder = worker_encoder(tokenizer, by_word)
         part, inside = TaskContext.get().partitionId(), 0
         names, ids, lengths = [], [], []
 

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import graph, maintext, mixing, neardup, sharding, suffixdup, tokens
+from lectern.llm import graph, kit, maintext, mixing, neardup, sharding, suffixdup, tokens
 
 DOCS = "doc_id long, text string, source string, rid long, key string, size long, row string, k1 long"
 
@@ -233,6 +234,41 @@ def test_tokens_equal_whole_encoding(spark, tmp_path):
     assert tokens.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
 
+def encode_all(encoder, texts):
+    ids, lengths = encoder(*kit.column_bytes(pa.array(texts)))
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+def test_tokens_of_letters_with_combining_characters():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    marks = [*map(chr, range(0x300, 0x370)), "\u0323\u0331", "\u1dc4\u0331", "\u20d7", "\u0338="]
+    texts = [f"{letter}{mark}{letter}, {letter}{letter}{mark}" for letter in map(chr, range(65, 91)) for mark in marks]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode_all(tokens.Encoder(path, True), texts) == want
+
+
+def test_pieces_are_encoded_once_a_worker(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(400):x}tea" for _ in range(50)) for _ in range(40)]
+    want = encode_all(tokens.worker_encoder(path, True), texts)
+    later = tokens.worker_encoder(path, True)
+    with monkeypatch.context() as patch:
+        patch.setattr(later, "_encode", lambda fresh: pytest.fail(f"{len(fresh)} pieces were encoded again"))
+        assert encode_all(later, texts) == want
+    for limit in ("REMEMBERED", "REMEMBERED_CHARS"):
+        with monkeypatch.context() as patch:
+            patch.setattr(tokens, limit, 100)
+            small = tokens.Encoder(path, True)
+            assert [x for t in texts for x in encode_all(small, [t])] == want
+            assert len(small.slots) < 200
+
+
 def test_targets_stop_at_caps():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": 295 / 3, None: 590 / 3}
     assert mixing.targets({"a": 0, "b": 4}) == {"a": 0.0, "b": 6.0}
