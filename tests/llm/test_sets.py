@@ -174,6 +174,27 @@ def test_removal_equals_plain_count(spark, shard_bytes):
     assert suffixdup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_removal_returns_what_is_left(spark):
+    rng = random.Random(8)
+    passages = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 12))) for _ in range(n)) for n in (52, 90, 140)]
+    texts = ["".join(rng.choices("abcdé \n", k=rng.randrange(300, 900))) for _ in range(30)]
+    for i in range(18):
+        texts[i] = texts[i][:150] + passages[i % 3] + texts[i][150:]
+    texts += [None, "", "short", texts[0], texts[25], "éè" * 500 + "é", "x" + "è" * 900]
+    raws = [(t or "").encode() for t in texts]
+    got = {r.doc_id: r for r in suffixdup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, (raw, want) in enumerate(zip(raws, plain_removal(raws))):
+        spans = [(s.start, s.end) for s in got[i].spans]
+        ends = [0, *(x for s in spans for x in s), len(raw)]
+        assert spans == sorted(spans) and all(a < b for a, b in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        left = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
+        assert (bytes(got[i].kept) == left) if spans else got[i].kept is None, i
+        assert want == (len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest()), i
+    for passage in (p.encode() for p in passages if len(p.encode()) >= 400):
+        assert sum(passage in raw for raw in raws) > 5 and not any(passage in (raws[i] if r.kept is None else bytes(r.kept)) for i, r in got.items())
+
+
 def test_shard_search_equals_count():
     rng = np.random.default_rng(3)
     length = 40
