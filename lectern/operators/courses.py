@@ -28,18 +28,25 @@ def clean_rows(rows: DataFrame) -> DataFrame:
     names the columns, whether it looks like a header or not.
     """
     cells = F.transform("cells", lambda c: tx.strip(tx.one_line(F.coalesce(c, F.lit("")))))
-    cleaned = rows.where("row_no > 0").withColumn("cells", cells)
-    header = F.lit(False)
-    for word in HEADER_CELLS:
-        header = header | F.array_contains("cells", word)
-    filled = F.array_distinct(F.filter("cells", lambda c: c != ""))
-    first = F.get("cells", F.lit(0))
-    block = (F.size(filled) == 1) & F.contains(first, F.lit(BLOCK_WORDS))
-    marked = F.transform(
-        "cells",
-        lambda c, i: F.when(i == 0, F.concat(F.lit(BLOCK_MARK), c)).otherwise(F.lit("")),
-    )
-    return cleaned.where(~header).withColumn("cells", F.when(block, marked).otherwise(F.col("cells")))
+
+    def is_header(row: Column) -> Column:
+        found = F.lit(False)
+        for word in HEADER_CELLS:
+            found = found | F.array_contains(row, word)
+        return found
+
+    def with_mark(row: Column) -> Column:
+        filled = F.array_distinct(F.filter(row, lambda c: c != ""))
+        block = F.contains(F.get(row, F.lit(0)), F.lit(BLOCK_WORDS)) & (F.size(filled) == 1)
+        marked = F.transform(
+            row, lambda c, i: F.when(i == 0, F.concat(F.lit(BLOCK_MARK), c)).otherwise(F.lit(""))
+        )
+        return F.when(block, marked).otherwise(row)
+
+    # A filter on cleaned cells would clean them again, once for each word it looks for.
+    kept = F.transform(F.filter(F.array(cells), lambda row: ~is_header(row)), with_mark)
+    body = rows.where("row_no > 0")
+    return body.select(*[F.explode(kept).alias(c) if c == "cells" else c for c in body.columns])
 
 
 def positional(rows: DataFrame) -> DataFrame:

@@ -134,3 +134,10 @@ def test_rows_are_dealt_before_they_become_many_nodes(spark):
     nodes = co.course_nodes(co.with_ids(co.course_states(co.clean_rows(rows)), programmes))
     assert "RepartitionByExpression" in nodes._jdf.queryExecution().optimizedPlan().toString()
     assert nodes.where("label = 'HocPhan'").count() == 20 * 70
+
+
+def test_cells_are_cleaned_once(spark):
+    rows = spark.createDataFrame([("d", 1, [" a\nb", "Mã số"]), ("d", 2, [" a\nb", None])], "doc_id string, row_no bigint, cells array<string>")
+    cleaned = co.clean_rows(rows)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 1
+    assert [tuple(r) for r in cleaned.collect()] == [("d", 2, ["a b", ""])]

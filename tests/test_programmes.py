@@ -169,3 +169,26 @@ def test_programme_metrics_parse_once(spark):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
     assert max(r.edges for r in want.collect()) > 0
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_texts_and_course_rows_are_read_once(spark):
+    """Nodes and edges come from written sections and rows; neither cuts the text or cleans cells again."""
+    docs = spark.createDataFrame([("d1", DOCUMENT)], "doc_id string, text string")
+    table = spark.createDataFrame([("d1", 1, ["a"] * 10)], "doc_id string, row_no bigint, cells array<string>")
+    for frame in cu.curriculum_graph(docs, table):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "Phần|Chương|Mục" not in plan
+
+
+@pytest.mark.parametrize("body", [
+    "a. mot (hai) (PEO1)", " 12) x (PEOx) y ;., (PEO 23) b  (PEO4)", "zz. (PEO1) (PEO2) c) , (PEO3)", "ế. a b,,(PEO1)　",
+    "a. " + "ế " * 40 + ",;. , (PEO 7) thừa a b c", "(PEO1) abc. x (PEO2)",
+])
+def test_parts_of_an_objective(one, body):
+    """Title and code by their places in a match, as a pattern over the match reads them."""
+    import re
+    text = re.sub(r"\s+", " ", body + "\ncuối")
+    want = [(code.replace(" ", ""), re.sub(r"[,;.]+\Z", "", title.strip()).strip())
+            for title, code in re.findall(r"(?: |^)[a-z0-9]{1,2}[.)]? (.*?)\((PEO ?[0-9]+)\)", text)]
+    found = one(fd.objectives(F.concat(F.lit("### cụ thể\n"), F.col("c"))), c=body + "\ncuối")
+    assert [(o["key"], o["noi_dung"]) for o in found] == want

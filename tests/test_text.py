@@ -100,3 +100,22 @@ def test_fenced_block_and_json_object(one):
     assert one(tx.fenced_block(A("a"), "cypher"), a=raw) == "MATCH (a)"
     assert one(tx.json_object(A("a")), a=raw) == '{"k": {"z": 1}}'
     assert one(tx.fenced_block(A("a"), "sql"), a=raw) is None
+
+
+@pytest.mark.parametrize("inside", ["", "x", "ế", "a b", "😀", "x" * 40, "ế" * 20, "a　" * 30 + "z", "​"])
+def test_strip_at_long_ends(spark, inside):
+    """Ends that are cut by bytes, also where the cut falls inside a character."""
+    rows = [(w * n + inside + w * m,) for w in (" ", "\n", "\xa0", " ", "　", "　\n") for n in (0, 1, 40) for m in (0, 1, 9, 10, 11, 31, 32, 33, 90)]
+    df = spark.createDataFrame(rows, "t string")
+    for text, got, end in df.select("t", tx.strip(F.col("t")), tx.strip_end(F.col("t"), " \n")).collect():
+        assert got == text.strip() and end == text.rstrip(" \n")
+
+
+def test_collapse_of_uneven_runs(one):
+    for text in ("a b", "a  b", " a", "a\t b ", "\n", "a　b", "a 　\x1c b  c d", "", "   "):
+        assert one(tx.collapse(F.col("c")), c=text) == "".join(" " if k else g for k, g in _runs(text))
+
+
+def _runs(text):
+    import itertools
+    return [(k, "".join(g)) for k, g in itertools.groupby(text, str.isspace)]
